@@ -1,0 +1 @@
+"""Empty on purpose: the analyses are batch only, there is no stream to process."""
