@@ -84,7 +84,9 @@ def total(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def lookup(code: Column, table: dict) -> Column:
-    """Constant dictionary lookup; an unknown code gives NULL."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), code)
+def lookup(code: Column, table: dict, otherwise: Column | None = None) -> Column:
+    """Constant dictionary lookup; an unknown code gives ``otherwise`` (default NULL)."""
+    chain = F.lit(None) if otherwise is None else otherwise
+    for key, value in reversed(table.items()):
+        chain = F.when(code == key, F.lit(value)).otherwise(chain)
+    return chain

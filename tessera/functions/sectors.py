@@ -20,7 +20,7 @@ def sector_label(df: DataFrame, new_column: bool = False, code: str = "naics") -
 def harmonise_sector(code: Column) -> Column:
     """First-source sector code in the coding of the second source."""
     bare = F.regexp_replace(code, "naics_", "")
-    return F.concat(F.lit("naics_"), F.coalesce(lookup(bare, fv.HARMONISED_SECTORS), bare))
+    return F.concat(F.lit("naics_"), lookup(bare, fv.HARMONISED_SECTORS, otherwise=bare))
 
 
 def second_source_sector(industry: Column) -> Column:

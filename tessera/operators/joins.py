@@ -18,6 +18,8 @@ def join_nullsafe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join on ``keys`` where a missing key equals a missing key; keys appear once."""
+    if not keys:
+        raise ValueError("a join needs at least one key")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])

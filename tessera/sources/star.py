@@ -37,10 +37,24 @@ def code(column: str, width: int) -> Column:
     return F.lpad(F.col(column).cast("string"), width, "0")
 
 
-COUNTY = F.concat(code("n_regionkey", 2), code("n_nationkey", 3))
-TRACT = F.concat(COUNTY, code("c_custkey", 6))
-METRO_NUMBER = (F.col("n_nationkey") % 4).cast("string")
-METRO = F.concat(F.lit("M"), METRO_NUMBER)
+def county_key() -> Column:
+    return F.concat(code("n_regionkey", 2), code("n_nationkey", 3))
+
+
+def tract_key() -> Column:
+    return F.concat(county_key(), code("c_custkey", 6))
+
+
+def block_key() -> Column:
+    return F.concat(tract_key(), code("o_orderkey", 7))
+
+
+def metro_number() -> Column:
+    return (F.col("n_nationkey") % 4).cast("string")
+
+
+def metro_key() -> Column:
+    return F.concat(F.lit("M"), metro_number())
 
 
 class Star:
@@ -95,7 +109,7 @@ class Star:
             per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.customers(), F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(
-                F.concat(TRACT, code("o_orderkey", 7)).alias("fips"),
+                block_key().alias("fips"),
                 F.year("o_orderdate").alias("year"),
             )
             .agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
@@ -104,17 +118,17 @@ class Star:
     def area(self) -> DataFrame:
         """Tract land area; missing for negative balances, zero for small ones."""
         land = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100).cast("double"))
-        return self.customers().groupBy(TRACT.alias("tract")).agg(F.sum(land).alias("ALAND_SQMI"))
+        return self.customers().groupBy(tract_key().alias("tract")).agg(F.sum(land).alias("ALAND_SQMI"))
 
     def crosswalk(self) -> DataFrame:
         """All counties; nations from 20 on are not in a metropolitan area."""
         number = F.col("n_nationkey") % 4
         metro = F.col("n_nationkey") < 20
-        town = F.concat(F.lit("City"), METRO_NUMBER, F.lit("-Town, R"), METRO_NUMBER)
+        town = F.concat(F.lit("City"), metro_number(), F.lit("-Town, R"), metro_number())
         small = F.concat(F.lit("U"), F.col("n_nationkey").cast("string"))
         return self.table("nation").select(
-            COUNTY.alias("stcofips"),
-            F.when(metro, METRO).otherwise(small).alias("cbsa"),
+            county_key().alias("stcofips"),
+            F.when(metro, metro_key()).otherwise(small).alias("cbsa"),
             F.when(~metro, F.concat(F.lit("Small "), small))
             .when(number == 0, F.lit("Solo, R0"))
             .otherwise(town)
@@ -141,7 +155,7 @@ class Star:
             .agg(shipped(1996).alias("q1996"), shipped(1997).alias("q1997"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.customers(), F.col("o_custkey") == F.col("c_custkey"))
-            .withColumns({"stcofips": COUNTY, "series": series})
+            .withColumns({"stcofips": county_key(), "series": series})
         )
         keys = [F.col("stcofips"), F.col("series")]
         return (
@@ -164,7 +178,7 @@ class Star:
         return (
             self.customers()
             .join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
-            .groupBy(TRACT.alias("tract"))
+            .groupBy(tract_key().alias("tract"))
             .agg((total("n") * 100).alias("pop"))
         )
 
@@ -176,7 +190,7 @@ class Star:
             self.table("nation")
             .filter(F.col("n_nationkey") < 20)
             .select(
-                METRO.alias("cbsa"),
+                metro_key().alias("cbsa"),
                 F.when(missing, 0.0).otherwise((number + 30).cast("double")).alias("lat"),
                 F.when(missing, 0.0).otherwise((-80 - number).cast("double")).alias("lon"),
             )
@@ -207,4 +221,4 @@ class Star:
             return F.struct((east + dx).alias("lon"), (north + dy).alias("lat"))
 
         ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-        return self.table("nation").select(COUNTY.alias("geoid"), F.array(ring).alias("rings"))
+        return self.table("nation").select(county_key().alias("geoid"), F.array(ring).alias("rings"))
