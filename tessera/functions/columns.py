@@ -69,16 +69,25 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(renamed)
 
 
-def ratio(top: Column, bottom: Column) -> Column:
-    """``top / bottom`` where x/0 is infinite and 0/0 is missing."""
-    top, bottom = top.cast("double"), bottom.cast("double")
+def ratio_sql(top: str, bottom: str) -> str:
+    """SQL text of ``top / bottom`` where x/0 is infinite and 0/0 is missing."""
+    top, bottom = f"CAST({top} AS DOUBLE)", f"CAST({bottom} AS DOUBLE)"
     return (
-        F.when((bottom == 0) & (top > 0), F.lit(float("inf")))
-        .when((bottom == 0) & (top < 0), F.lit(float("-inf")))
-        .otherwise(F.try_divide(top, bottom))
+        f"CASE WHEN {bottom} = 0 AND {top} > 0 THEN DOUBLE('Infinity')"
+        f" WHEN {bottom} = 0 AND {top} < 0 THEN DOUBLE('-Infinity')"
+        f" ELSE try_divide({top}, {bottom}) END"
     )
 
 
+def ratio(top: str, bottom: str) -> Column:
+    """Ratio of two columns given by name, or by SQL expression."""
+    return F.expr(ratio_sql(top, bottom))
+
+
+def total_sql(expression: str) -> str:
+    return f"coalesce(sum({expression}), 0)"
+
+
 def total(column: Column | str) -> Column:
     """Sum that skips missing values and is 0 when there is nothing to add."""
     return F.coalesce(F.sum(column), F.lit(0))

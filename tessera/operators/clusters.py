@@ -15,25 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
-from tessera.functions.columns import total
+from tessera.functions.columns import total, total_sql
 from tessera.operators.joins import join_nullsafe
 
 
+# Tiles of 20 below 17, and a missing tile, are "low density" under the two finer cuts.
+FINE_CUT = """CASE WHEN dense_cat_20 < 17 OR dense_cat_20 IS NULL THEN 'low density'
+    WHEN dense_cat_20 = 17 THEN 'p80' WHEN dense_cat_20 = 18 THEN 'p85'"""
+
+CATEGORIES = {
+    "mapvar_20": f"{FINE_CUT} WHEN dense_cat_20 = 19 THEN 'p90' WHEN dense_cat_20 = 20 THEN 'cluster' END",
+    "mapvar_10": f"{FINE_CUT} WHEN dense_cat_10 = 10 THEN 'cluster' END",
+    "mapvar_5": """CASE WHEN dense_cat_20 >= 17 THEN 'cluster'
+        WHEN dense_cat_20 < 17 THEN 'low density' END""",
+}
+
+
 def map_categories(df: DataFrame) -> DataFrame:
     """Category of a place under each cut, from its tiles of 20 and of 10."""
-    c20, c10 = F.col("dense_cat_20"), F.col("dense_cat_10")
-    shared = (
-        F.when((c20 < 17) | c20.isNull(), F.lit("low density"))
-        .when(c20 == 17, F.lit("p80"))
-        .when(c20 == 18, F.lit("p85"))
-    )
-    return df.withColumns(
-        {
-            "mapvar_20": shared.when(c20 == 19, F.lit("p90")).when(c20 == 20, F.lit("cluster")),
-            "mapvar_10": shared.when(c10 == 10, F.lit("cluster")),
-            "mapvar_5": F.when(c20 >= 17, F.lit("cluster")).when(c20 < 17, F.lit("low density")),
-        }
-    )
+    return df.withColumns({cut: F.expr(rule) for cut, rule in CATEGORIES.items()})
 
 
 def categories_long(df: DataFrame) -> DataFrame:
@@ -44,20 +44,18 @@ def categories_long(df: DataFrame) -> DataFrame:
     return wide.unpivot(ids, list(fv.CUT_COLUMNS), "num_quant", "mapvar")
 
 
+def named_minimum(share: float) -> tuple[str, float]:
+    """Name and factor of a minimum share; an unknown share acts as zero."""
+    return fv.MINIMUM_SHARES.get(float(share), fv.MINIMUM_SHARES[0.0])
+
+
 def minimum_grid(minimums: Sequence[float]) -> Column:
-    """Array of (share, name, factor) rows; an unknown share acts as zero."""
-    zero = fv.MINIMUM_SHARES[0.0]
-    rows = []
-    for share in minimums:
-        name, factor = fv.MINIMUM_SHARES.get(float(share), zero)
-        rows.append(
-            F.struct(
-                F.lit(float(share)).alias("share"),
-                F.lit(name).alias("name"),
-                F.lit(float(factor)).alias("factor"),
-            )
-        )
-    return F.array(*rows)
+    """Array of (share, name, factor) rows."""
+    rows = ", ".join(
+        "named_struct('share', {}D, 'name', '{}', 'factor', {}D)".format(float(m), *named_minimum(m))
+        for m in minimums
+    )
+    return F.expr(f"array({rows})")
 
 
 def metro_minimums(
@@ -80,7 +78,7 @@ def minimums_lookup(
     met_jobs: DataFrame, share: float, cbsa: str | None = None, year: int | None = None
 ) -> DataFrame:
     """Rows of one minimum share, for all metros or one metro and year."""
-    name = fv.MINIMUM_SHARES.get(float(share), fv.MINIMUM_SHARES[0.0])[0]
+    name = named_minimum(share)[0]
     found = met_jobs.filter(F.col("pp_min") == name)
     if cbsa is not None:
         found = found.filter(F.col("cbsa") == cbsa)
@@ -89,12 +87,12 @@ def minimums_lookup(
     return found.select("cbsa", "year", "job_min")
 
 
-def apply_minimum(category: Column, measure: Column, minimum: Column) -> Column:
+def apply_minimum_sql(category: str, measure: str, minimum: str) -> str:
     """A cluster at or under the minimum is only dense; other categories stay."""
     return (
-        F.when((category == "cluster") & (measure > minimum), F.lit("cluster"))
-        .when((category == "cluster") & (measure <= minimum), F.lit("high density"))
-        .when(category != "cluster", category)
+        f"CASE WHEN {category} = 'cluster' AND {measure} > {minimum} THEN 'cluster'"
+        f" WHEN {category} = 'cluster' AND {measure} <= {minimum} THEN 'high density'"
+        f" WHEN {category} <> 'cluster' THEN {category} END"
     )
 
 
@@ -112,21 +110,18 @@ def cluster_flags(
     joined = join_nullsafe(long, totals, ["cbsa", "year"])
     grid = joined.withColumn("_m", F.explode(minimum_grid(minimums)))
     return (
-        grid.withColumn("job_min", F.col("_total") * F.col("_m.factor"))
-        .withColumn("pp_min", F.col("_m.share"))
-        .withColumn("mapvar", apply_minimum(F.col("mapvar"), F.col(measure), F.col("job_min")))
+        grid.withColumns({"job_min": F.expr("_total * _m.factor"), "pp_min": F.col("_m.share")})
+        .withColumn("mapvar", F.expr(apply_minimum_sql("mapvar", measure, "job_min")))
         .drop("_m", "_total")
     )
 
 
-def exceeded_minimums(measure: Column, metro_total: Column, minimums: Sequence[float]) -> Column:
+def exceeded_sql(measure: str, metro_total: str, minimums: Sequence[float]) -> str:
     """Bit ``j`` is set when the measure exceeds minimum ``j`` of the grid."""
-    zero = fv.MINIMUM_SHARES[0.0]
-    bits = F.lit(0)
-    for j, share in enumerate(minimums):
-        factor = fv.MINIMUM_SHARES.get(float(share), zero)[1]
-        bits = bits + (measure > metro_total * factor).cast("int") * (1 << j)
-    return bits
+    return " + ".join(
+        f"CAST({measure} > {metro_total} * {named_minimum(share)[1]}D AS INT) * {1 << j}"
+        for j, share in enumerate(minimums)
+    )
 
 
 def cluster_profile(
@@ -141,9 +136,9 @@ def cluster_profile(
     Input has one row per place with ``mapvar_*`` and ``metro_total``.  The output
     has a few dozen rows per key whatever the number of places or definitions.
     """
-    level = exceeded_minimums(F.col(measure), F.col("metro_total"), minimums)
-    return df.groupBy(*keys, *fv.CUT_COLUMNS, level.alias("_exceeds")).agg(
-        F.count(F.lit(1)).alias("_units"), *[total(m).alias(m) for m in measures]
+    exceeds = F.expr(f"{exceeded_sql(measure, 'metro_total', minimums)} AS _exceeds")
+    return df.groupBy(*keys, *fv.CUT_COLUMNS, exceeds).agg(
+        F.expr("count(1) AS _units"), *[F.expr(f"{total_sql(m)} AS {m}") for m in measures]
     )
 
 
@@ -153,26 +148,11 @@ def expand_definitions(
     cuts: Sequence[str] = fv.CUT_COLUMNS,
 ) -> DataFrame:
     """The profile under every (cut, minimum): ``num_quant``, ``pp_min``, ``mapvar``."""
-    definitions = F.array(
-        *[
-            F.struct(
-                F.lit(cut).alias("num_quant"),
-                F.lit(float(share)).alias("pp_min"),
-                F.col(cut).alias("category"),
-                F.col("_exceeds").bitwiseAND(F.lit(1 << j)).alias("bit"),
-            )
-            for cut in cuts
-            for j, share in enumerate(minimums)
-        ]
-    )
-    return (
-        profile.withColumn("_d", F.explode(definitions))
-        .withColumns(
-            {
-                "num_quant": F.col("_d.num_quant"),
-                "pp_min": F.col("_d.pp_min"),
-                "mapvar": apply_minimum(F.col("_d.category"), F.col("_d.bit"), F.lit(0)),
-            }
-        )
-        .drop("_d", "_exceeds", *fv.CUT_COLUMNS)
+    definitions = ", ".join(
+        f"named_struct('num_quant', '{cut}', 'pp_min', {float(share)}D,"
+        f" 'mapvar', {apply_minimum_sql(cut, f'(_exceeds & {1 << j})', '0')})"
+        for cut in cuts
+        for j, share in enumerate(minimums)
     )
+    kept = [c for c in profile.columns if c not in ("_exceeds", *fv.CUT_COLUMNS)]
+    return profile.selectExpr(*[f"`{c}`" for c in kept], f"inline(array({definitions}))")

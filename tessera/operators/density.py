@@ -34,7 +34,7 @@ def compute_density(
     dense = df.select(
         *kept,
         *[c for c in carry if c not in kept],
-        ratio(F.col(measure), F.col("ALAND_SQMI")).alias("density"),
+        ratio(measure, "ALAND_SQMI").alias("density"),
         level_key(F.col(unit), "county").alias("stcofips"),
     )
     return attach(dense, crosswalk.select("stcofips", *metro), "stcofips").drop("stcofips")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
-from tessera.functions.columns import ratio, sector_columns, total
+from tessera.functions.columns import ratio, ratio_sql, sector_columns, total_sql
 from tessera.functions.keys import exclude_regions
 from tessera.functions.sectors import sector_label
 from tessera.operators.clusters import expand_definitions
@@ -38,27 +38,24 @@ def sector_totals(
     kept = exclude_regions(df, "tract", states).filter(F.col("year").isin(*years))
     sums = kept.agg(
         *[
-            total(F.when(F.col("year") == y, F.col(s))).alias(f"{s}_{y}")
+            F.expr(f"{total_sql(f'CASE WHEN year = {y} THEN {s} END')} AS {s}_{y}")
             for y in years
             for s in sectors
         ]
     )
-    whole = {y: sum((F.col(f"{s}_{y}") for s in sectors), F.lit(0)) for y in years}
-
-    def sector(s):
-        emp = {y: F.col(f"{s}_{y}") for y in years}
-        share = {y: ratio(emp[y], whole[y]) * 100 for y in years}
-        return F.struct(
-            F.lit(s).alias("naics"),
-            emp[first].alias(f"emp_{first}"),
-            share[first].alias(f"share_{first}"),
-            emp[second].alias(f"emp_{second}"),
-            share[second].alias(f"share_{second}"),
-            (emp[second] - emp[first]).alias("job_change"),
-            (share[second] - share[first]).alias("share_change"),
+    whole = {y: "({})".format(" + ".join(f"{s}_{y}" for s in sectors)) for y in years}
+
+    def sector(s: str) -> str:
+        share = {y: f"({ratio_sql(f'{s}_{y}', whole[y])}) * 100" for y in years}
+        return (
+            f"named_struct('naics', '{s}',"
+            f" 'emp_{first}', {s}_{first}, 'share_{first}', {share[first]},"
+            f" 'emp_{second}', {s}_{second}, 'share_{second}', {share[second]},"
+            f" 'job_change', {s}_{second} - {s}_{first},"
+            f" 'share_change', {share[second]} - {share[first]})"
         )
 
-    return sums.select(F.inline(F.array(*[sector(s) for s in sectors])))
+    return sums.selectExpr(f"inline(array({', '.join(sector(s) for s in sectors)}))")
 
 
 def industry_totals(
@@ -83,10 +80,10 @@ def industry_cluster_shares(
         expand_definitions(profile.filter(F.col("year").isin(*years)), minimums, [cut])
         .filter(F.col("mapvar") == "cluster")
         .groupBy("year", "pp_min")
-        .agg(total("job_tot").alias("job_tot"), *[total(s).alias(s) for s in sectors])
+        .agg(*[F.expr(f"{total_sql(c)} AS {c}") for c in ("job_tot", *sectors)])
     )
     shares = in_clusters.select(
-        "year", "pp_min", *[(ratio(F.col(s), F.col("job_tot")) * 100).alias(s) for s in sectors]
+        "year", "pp_min", *[(ratio(s, "job_tot") * 100).alias(s) for s in sectors]
     ).unpivot(["year", "pp_min"], sectors, "naics", "share")
     return to_wide(shares, ["naics", "pp_min"], "year", "share", years, prefix="x")
 
@@ -96,6 +93,6 @@ def location_quotient(cluster_shares: DataFrame, totals: DataFrame, years: tuple
     national = totals.select("naics", *[f"share_{y}" for y in years])
     joined = cluster_shares.join(national, "naics", "left")
     return sector_label(
-        joined.withColumns({f"lq_{y}": ratio(F.col(f"x{y}"), F.col(f"share_{y}")) for y in years}),
+        joined.withColumns({f"lq_{y}": ratio(f"x{y}", f"share_{y}") for y in years}),
         new_column=True,
     )

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import total
+from tessera.functions.columns import total_sql
 from tessera.operators.joins import join_nullsafe
 from tessera.sources.staging import stage
 
@@ -49,45 +49,43 @@ def rank_rows(
     ).withColumn("_run", F.shiftright("_pos", PARTITION_BITS))
 
     # One row per (group, partition): at most groups + partitions rows.
-    in_group = Window.partitionBy(*group)
-    earlier = in_group.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = f"OVER (PARTITION BY {', '.join(f'`{g}`' for g in group) or '0'})"
+    earlier = whole[:-1] + " ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     runs = (
         placed.groupBy(*group, "_run")
         .agg(
-            F.min("_pos").alias("_first"),
-            F.count(value).alias("_count"),
-            *[total(source).alias(f"_sum_{name}") for name, source in group_totals.items()],
+            F.expr("min(_pos) AS _first"),
+            F.expr(f"count(`{value}`) AS _count"),
+            *[F.expr(f"{total_sql(source)} AS `_sum_{name}`") for name, source in group_totals.items()],
         )
-        .select(
-            *group,
+        .selectExpr(
+            *[f"`{g}`" for g in group],
             "_run",
-            (F.col("_first") - F.coalesce(F.sum("_count").over(earlier), F.lit(0))).alias("_base"),
-            F.sum("_count").over(in_group).alias(size),
-            *[F.sum(f"_sum_{name}").over(in_group).alias(name) for name in group_totals],
+            f"_first - coalesce(sum(_count) {earlier}, 0) AS _base",
+            f"sum(_count) {whole} AS `{size}`",
+            *[f"sum(`_sum_{name}`) {whole} AS `{name}`" for name in group_totals],
         )
     )
     # Staged so that Spark knows its true size when it picks the join.
     ranked = join_nullsafe(placed, stage(runs, "runs"), [*group, "_run"], "inner")
-    position = F.when(F.col(value).isNotNull(), F.col("_pos") - F.col("_base") + 1)
+    position = F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN _pos - _base + 1 END")
     return ranked.withColumn(rank, position).drop("_pos", "_run", "_base")
 
 
-def tile_of(rank: Column, size: Column, tiles: int, method: str = "large_first") -> Column:
-    """Tile number of a rank.
+def tile_sql(rank: str, size: str, tiles: int, method: str = "large_first") -> str:
+    """SQL text of the tile number of a rank.
 
     ``large_first`` gives the SQL ``ntile`` sizes, ``floor`` the older even spread.
     """
     if method == "floor":
-        return (F.floor(tiles * (rank - 1) / size) + 1).cast("int")
+        return f"CAST(floor({tiles} * ({rank} - 1) / {size}) + 1 AS INT)"
     if method != "large_first":
         raise ValueError(f"unknown tile method {method!r}")
-    small = F.floor(size / tiles).cast("bigint")
-    extra = size % tiles
-    in_large = extra * (small + 1)
+    small, extra = f"({size} DIV {tiles})", f"({size} % {tiles})"
+    in_large = f"{extra} * ({small} + 1)"
     return (
-        F.when(rank <= in_large, F.ceil(rank / (small + 1)))
-        .otherwise(extra + F.ceil(F.try_divide(rank - in_large, small)))
-        .cast("int")
+        f"CAST(CASE WHEN {rank} <= {in_large} THEN ceil({rank} / ({small} + 1))"
+        f" ELSE {extra} + ceil(try_divide({rank} - {in_large}, {small})) END AS INT)"
     )
 
 
@@ -103,10 +101,10 @@ def with_tiles(
     """All tile columns ``dense_cat_n`` and flags ``most_dense_n`` from one ranking."""
     ranked = rank_rows(df, group, value, unit, group_totals=group_totals, rank="_rank", size="_size")
     tiled = ranked.withColumns(
-        {f"dense_cat_{n}": tile_of(F.col("_rank"), F.col("_size"), n, method) for n in tiles}
+        {f"dense_cat_{n}": F.expr(tile_sql("_rank", "_size", n, method)) for n in tiles}
     )
     return tiled.withColumns(
-        {f"most_dense_{n}": F.col(f"dense_cat_{n}") == n for n in tiles}
+        {f"most_dense_{n}": F.expr(f"dense_cat_{n} = {n}") for n in tiles}
     ).drop("_rank", "_size")
 
 
@@ -115,7 +113,7 @@ def top_tiles(
 ) -> DataFrame:
     """Rows in the tiles numbered above ``above``; no group means the whole table."""
     ranked = rank_rows(df, group, value, unit, rank="_rank", size="_size")
-    return ranked.filter(tile_of(F.col("_rank"), F.col("_size"), tiles) > above).drop("_rank", "_size")
+    return ranked.filter(f"{tile_sql('_rank', '_size', tiles)} > {above}").drop("_rank", "_size")
 
 
 def quantiles(
@@ -133,26 +131,22 @@ def quantiles(
     """
     group, unit = list(group), list(unit)
     keep = list(dict.fromkeys([*group, *unit]))
-    long = df.select(*keep, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(
-        keep, list(measures), "measure", "value"
-    )
+    long = df.selectExpr(
+        *[f"`{c}`" for c in keep], *[f"CAST(`{m}` AS DOUBLE) AS `{m}`" for m in measures]
+    ).unpivot(keep, list(measures), "measure", "value")
     ranked = rank_rows(long, [*group, "measure"], "value", unit, rank="_rank", size="n")
-    # Every group keeps a row even when it has no value at all.
-    spot = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-    low = {name: F.floor(h).cast("bigint") + 1 for name, h in spot.items()}
-    high = {name: F.ceil(h).cast("bigint") + 1 for name, h in spot.items()}
-    picks = []
-    for name in probabilities:
-        picks.append(F.max(F.when(F.col("_rank") == low[name], F.col("value"))).alias(f"_lo_{name}"))
-        picks.append(F.max(F.when(F.col("_rank") == high[name], F.col("value"))).alias(f"_hi_{name}"))
+    # Each quantile lies between two order statistics: pick both by rank.
+    spot = {name: f"((n - 1) * {float(p)}D)" for name, p in probabilities.items()}
+    picks, between = [], []
+    for name, at in spot.items():
+        for side in ("floor", "ceil"):
+            hit = f"_rank = CAST({side}({at}) AS BIGINT) + 1"
+            picks.append(F.expr(f"max(CASE WHEN {hit} THEN value END) AS `_{side}_{name}`"))
+        lo, hi = f"`_floor_{name}`", f"`_ceil_{name}`"
+        line = f"{lo} + ({at} - floor({at})) * ({hi} - {lo})"
+        between.append(f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {line} END AS `{name}`")
     grouped = ranked.groupBy(*group, "measure", "n").agg(*picks)
-
-    def between(name):
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        part = spot[name] - F.floor(spot[name])
-        return F.when(lo == hi, lo).otherwise(lo + part * (hi - lo)).alias(name)
-
-    return grouped.select(*group, "measure", "n", *[between(name) for name in probabilities])
+    return grouped.selectExpr(*[f"`{g}`" for g in group], "measure", "n", *between)
 
 
 def approximate_quantiles(

@@ -43,7 +43,7 @@ def with_deltas(df: DataFrame, count: str, thousands: str, guarded: bool = False
     """Second source in units, difference, and difference relative to it."""
     compared = df.withColumn("m_tot", F.col(thousands) * 1000)
     compared = compared.withColumn("delta", F.col(count) - F.col("m_tot"))
-    relative = ratio(F.col("delta"), F.col("m_tot"))
+    relative = ratio("delta", "m_tot")
     if guarded:
         relative = F.when(F.col("m_tot") > 0, relative).when(F.col("m_tot") <= 0, 0.0)
     return compared.withColumn("percent_delta", relative)
@@ -61,7 +61,7 @@ def county_check(counties: DataFrame, totals: DataFrame, year: int) -> DataFrame
 def overall_check(check: DataFrame) -> DataFrame:
     """One row: summed difference, and its ratio to the second source."""
     return check.agg(total("delta").alias("delta"), total("m_tot").alias("m_tot")).withColumn(
-        "percent_delta", ratio(F.col("delta"), F.col("m_tot"))
+        "percent_delta", ratio("delta", "m_tot")
     )
 
 
@@ -128,7 +128,7 @@ def metro_sector_check(
     )
     compared = with_deltas(summed, "jobs", y, guarded).withColumn(
         "delta_share",
-        F.when(F.col("job_tot") > 0, ratio(F.col("delta"), F.col("job_tot"))).when(
+        F.when(F.col("job_tot") > 0, ratio("delta", "job_tot")).when(
             F.col("job_tot") <= 0, 0.0
         ),
     )

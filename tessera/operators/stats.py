@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
-from tessera.functions.columns import ratio, total
+from tessera.functions.columns import ratio, total, total_sql
 from tessera.functions.keys import level_key, short_name
 from tessera.operators.joins import attach, join_nullsafe, non_members
-from tessera.operators.ranking import quantiles, rank_rows, tile_of, top_tiles
+from tessera.operators.ranking import quantiles, rank_rows, tile_sql, top_tiles
 
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
@@ -26,7 +26,7 @@ def job_places(lehd: DataFrame) -> DataFrame:
         level_key(F.col("tract"), "state").alias("stfips"),
         "job_tot",
         "ALAND_SQMI",
-        ratio(F.col("job_tot"), F.col("ALAND_SQMI")).alias("jobs_sqmi"),
+        ratio("job_tot", "ALAND_SQMI").alias("jobs_sqmi"),
     )
 
 
@@ -37,7 +37,7 @@ def pop_density(population: DataFrame, area: DataFrame, crosswalk: DataFrame) ->
         level_key(F.col("tract"), "county").alias("stcofips"),
         "pop",
         "ALAND_SQMI",
-        ratio(F.col("pop"), F.col("ALAND_SQMI")).alias("pop_sqmi"),
+        ratio("pop", "ALAND_SQMI").alias("pop_sqmi"),
     )
     named = attach(dense, crosswalk.select("stcofips", "cbsa", "cbsa_name"), "stcofips")
     return named.withColumn("short_name", short_name(F.col("cbsa_name")))
@@ -49,12 +49,12 @@ def most_dense(places: DataFrame, value: str = "jobs_sqmi", by: Sequence[str] =
 
 
 def dense_share(places: DataFrame, measure: str, value: str, by: Sequence[str] = ("year",)) -> DataFrame:
-    """Share of a measure held by the densest places."""
+    """Share of a measure held by the densest places, and how many they are."""
     ranked = rank_rows(places, by, value, ["tract"], rank="_rank", size="_size")
-    top = tile_of(F.col("_rank"), F.col("_size"), 100) > 97
+    top = f"{tile_sql('_rank', '_size', 100)} > 97"
     return ranked.groupBy(*by).agg(
-        ratio(total(F.when(top, F.col(measure))), total(measure)).alias("dense_share"),
-        F.count_if(top).alias("dense_units"),
+        ratio(total_sql(f"CASE WHEN {top} THEN {measure} END"), f"sum({measure})").alias("dense_share"),
+        F.expr(f"count_if({top}) AS dense_units"),
     )
 
 
@@ -189,7 +189,7 @@ def stack_fill(df: DataFrame, bar: Sequence[str], value: str) -> DataFrame:
     sums = df.groupBy(*bar).agg(F.sum(value).alias("_bar"))
     return (
         join_nullsafe(df, sums, list(bar))
-        .withColumn("part", ratio(F.col(value), F.col("_bar")))
+        .withColumn("part", ratio(value, "_bar"))
         .drop("_bar")
     )
 

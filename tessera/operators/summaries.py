@@ -4,46 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
-from tessera.functions.columns import lookup, ratio, total
+from tessera.functions.columns import lookup, ratio, total_sql
 from tessera.operators.joins import members
 from tessera.operators.lookup import top_metros
 from tessera.operators.ranking import quantiles
 
 
 def national_clusters(
-    defined: DataFrame,
-    denominator: Column | None = None,
-    restrict_numerator: bool = False,
+    defined: DataFrame, counted: str = "true", restrict_numerator: bool = False
 ) -> DataFrame:
     """Jobs in clusters and their share of all jobs, per year, cut and minimum.
 
-    ``denominator`` marks the profile rows that count as "all jobs" (default: all of
-    them).  Clusters outside it still count in the numerator, as in the published
-    second form, unless ``restrict_numerator`` is set.  Definitions without any
-    cluster have no row.
+    ``counted`` is a condition for the profile rows that make up "all jobs".  Clusters
+    outside it still count in the numerator, as in the published second form, unless
+    ``restrict_numerator`` is set.  Definitions without any cluster have no row.
     """
-    counted = F.lit(True) if denominator is None else denominator
-    cluster = F.col("mapvar") == "cluster"
-    if restrict_numerator:
-        cluster = cluster & counted
+    cluster = f"mapvar = 'cluster' AND ({counted})" if restrict_numerator else "mapvar = 'cluster'"
     return (
         defined.groupBy("year", "num_quant", "pp_min")
         .agg(
-            total(F.when(cluster, F.col("job_tot"))).alias("jobs"),
-            total(F.when(counted, F.col("job_tot"))).alias("all_jobs"),
-            total(F.when(cluster, F.col("_units"))).alias("units"),
+            F.expr(f"{total_sql(f'CASE WHEN {cluster} THEN job_tot END')} AS jobs"),
+            F.expr(f"{total_sql(f'CASE WHEN {counted} THEN job_tot END')} AS all_jobs"),
+            F.expr(f"{total_sql(f'CASE WHEN {cluster} THEN _units END')} AS units"),
         )
-        .filter(F.col("units") > 0)
+        .filter("units > 0")
         .select(
             "year",
             lookup(F.col("num_quant"), fv.NATIONAL_CUT_NAMES).alias("Density"),
             F.col("pp_min").alias("Minimum job share"),
             F.col("jobs").alias("Jobs in clusters"),
-            (ratio(F.col("jobs"), F.col("all_jobs")) * 100).alias("% of jobs in clusters"),
+            (ratio("jobs", "all_jobs") * 100).alias("% of jobs in clusters"),
         )
     )
 
@@ -61,32 +55,32 @@ def two_periods(
     key is a key like any other.
     """
     values = [c for c in df.columns if c not in (*keys, period)]
-    sides = list(zip(periods, suffixes))
+    wanted = [
+        F.expr(f"max(CASE WHEN {period} = {p} THEN `{v}` END) AS `{v}{suffix}`")
+        for p, suffix in zip(periods, suffixes)
+        for v in values
+    ]
+    present = [F.expr(f"count_if({period} = {p}) AS _has{i}") for i, p in enumerate(periods)]
     return (
         df.filter(F.col(period).isin(*periods))
         .groupBy(*keys)
-        .agg(
-            *[F.count_if(F.col(period) == p).alias(f"_has{i}") for i, p in enumerate(periods)],
-            *[
-                F.max(F.when(F.col(period) == p, F.col(f"`{v}`"))).alias(v + suffix)
-                for p, suffix in sides
-                for v in values
-            ],
-        )
-        .filter((F.col("_has0") > 0) & (F.col("_has1") > 0))
+        .agg(*present, *wanted)
+        .filter("_has0 > 0 AND _has1 > 0")
         .drop("_has0", "_has1")
     )
 
 
 def metro_summary(defined: DataFrame, metros: DataFrame) -> DataFrame:
     """Counts per metro, year, cut and minimum, for the listed metros only."""
-    cluster, high = F.col("mapvar") == "cluster", F.col("mapvar") == "high density"
+    counts = {
+        "jobs": total_sql("job_tot"),
+        "cluster_jobs": total_sql("CASE WHEN mapvar = 'cluster' THEN job_tot END"),
+        "tr_ct": "sum(_units)",
+        "high_ct": total_sql("CASE WHEN mapvar = 'high density' THEN _units END"),
+        "cluster_ct": total_sql("CASE WHEN mapvar = 'cluster' THEN _units END"),
+    }
     summed = defined.groupBy("cbsa", "year", "num_quant", "pp_min").agg(
-        total("job_tot").alias("jobs"),
-        total(F.when(cluster, F.col("job_tot"))).alias("cluster_jobs"),
-        F.sum("_units").alias("tr_ct"),
-        total(F.when(high, F.col("_units"))).alias("high_ct"),
-        total(F.when(cluster, F.col("_units"))).alias("cluster_ct"),
+        *[F.expr(f"{text} AS {name}") for name, text in counts.items()]
     )
     return summed.join(metros.select("cbsa", "cbsa_name"), "cbsa").select(
         "cbsa",
@@ -106,8 +100,8 @@ def metro_shares(summary: DataFrame) -> DataFrame:
     """Derived shares, and the display name of the cut."""
     return summary.withColumns(
         {
-            "cluster_share": ratio(F.col("cluster_ct"), F.col("tr_ct")),
-            "job_share": ratio(F.col("cluster_jobs"), F.col("jobs")) * 100,
+            "cluster_share": ratio("cluster_ct", "tr_ct"),
+            "job_share": ratio("cluster_jobs", "jobs") * 100,
             "num_quant": lookup(F.col("num_quant"), fv.METRO_CUT_NAMES),
         }
     )

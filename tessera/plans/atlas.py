@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.config import Params
 from tessera.functions.keys import exclude_regions
@@ -17,7 +16,7 @@ from tessera.operators.rollup import rollup
 from tessera.operators.stats import job_places
 from tessera.operators.summaries import metro_shares, metro_summary
 from tessera.sources.staging import stage
-from tessera.sources.star import TYPE_SECTORS, Star, block_key
+from tessera.sources.star import TYPE_SECTORS, Star
 
 SECTORS = tuple(TYPE_SECTORS.values())
 
@@ -79,15 +78,3 @@ class Atlas:
     def places(self) -> DataFrame:
         """Job places, staged: the statistics pass over them more than once."""
         return stage(job_places(self.lehd(measures=["job_tot"])), "places")
-
-    def block_area(self) -> DataFrame:
-        """Land area by block, from order totals."""
-        blocks = (
-            self.star.table("orders")
-            .select("o_orderkey", "o_custkey", "o_totalprice")
-            .join(self.star.customers(), F.col("o_custkey") == F.col("c_custkey"))
-        )
-        return blocks.select(
-            block_key().alias("fips"),
-            F.floor(F.col("o_totalprice") / 10000).cast("double").alias("ALAND_SQMI"),
-        )

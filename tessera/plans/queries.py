@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ from tessera.operators import (
 from tessera.plans import views
 from tessera.plans.atlas import SECTORS, Atlas
 from tessera.sources import files, staging
-from tessera.sources.star import county_key
+from tessera.sources.star import COUNTY
 
 YEARS = (1996, 1997)
 PARAMS = Params(excluded_states=("04",), excluded_metros=("M2",), years=YEARS)
@@ -56,13 +56,12 @@ def query(build: Callable[[Atlas], DataFrame]) -> Query:
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     """Round doubles (all, or the named ones) and turn -0.0 into 0.0."""
 
-    def value(field) -> Column:
-        column = F.col(f"`{field.name}`")
+    def value(field) -> str:
         if isinstance(field.dataType, T.DoubleType) and (not names or field.name in names):
-            return (F.round(column, places) + F.lit(0.0)).alias(field.name)
-        return column
+            return f"round(`{field.name}`, {places}) + 0D AS `{field.name}`"
+        return f"`{field.name}`"
 
-    return df.select(*[value(f) for f in df.schema.fields])
+    return df.selectExpr(*[value(f) for f in df.schema.fields])
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -116,7 +115,8 @@ def pad_code(a: Atlas) -> DataFrame:
 
 @query
 def key_levels(a: Atlas) -> DataFrame:
-    return keys.with_levels(a.star.wac().select("fips", "year", "job_tot"), "fips")
+    blocks = rollup.grouped_totals(a.star.wac(), ["fips", "year"], job_tot="job_tot")
+    return keys.with_levels(blocks, "fips")
 
 
 @query
@@ -135,16 +135,9 @@ def remap_codes(a: Atlas) -> DataFrame:
 
 @query
 def compose_key(a: Atlas) -> DataFrame:
-    blocks = (
-        a.star.table("orders")
-        .select("o_orderkey", "o_custkey")
-        .join(a.star.customers(), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            "o_orderkey",
-            county_key().alias("county"),
-            (F.col("o_custkey") / F.lit(100.0)).alias("tract"),
-            F.col("o_orderkey").alias("block"),
-        )
+    orders = a.star.table("orders").select("o_orderkey", "o_custkey")
+    blocks = a.star.located(orders, "o_custkey").selectExpr(
+        "o_orderkey", f"{COUNTY} AS county", "o_custkey / 100D AS tract", "o_orderkey AS block"
     )
     return keys.compose_block_key(blocks, "county", "tract", "block").select("o_orderkey", "fips")
 
@@ -423,7 +416,7 @@ def tract_density(a: Atlas) -> DataFrame:
 @query
 def block_density(a: Atlas) -> DataFrame:
     counts = a.star.wac().select("fips", "year", "job_tot")
-    return density.compute_block_density(counts, a.block_area(), "job_tot", a.metros())
+    return density.compute_block_density(counts, a.star.block_area(), "job_tot", a.metros())
 
 
 @query
@@ -492,7 +485,7 @@ def national_two_year(a: Atlas) -> DataFrame:
 @query
 def national_two_year_topmetro(a: Atlas) -> DataFrame:
     found = summaries.national_clusters(
-        a.defined(["year", "top100"], PARAMS.minimums), F.col("top100") == 1
+        a.defined(["year", "top100"], PARAMS.minimums), "top100 = 1"
     )
     return rounded(
         summaries.two_periods(found, ["Density", "Minimum job share"], YEARS, (" 1996", " 1997"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
-from tessera.operators.clusters import apply_minimum
+from tessera.operators.clusters import apply_minimum_sql, named_minimum
 from tessera.operators.geo import geo_attribute_join
 from tessera.operators.stats import density_curve
 
@@ -27,13 +27,13 @@ def cluster_view(
 ) -> DataFrame:
     """Map rows of one metro and year under one cut and minimum share."""
     cut = fv.CUT_CHOICES[choice]
-    factor = fv.MINIMUM_SHARES.get(float(minimum), fv.MINIMUM_SHARES[0.0])[1]
+    least = f"metro_total * {named_minimum(minimum)[1]}D"
     units = categories.filter((F.col("cbsa_name") == cbsa_name) & (F.col("year") == year)).select(
         unit,
         "job_tot",
         "density",
         "ALAND_SQMI",
-        apply_minimum(F.col(cut), F.col("job_tot"), F.col("metro_total") * factor).alias("mapvar"),
+        F.expr(apply_minimum_sql(cut, "job_tot", least)).alias("mapvar"),
     )
     return geo_attribute_join(units, bounds, unit)
 

@@ -7,7 +7,7 @@ summed quantities, sectors are part types, periods are all order years.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import total
@@ -33,28 +33,25 @@ TYPE_SERIES = {
 }
 
 
-def code(column: str, width: int) -> Column:
-    return F.lpad(F.col(column).cast("string"), width, "0")
-
-
-def county_key() -> Column:
-    return F.concat(code("n_regionkey", 2), code("n_nationkey", 3))
-
-
-def tract_key() -> Column:
-    return F.concat(county_key(), code("c_custkey", 6))
-
-
-def block_key() -> Column:
-    return F.concat(tract_key(), code("o_orderkey", 7))
-
-
-def metro_number() -> Column:
-    return (F.col("n_nationkey") % 4).cast("string")
-
-
-def metro_key() -> Column:
-    return F.concat(F.lit("M"), metro_number())
+# Place keys as SQL text over the joined customer, nation and order columns.
+COUNTY = "concat(lpad(CAST(n_regionkey AS STRING), 2, '0'), lpad(CAST(n_nationkey AS STRING), 3, '0'))"
+TRACT = f"concat({COUNTY}, lpad(CAST(c_custkey AS STRING), 6, '0'))"
+BLOCK = f"concat({TRACT}, lpad(CAST(o_orderkey AS STRING), 7, '0'))"
+METRO_NUMBER = "CAST(n_nationkey % 4 AS STRING)"
+
+
+# Columns and types of the star schema's files.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
 
 
 class Star:
@@ -65,111 +62,105 @@ class Star:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Declared schema, so building a plan reads no file."""
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def located(self, df: DataFrame, customer_key: str) -> DataFrame:
+        """Add the customer's and its nation's keys.
+
+        One join after the other, so that each dimension is sized by its own files.
+        """
+        customer = self.table("customer").select("c_custkey", "c_nationkey")
+        nation = self.table("nation").select("n_nationkey", "n_regionkey")
+        return df.join(customer, F.expr(f"{customer_key} = c_custkey")).join(
+            nation, F.expr("c_nationkey = n_nationkey")
+        )
 
     def customers(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
-        customer = self.table("customer").select("c_custkey", "c_nationkey", "c_acctbal")
-        return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        return self.table("customer").join(nation, F.expr("c_nationkey = n_nationkey"))
 
-    def line_parts(self) -> DataFrame:
+    def typed_lines(self, *columns: str) -> DataFrame:
         part = self.table("part").select("p_partkey", "p_type")
-        line = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
-        return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        line = self.table("lineitem").select("l_orderkey", "l_partkey", *columns)
+        return line.join(part, F.expr("l_partkey = p_partkey"))
+
+    def orders(self, *columns: str, year: int | None = None) -> DataFrame:
+        """Orders; a year becomes a date range that reaches the scan."""
+        orders = self.table("orders")
+        if year is not None:
+            orders = orders.filter(
+                f"o_orderdate >= timestamp_ntz'{year}-01-01' AND o_orderdate < timestamp_ntz'{year + 1}-01-01'"
+            )
+        return orders.select("o_orderkey", "o_custkey", *columns)
 
     def wac(self, year: int | None = None) -> DataFrame:
         """Block counts by year, one column per sector.
 
-        Lines are summed per order before they meet the orders, so an order with
-        very many lines is combined on the map side.  A year becomes a date range
-        that reaches the scan.
+        Lines are summed per order before they meet the orders: an order with very
+        many lines combines on the map side, the join needs no second shuffle of the
+        sums, and keys are spelled out once per order instead of once per line.
         """
-        sectors = {
-            sector: F.sum(F.when(F.col("p_type") == kind, F.col("l_quantity")).otherwise(0.0))
+        by_sector = [
+            F.expr(f"sum(CASE WHEN p_type = '{kind}' THEN l_quantity ELSE 0D END) AS {sector}")
             for kind, sector in TYPE_SECTORS.items()
-        }
+        ]
         per_order = (
-            self.line_parts()
+            self.typed_lines("l_quantity")
             .groupBy("l_orderkey")
-            .agg(
-                F.sum("l_quantity").alias("job_tot"),
-                *[expr.alias(name) for name, expr in sectors.items()],
-            )
-        )
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        if year is not None:
-            orders = orders.filter(
-                F.col("o_orderdate").between(
-                    F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz"),
-                    F.lit(f"{year}-12-31 23:59:59.999999").cast("timestamp_ntz"),
-                )
-            )
-        counts = ["job_tot", *TYPE_SECTORS.values()]
-        return (
-            per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.customers(), F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(
-                block_key().alias("fips"),
-                F.year("o_orderdate").alias("year"),
-            )
-            .agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
+            .agg(F.expr("sum(l_quantity) AS job_tot"), *by_sector)
         )
+        orders = self.orders("o_orderdate", year=year)
+        counts = [f"CAST({c} AS BIGINT) AS {c}" for c in ("job_tot", *TYPE_SECTORS.values())]
+        return self.located(
+            per_order.join(orders, F.expr("l_orderkey = o_orderkey")), "o_custkey"
+        ).selectExpr(f"{BLOCK} AS fips", "year(o_orderdate) AS year", *counts)
 
     def area(self) -> DataFrame:
         """Tract land area; missing for negative balances, zero for small ones."""
-        land = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100).cast("double"))
-        return self.customers().groupBy(tract_key().alias("tract")).agg(F.sum(land).alias("ALAND_SQMI"))
+        land = "sum(CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 100) AS DOUBLE) END)"
+        return self.customers().groupBy(F.expr(f"{TRACT} AS tract")).agg(F.expr(f"{land} AS ALAND_SQMI"))
 
     def crosswalk(self) -> DataFrame:
         """All counties; nations from 20 on are not in a metropolitan area."""
-        number = F.col("n_nationkey") % 4
-        metro = F.col("n_nationkey") < 20
-        town = F.concat(F.lit("City"), metro_number(), F.lit("-Town, R"), metro_number())
-        small = F.concat(F.lit("U"), F.col("n_nationkey").cast("string"))
-        return self.table("nation").select(
-            county_key().alias("stcofips"),
-            F.when(metro, metro_key()).otherwise(small).alias("cbsa"),
-            F.when(~metro, F.concat(F.lit("Small "), small))
-            .when(number == 0, F.lit("Solo, R0"))
-            .otherwise(town)
-            .alias("cbsa_name"),
-            F.when(metro, F.lit("Metropolitan Statistical Area"))
-            .otherwise(F.lit("Micropolitan Statistical Area"))
-            .alias("metro_micro"),
-            F.when(metro & (number < 3), 1).otherwise(0).alias("top100"),
+        small = "concat('U', CAST(n_nationkey AS STRING))"
+        return self.table("nation").selectExpr(
+            f"{COUNTY} AS stcofips",
+            f"CASE WHEN n_nationkey < 20 THEN concat('M', {METRO_NUMBER}) ELSE {small} END AS cbsa",
+            f"""CASE WHEN n_nationkey >= 20 THEN concat('Small ', {small})
+                     WHEN n_nationkey % 4 = 0 THEN 'Solo, R0'
+                     ELSE concat('City', {METRO_NUMBER}, '-Town, R', {METRO_NUMBER}) END AS cbsa_name""",
+            """CASE WHEN n_nationkey < 20 THEN 'Metropolitan Statistical Area'
+                    ELSE 'Micropolitan Statistical Area' END AS metro_micro""",
+            "CASE WHEN n_nationkey < 20 AND n_nationkey % 4 < 3 THEN 1 ELSE 0 END AS top100",
         )
 
     def emp(self) -> DataFrame:
         """Second source in thousands by ship year, with an all-industries row."""
-        series = F.lit(None).cast("string")
-        for kind, name in TYPE_SERIES.items():
-            series = F.when(F.col("p_type") == kind, F.lit(name)).otherwise(series)
-
-        def shipped(year: int) -> Column:
-            return F.sum(F.when(F.year("l_shipdate") == year, F.col("l_quantity")).otherwise(0.0))
-
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        series = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in TYPE_SERIES.items())
+        shipped = [
+            F.expr(f"sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity ELSE 0D END) AS q{y}")
+            for y in (1996, 1997)
+        ]
+        lines = self.typed_lines("l_quantity", "l_shipdate").join(
+            self.orders(), F.expr("l_orderkey = o_orderkey")
+        )
         by_county = (
-            self.line_parts()
-            .groupBy("l_orderkey", "p_type")
-            .agg(shipped(1996).alias("q1996"), shipped(1997).alias("q1997"))
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.customers(), F.col("o_custkey") == F.col("c_custkey"))
-            .withColumns({"stcofips": county_key(), "series": series})
+            self.located(lines, "o_custkey")
+            .groupBy("n_regionkey", "n_nationkey", "p_type")
+            .agg(*shipped)
+            .selectExpr(f"{COUNTY} AS stcofips", f"CASE p_type {series} END AS series", "q1996", "q1997")
         )
         keys = [F.col("stcofips"), F.col("series")]
         return (
             by_county.groupingSets([keys, keys[:1]], *keys)
             .agg(
-                F.grouping("series").alias("_all"),
-                (F.sum("q1996") / 1000.0).alias("1996"),
-                (F.sum("q1997") / 1000.0).alias("1997"),
+                F.expr("grouping(series) AS _all"),
+                F.expr("sum(q1996) / 1000D AS `1996`"),
+                F.expr("sum(q1997) / 1000D AS `1997`"),
             )
-            .select(
-                "stcofips",
-                F.when(F.col("_all") == 1, F.lit("RETAXAC")).otherwise(F.col("series")).alias("DBcode"),
-                F.col("`1996`"),
-                F.col("`1997`"),
+            .selectExpr(
+                "stcofips", "CASE WHEN _all = 1 THEN 'RETAXAC' ELSE series END AS DBcode", "`1996`", "`1997`"
             )
         )
 
@@ -177,48 +168,57 @@ class Star:
         per_customer = self.table("orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
         return (
             self.customers()
-            .join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
-            .groupBy(tract_key().alias("tract"))
+            .join(per_customer, F.expr("c_custkey = o_custkey"), "left")
+            .groupBy(F.expr(f"{TRACT} AS tract"))
             .agg((total("n") * 100).alias("pop"))
         )
 
+    def block_area(self) -> DataFrame:
+        """Land area by block, from order totals."""
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+        return self.located(orders, "o_custkey").selectExpr(
+            f"{BLOCK} AS fips", "CAST(floor(o_totalprice / 10000) AS DOUBLE) AS ALAND_SQMI"
+        )
+
     def centres(self) -> DataFrame:
         """Metro centres: M1 is missing (0/0)."""
-        number = F.col("n_nationkey") % 4
-        missing = number == 1
         return (
             self.table("nation")
-            .filter(F.col("n_nationkey") < 20)
-            .select(
-                metro_key().alias("cbsa"),
-                F.when(missing, 0.0).otherwise((number + 30).cast("double")).alias("lat"),
-                F.when(missing, 0.0).otherwise((-80 - number).cast("double")).alias("lon"),
+            .filter("n_nationkey < 20")
+            .selectExpr(
+                f"concat('M', {METRO_NUMBER}) AS cbsa",
+                "CASE WHEN n_nationkey % 4 = 1 THEN 0D ELSE CAST(30 + n_nationkey % 4 AS DOUBLE) END AS lat",
+                "CASE WHEN n_nationkey % 4 = 1 THEN 0D ELSE CAST(-80 - n_nationkey % 4 AS DOUBLE) END AS lon",
             )
             .distinct()
         )
 
     def bounds(self) -> DataFrame:
         """One square ring per tract with positive area; the others have none."""
-        east = F.substring("tract", 6, 3).cast("double")
-        north = F.substring("tract", 9, 3).cast("double")
-        side = F.sqrt("ALAND_SQMI")
-
-        def corner(dx: int, dy: int) -> Column:
-            return F.struct((east + side * dx).alias("lon"), (north + side * dy).alias("lat"))
-
-        ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-        return (
-            self.area()
-            .filter(F.col("ALAND_SQMI") > 0)
-            .select(F.col("tract").alias("geoid"), F.array(ring).alias("rings"))
+        placed = self.area().filter("ALAND_SQMI > 0").selectExpr(
+            "tract AS geoid",
+            "CAST(substring(tract, 6, 3) AS DOUBLE) AS x",
+            "CAST(substring(tract, 9, 3) AS DOUBLE) AS y",
+            "sqrt(ALAND_SQMI) AS side",
         )
+        return squares(placed)
 
     def county_bounds(self) -> DataFrame:
-        """One square ring per county, side one, placed by nation number."""
-        east, north = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+        """One square ring per county, side one, placed by nation and region number."""
+        return squares(
+            self.table("nation").selectExpr(
+                f"{COUNTY} AS geoid",
+                "CAST(n_nationkey AS DOUBLE) AS x",
+                "CAST(n_regionkey AS DOUBLE) AS y",
+                "1D AS side",
+            )
+        )
 
-        def corner(dx: int, dy: int) -> Column:
-            return F.struct((east + dx).alias("lon"), (north + dy).alias("lat"))
 
-        ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-        return self.table("nation").select(county_key().alias("geoid"), F.array(ring).alias("rings"))
+def squares(placed: DataFrame) -> DataFrame:
+    """Boundary rows with one closed square ring per place."""
+    corners = ", ".join(
+        f"named_struct('lon', x + side * {dx}, 'lat', y + side * {dy})"
+        for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    )
+    return placed.selectExpr("geoid", f"array(array({corners})) AS rings")
