@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
 from tessera.functions.columns import total, total_sql
-from tessera.operators.joins import join_nullsafe
+from tessera.operators.joins import join_summary
 
 
 # Tiles of 20 below 17, and a missing tile, are "low density" under the two finer cuts.
@@ -107,7 +107,7 @@ def cluster_flags(
         met_jobs.filter(F.col("pp_min") == fv.MINIMUM_SHARES[1.0][0])
         .select("cbsa", "year", F.col(measure).alias("_total"))
     )
-    joined = join_nullsafe(long, totals, ["cbsa", "year"])
+    joined = join_summary(long, totals, ["cbsa", "year"])
     grid = joined.withColumn("_m", F.explode(minimum_grid(minimums)))
     return (
         grid.withColumns({"job_min": F.expr("_total * _m.factor"), "pp_min": F.col("_m.share")})

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import stage
+
 
 def join_nullsafe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
@@ -25,6 +27,18 @@ def join_nullsafe(
     return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_summary(
+    left: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Null-safe join of a small aggregate back to the many rows it came from.
+
+    The aggregate is staged first.  Then its true size is known when the join is
+    planned: it is broadcast under the threshold, without shuffling the many rows on
+    a key with few values, and is shuffled otherwise.
+    """
+    return join_nullsafe(left, stage(summary, "summary"), keys, how)
+
+
 def attach(left: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left join of dimension attributes on one key."""
     return left.join(dimension, key, "left")

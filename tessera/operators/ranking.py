@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import total_sql
-from tessera.operators.joins import join_nullsafe
+from tessera.operators.joins import join_summary
 from tessera.sources.staging import stage
 
 PARTITION_BITS = 33  # monotonically_increasing_id: row number in the low 33 bits
@@ -66,8 +66,7 @@ def rank_rows(
             *[f"sum(`_sum_{name}`) {whole} AS `{name}`" for name in group_totals],
         )
     )
-    # Staged so that Spark knows its true size when it picks the join.
-    ranked = join_nullsafe(placed, stage(runs, "runs"), [*group, "_run"], "inner")
+    ranked = join_summary(placed, runs, [*group, "_run"], "inner")
     position = F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN _pos - _base + 1 END")
     return ranked.withColumn(rank, position).drop("_pos", "_run", "_base")
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as fv
 from tessera.functions.columns import ratio, total, total_sql
 from tessera.functions.keys import level_key, short_name
-from tessera.operators.joins import attach, join_nullsafe, non_members
+from tessera.operators.joins import attach, join_nullsafe, join_summary, non_members
 from tessera.operators.ranking import quantiles, rank_rows, tile_sql, top_tiles
 
-def finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+def finite_sql(value: str) -> str:
+    return f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < DOUBLE('Infinity')"
 
 
 def job_places(lehd: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def stack_fill(df: DataFrame, bar: Sequence[str], value: str) -> DataFrame:
     """Part of each row in the sum of its bar."""
     sums = df.groupBy(*bar).agg(F.sum(value).alias("_bar"))
     return (
-        join_nullsafe(df, sums, list(bar))
+        join_summary(df, sums, list(bar))
         .withColumn("part", ratio(value, "_bar"))
         .drop("_bar")
     )
@@ -196,10 +196,8 @@ def stack_fill(df: DataFrame, bar: Sequence[str], value: str) -> DataFrame:
 
 def bin_bounds(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
     """Per group: lower end and width of equal bins over the finite values."""
-    spread = df.filter(finite(F.col(value))).groupBy(*by).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
-    return spread.select(*by, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("width"))
+    ends = [f"min({value}) AS lo", f"(max({value}) - min({value})) / {bins} AS width"]
+    return df.filter(finite_sql(value)).groupBy(*by).agg(*[F.expr(e) for e in ends])
 
 
 def histogram(
@@ -207,18 +205,13 @@ def histogram(
 ) -> DataFrame:
     """Counts in equal-width bins, closed on the left, the last one on both sides."""
     bounds = bin_bounds(df, value, bins, by)
-    placed = join_nullsafe(df.filter(finite(F.col(value))).select(*by, value), bounds, list(by), "inner")
-    slot = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), F.col("width"))), F.lit(0))
+    usable = df.filter(finite_sql(value)).select(*by, value)
+    slot = f"least(coalesce(floor(try_divide({value} - lo, width)), 0), {bins - 1})"
     return (
-        placed.groupBy(*by, "lo", "width", F.least(slot, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *by,
-            "bin",
-            (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"),
-            (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
-            "n",
-        )
+        join_summary(usable, bounds, list(by), "inner")
+        .groupBy(*by, "lo", "width", F.expr(f"CAST({slot} AS INT) AS bin"))
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr(*by, "bin", "lo + bin * width AS lower", "lo + (bin + 1) * width AS upper", "n")
     )
 
 
@@ -226,23 +219,19 @@ def freq_polygon(
     df: DataFrame, value: str, by: Sequence[str], bins: int = fv.HISTOGRAM_BINS
 ) -> DataFrame:
     """Bin mid-points and counts, empty bins included."""
-    every = bin_bounds(df, value, bins, by).withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    every = bin_bounds(df, value, bins, by).selectExpr(
+        *by, "lo", "width", f"explode(sequence(0, {bins - 1})) AS bin"
     )
     counts = histogram(df, value, by, bins).select(*by, "bin", "n")
-    return join_nullsafe(every, counts, [*by, "bin"]).select(
-        *by,
-        "bin",
-        (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("mid"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    return join_nullsafe(every, counts, [*by, "bin"]).selectExpr(
+        *by, "bin", "lo + (bin + 0.5D) * width AS mid", "coalesce(n, 0) AS n"
     )
 
 
-def bandwidth(sd: Column, iqr: Column, n: Column) -> Column:
-    """Rule-of-thumb kernel width; falls back when the values hardly vary."""
-    spread = F.least(sd, iqr / 1.34)
-    usable = F.when(spread > 0, spread).when(sd > 0, sd).otherwise(1.0)
-    return F.lit(0.9) * usable * F.pow(n.cast("double"), F.lit(-0.2))
+# Rule-of-thumb kernel width; falls back when the values hardly vary.
+BANDWIDTH = """0.9D * pow(CAST(n AS DOUBLE), -0.2D) * CASE
+    WHEN least(sd, (q3 - q1) / 1.34D) > 0 THEN least(sd, (q3 - q1) / 1.34D)
+    WHEN sd > 0 THEN sd ELSE 1D END"""
 
 
 def density_curve(
@@ -263,30 +252,27 @@ def density_curve(
     by = list(by)
     inside = df.filter(F.col(value).between(low, high)).select(*by, *unit, value)
     quartiles = quantiles(inside, by, [value], unit, {"q1": 0.25, "q3": 0.75})
-    fine = (high - low) / bins
-    slot = F.least(F.floor((F.col(value) - low) / fine), F.lit(bins - 1))
-    binned = inside.groupBy(*by, slot.alias("_bin")).agg(F.count(F.lit(1)).alias("_count"))
-    spread = inside.groupBy(*by).agg(F.stddev_samp(value).alias("_sd"))
+    spread = inside.groupBy(*by).agg(F.expr(f"stddev_samp({value}) AS sd"))
     kernel = (
         join_nullsafe(quartiles, spread, by, "inner")
-        .filter(F.col("n") > 1)
-        .select(*by, "n", bandwidth(F.col("_sd"), F.col("q3") - F.col("q1"), F.col("n")).alias("bw"))
+        .filter("n > 1")
+        .selectExpr(*by, "n", f"{BANDWIDTH} AS bw")
     )
-    step = (high - low) / (points - 1)
-    grid = join_nullsafe(binned, kernel, by, "inner").withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    fine, step = (high - low) / bins, (high - low) / (points - 1)
+    slot = f"least(floor(({value} - {low}D) / {fine}D), {bins - 1})"
+    binned = inside.groupBy(*by, F.expr(f"{slot} AS _bin")).agg(F.expr("count(1) AS _count"))
+    grid = join_summary(binned, kernel, by, "inner").selectExpr(
+        "*", f"explode(sequence(0, {points - 1})) AS point"
     )
-    centre = F.lit(low) + (F.col("_bin") + 0.5) * fine
-    z = (F.lit(low) + F.col("point") * step - centre) / F.col("bw")
-    height = F.col("_count") * F.exp(F.lit(-0.5) * z * z)
+    z = f"(point * {step}D - (_bin + 0.5D) * {fine}D) / bw"
     return (
         grid.groupBy(*by, "point", "n", "bw")
-        .agg(F.sum(height).alias("_sum"))
-        .select(
+        .agg(F.expr(f"sum(_count * exp(-0.5D * {z} * {z})) AS _sum"))
+        .selectExpr(
             *by,
             "point",
-            (F.lit(low) + F.col("point") * step).alias("x"),
-            (F.col("_sum") / (F.col("n") * F.col("bw") * F.sqrt(F.lit(2.0) * F.pi()))).alias("y"),
+            f"{low}D + point * {step}D AS x",
+            "_sum / (n * bw * sqrt(2D * pi())) AS y",
         )
     )
 
@@ -296,7 +282,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], unit: Sequence[str])
     by = list(by)
     hinges = quantiles(df, by, [value], unit, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = join_nullsafe(df.select(*by, value), hinges, by, "inner")
+    fenced = join_summary(df.select(*by, value), hinges, by, "inner")
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return fenced.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),

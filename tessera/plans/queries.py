@@ -219,7 +219,7 @@ def join_area_metro(a: Atlas) -> DataFrame:
 def join_nullsafe(a: Atlas) -> DataFrame:
     dense = staging.stage(a.density().select("tract", "year", "cbsa", "job_tot"), "density")
     metro_jobs = rollup.grouped_totals(dense, ["cbsa", "year"], metro_jobs="job_tot")
-    return joins.join_nullsafe(dense, metro_jobs, ["cbsa", "year"])
+    return joins.join_summary(dense, metro_jobs, ["cbsa", "year"])
 
 
 @query

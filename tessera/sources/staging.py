@@ -39,8 +39,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def save_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:
-    """Keep a stage result for later runs, one directory per period."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Keep a stage result for later runs, one directory per period.
+
+    The rebalance gathers a period's rows into few files and still splits a period
+    that holds most of the rows.
+    """
+    df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def load_stage(spark: SparkSession, path: str, schema) -> DataFrame:
