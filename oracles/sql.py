@@ -265,7 +265,7 @@ CTES = {
                      quantile_cont(density, 0.75) - quantile_cont(density, 0.25) AS iqr
               FROM curve_rows GROUP BY 1, 2) WHERE n > 1""",
     "curve_bins": """
-        SELECT cbsa, year, least(floor(density / (CAST(15000 AS DOUBLE) / 4096)), 4095) AS bin, count(*) AS c
+        SELECT cbsa, year, least(floor(density / (CAST(15000 AS DOUBLE) / 4096)), 4095) AS bin, count(*) AS c, avg(density) AS centre
         FROM curve_rows GROUP BY 1, 2, 3""",
 }
 
@@ -483,7 +483,7 @@ BODIES = {
         {r('s / (n * bw * sqrt(2 * pi()))', 8)} AS y, {r('p80', 8)} AS p80, {r('p90', 8)} AS p90, {r('p95', 8)} AS p95
         FROM (SELECT cbsa, year, n, bw, point,
                  sum(c * exp(CAST(-0.5 AS DOUBLE) * pow((CAST(point AS DOUBLE) * (CAST(15000 AS DOUBLE) / 511)
-                     - (bin + CAST(0.5 AS DOUBLE)) * (CAST(15000 AS DOUBLE) / 4096)) / bw, 2))) AS s
+                     - centre) / bw, 2))) AS s
               FROM curve_bins JOIN curve_width USING (cbsa, year), range(0, 512) g(point) GROUP BY 1, 2, 3, 4, 5)
         JOIN (SELECT cbsa, year, max(CASE WHEN percentile = 'p80' THEN n END) AS p80,
                  max(CASE WHEN percentile = 'p90' THEN n END) AS p90, max(CASE WHEN percentile = 'p95' THEN n END) AS p95

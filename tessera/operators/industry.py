@@ -43,19 +43,25 @@ def sector_totals(
             for s in sectors
         ]
     )
-    whole = {y: "({})".format(" + ".join(f"{s}_{y}" for s in sectors)) for y in years}
-
-    def sector(s: str) -> str:
-        share = {y: f"({ratio_sql(f'{s}_{y}', whole[y])}) * 100" for y in years}
-        return (
-            f"named_struct('naics', '{s}',"
-            f" 'emp_{first}', {s}_{first}, 'share_{first}', {share[first]},"
-            f" 'emp_{second}', {s}_{second}, 'share_{second}', {share[second]},"
-            f" 'job_change', {s}_{second} - {s}_{first},"
-            f" 'share_change', {share[second]} - {share[first]})"
+    rows = ", ".join(
+        f"named_struct('naics', '{s}', 'emp_{first}', {s}_{first}, 'emp_{second}', {s}_{second})"
+        for s in sectors
+    )
+    whole = [f"{' + '.join(f'{s}_{y}' for s in sectors)} AS tot_{y}" for y in years]
+    share = {y: f"({ratio_sql(f'emp_{y}', f'tot_{y}')}) * 100" for y in years}
+    return (
+        sums.selectExpr(*whole, f"inline(array({rows}))")
+        .selectExpr("*", *[f"{share[y]} AS share_{y}" for y in years])
+        .selectExpr(
+            "naics",
+            f"emp_{first}",
+            f"share_{first}",
+            f"emp_{second}",
+            f"share_{second}",
+            f"emp_{second} - emp_{first} AS job_change",
+            f"share_{second} - share_{first} AS share_change",
         )
-
-    return sums.selectExpr(f"inline(array({', '.join(sector(s) for s in sectors)}))")
+    )
 
 
 def industry_totals(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 
 import duckdb
@@ -60,3 +62,19 @@ def differences(df, con, sql, limit: int = 5) -> list[str]:
     if not left:
         found.append("no rows")
     return found
+
+
+# Nodes that pair rows without a key, or that leave the JVM.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "InArrow")
+
+
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def unwanted_nodes(df) -> list[str]:
+    plan = plan_of(df)
+    return [node for node in UNWANTED if node in plan]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
-from tests.compare import connect, differences
+from tests.compare import connect, differences, unwanted_nodes
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -26,10 +27,24 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+@pytest.fixture
+def staged_nodes(monkeypatch):
+    """Unwanted plan nodes of every table written while a query is built."""
+    found, write = [], DataFrameWriter.parquet
+
+    def checked(self, *args, **kwargs):
+        found.extend(unwanted_nodes(self._df))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", checked)
+    return found
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, name):
+def test_query_matches_oracle(spark, con, staged_nodes, name):
     df = QUERIES[name](spark, SF_DIR)
     assert differences(df, con, ORACLES[name]) == []
+    assert staged_nodes + unwanted_nodes(df) == []
 
 
 def test_entry_runs(spark):
