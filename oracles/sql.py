@@ -245,6 +245,16 @@ CTES = {
         SELECT p.*, x.cbsa, x.cbsa_name FROM places p JOIN xwalk x USING (stcofips)
         WHERE x.top100 = 1 AND p.ALAND_SQMI > 0
           AND NOT EXISTS (SELECT 1 FROM most_dense d WHERE d.tract = p.tract AND d.year = p.year)""",
+    "block_groups": f"""
+        SELECT blkgrp, year, job_tot, ALAND_SQMI, {SQMI} AS density, cbsa, cbsa_name FROM (
+            SELECT substr(fips, 1, 12) AS blkgrp, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2) j
+        LEFT JOIN (SELECT substr({FIPS}, 1, 12) AS blkgrp, sum(CAST(floor(o_totalprice / 10000) AS DOUBLE)) AS ALAND_SQMI
+            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) a
+        USING (blkgrp) LEFT JOIN xwalk ON substr(blkgrp, 1, 5) = stcofips""",
+    "block_tiles": f"SELECT * FROM (SELECT *, {TILES.replace(', tract)', ', blkgrp)')} FROM block_groups)",
+    "deltas": """
+        SELECT CASE WHEN naics NOT IN ('naics_22', 'naics_61', 'naics_62', 'naics_GV') THEN percent_delta END AS percent_delta,
+               delta_share FROM metro_sector""",
     "pop_places": f"""
         SELECT tract, substr(tract, 1, 5) AS stcofips, pop, ALAND_SQMI, {ratio('pop', 'ALAND_SQMI')} AS pop_sqmi
         FROM pop LEFT JOIN area USING (tract)""",
@@ -377,6 +387,15 @@ BODIES = {
     "rollup_state_density": f"""SELECT *, {SQMI} AS jobs_sqmi FROM (
         SELECT substr(tract, 1, 2) AS state, year, {total('job_tot')} AS job_tot,
                coalesce(sum(ALAND_SQMI), CAST(0 AS DOUBLE)) AS ALAND_SQMI FROM lehd GROUP BY 1, 2)""",
+    "rollup_county_density": f"""SELECT *, {SQMI} AS jobs_sqmi FROM (
+        SELECT substr(tract, 1, 5) AS county, year, {total('job_tot')} AS job_tot,
+               coalesce(sum(ALAND_SQMI), CAST(0 AS DOUBLE)) AS ALAND_SQMI FROM lehd GROUP BY 1, 2)""",
+    "tile_shares": "SELECT year, "
+    + ", ".join(
+        f"{r(f'CAST(sum(CASE WHEN most_dense_{n} THEN job_tot ELSE 0 END) AS DOUBLE) / CAST(sum(job_tot) AS DOUBLE)')} AS top_{n}"
+        for n in (20, 10, 5)
+    )
+    + " FROM tiles GROUP BY 1",
     "national_totals": "SELECT * FROM natl_jobs",
     "top_metro_totals": "SELECT * FROM top_jobs",
     "dense_share": f"""SELECT year, {r("CAST(sum(CASE WHEN tile > 97 THEN job_tot ELSE 0 END) AS DOUBLE) / CAST(sum(job_tot) AS DOUBLE)")} AS dense_share,
@@ -422,11 +441,18 @@ BODIES = {
             SELECT year, cbsa_name, avg(jobs_sqmi) AS mean FROM places LEFT JOIN xwalk USING (stcofips)
             WHERE ALAND_SQMI > 0 GROUP BY 1, 2)""",
     "tract_density": "SELECT tract, year, job_tot, ALAND_SQMI, density, cbsa, cbsa_name FROM dens",
-    "block_density": f"""SELECT blkgrp, year, job_tot, ALAND_SQMI, {SQMI} AS density, cbsa, cbsa_name FROM (
-            SELECT substr(fips, 1, 12) AS blkgrp, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2) j
-        LEFT JOIN (SELECT substr({FIPS}, 1, 12) AS blkgrp, sum(CAST(floor(o_totalprice / 10000) AS DOUBLE)) AS ALAND_SQMI
-            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) a
-        USING (blkgrp) LEFT JOIN xwalk ON substr(blkgrp, 1, 5) = stcofips""",
+    "block_density": "SELECT * FROM block_groups",
+    "block_categories": f"""SELECT blkgrp, year, cbsa, density,
+        CASE {LOW} WHEN dense_cat_20 = 19 THEN 'p90' WHEN dense_cat_20 = 20 THEN 'cluster' END AS mapvar_20,
+        CASE {LOW} WHEN dense_cat_10 = 10 THEN 'cluster' END AS mapvar_10,
+        CASE WHEN dense_cat_20 IS NULL THEN NULL WHEN dense_cat_20 >= 17 THEN 'cluster' ELSE 'low density' END AS mapvar_5
+        FROM block_tiles""",
+    "block_quantiles": " UNION ALL ".join(
+        f"""SELECT year, '{m}' AS measure, {big(f'count({m})')} AS n, """
+        + ", ".join(f"{r(f'quantile_cont(CAST({m} AS DOUBLE), {p / 100})')} AS p{p}" for p in (80, 90, 95))
+        + " FROM block_groups GROUP BY 1"
+        for m in ("job_tot", "density")
+    ),
     "map_categories": "SELECT tract, year, cbsa, mapvar_20, mapvar_10, mapvar_5 FROM cats",
     "categories_long": "SELECT tract, year, job_tot, ALAND_SQMI, density, cbsa, cbsa_name, num_quant, mapvar FROM long",
     "metro_minimums": f"SELECT cbsa, cbsa_name, year, job_tot, pp_min, {r('job_min')} AS job_min FROM met_jobs",
@@ -470,6 +496,18 @@ BODIES = {
         abs(percent_delta) > 0.05 AS over_limit FROM metro_check""",
     "recon_long": f"""SELECT naics, short_name, 'jobs' AS source, {r('CAST(jobs AS DOUBLE)')} AS job_ct FROM sector_check
         UNION ALL SELECT naics, short_name, 'm_tot', {r('m_tot')} FROM sector_check""",
+    "recon_histogram": f"""SELECT bin, {r('lo + bin * width')} AS lower, {r('lo + (bin + 1) * width')} AS upper,
+        {big('count(*)')} AS n FROM (
+            SELECT lo, width, CAST(least(coalesce(floor((percent_delta - lo) / nullif(width, 0)), 0), 29) AS INT) AS bin
+            FROM county_check, (SELECT min(percent_delta) AS lo, (max(percent_delta) - min(percent_delta)) / 30 AS width
+                FROM county_check WHERE percent_delta IS NOT NULL AND NOT isinf(percent_delta))
+            WHERE percent_delta IS NOT NULL AND NOT isinf(percent_delta)) GROUP BY bin, lo, width""",
+    "recon_delta_summary": " UNION ALL ".join(
+        f"""SELECT '{m}' AS measure, {r(f'min({m})')} AS min, {r(f'quantile_cont({m}, 0.25)')} AS q1,
+        {r(f'quantile_cont({m}, 0.5)')} AS median, {r(f'avg({m})')} AS mean, {r(f'quantile_cont({m}, 0.75)')} AS q3,
+        {r(f'max({m})')} AS max, {big(f'count(*) - count({m})')} AS missing FROM deltas"""
+        for m in ("percent_delta", "delta_share")
+    ),
     "pop_density": f"""SELECT tract, stcofips, pop, ALAND_SQMI, pop_sqmi, cbsa, cbsa_name, {short('cbsa_name')} AS short_name
         FROM pop_places LEFT JOIN xwalk USING (stcofips)""",
     "histogram": f"""SELECT year, bin, {r('lo + bin * width')} AS lower, {r('lo + (bin + 1) * width')} AS upper,

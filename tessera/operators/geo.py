@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import level_key
-from tessera.operators.joins import members
+from tessera.operators.joins import members, non_members
 
 
 def select_group_units(df: DataFrame, cbsa: str, crosswalk: DataFrame, unit: str = "tract") -> DataFrame:
@@ -54,5 +54,11 @@ def boundary_vertices(bounds: DataFrame, renamed: str = "id") -> DataFrame:
 
 
 def choropleth_rows(vertices: DataFrame, dense: DataFrame, key: str = "stcofips") -> DataFrame:
-    """County vertices with every dense place of the county; others stay unfilled."""
-    return vertices.join(dense, key, "left")
+    """County vertices with every dense place of the county; others stay unfilled.
+
+    A left join in two parts: as an inner join, a county with very many dense places
+    can be split over tasks, which the outer side of a left join cannot.
+    """
+    filled = vertices.join(dense, key)
+    unfilled = non_members(vertices, dense.select(key).distinct(), [key])
+    return filled.unionByName(unfilled, allowMissingColumns=True)

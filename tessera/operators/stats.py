@@ -203,13 +203,20 @@ def bin_bounds(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataF
 def histogram(
     df: DataFrame, value: str, by: Sequence[str], bins: int = fv.HISTOGRAM_BINS
 ) -> DataFrame:
-    """Counts in equal-width bins, closed on the left, the last one on both sides."""
+    """Counts in equal-width bins, closed on the left, the last one on both sides.
+
+    Without groups the bounds are one row, and come in as a scalar subquery.
+    """
     bounds = bin_bounds(df, value, bins, by)
     usable = df.filter(finite_sql(value)).select(*by, value)
+    if by:
+        placed = join_summary(usable, bounds, list(by), "inner")
+    else:
+        ends = bounds.select(F.struct("lo", "width")).scalar()
+        placed = usable.withColumn("_ends", ends).select(value, "_ends.*")
     slot = f"least(coalesce(floor(try_divide({value} - lo, width)), 0), {bins - 1})"
     return (
-        join_summary(usable, bounds, list(by), "inner")
-        .groupBy(*by, "lo", "width", F.expr(f"CAST({slot} AS INT) AS bin"))
+        placed.groupBy(*by, "lo", "width", F.expr(f"CAST({slot} AS INT) AS bin"))
         .agg(F.expr("count(1) AS n"))
         .selectExpr(*by, "bin", "lo + bin * width AS lower", "lo + (bin + 1) * width AS upper", "n")
     )

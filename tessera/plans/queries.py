@@ -25,6 +25,7 @@ from tessera.operators import (
     industry,
     joins,
     lookup,
+    ranking,
     reconcile,
     reshape,
     rollup,
@@ -289,6 +290,11 @@ def rollup_state_density(a: Atlas) -> DataFrame:
     return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "state", "job_tot", "ALAND_SQMI")
 
 
+@query
+def rollup_county_density(a: Atlas) -> DataFrame:
+    return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "county", "job_tot", "ALAND_SQMI")
+
+
 @query
 def national_totals(a: Atlas) -> DataFrame:
     kept = keys.exclude_regions(a.star.wac(), "fips", PARAMS.excluded_states)
@@ -309,6 +315,12 @@ def dense_share(a: Atlas) -> DataFrame:
     return rounded(stats.dense_share(places, "job_tot", "jobs_sqmi"))
 
 
+@query
+def tile_shares(a: Atlas) -> DataFrame:
+    flags = {f"top_{n}": f"most_dense_{n}" for n in fv.TILE_COUNTS}
+    return rounded(rollup.flagged_share(density.density_tiles(a.density()), "job_tot", ["year"], **flags))
+
+
 def job_places_once(a: Atlas) -> DataFrame:
     """Job places for a single ranking, which stages them itself."""
     return stats.job_places(a.lehd(measures=["job_tot"]))
@@ -415,10 +427,29 @@ def tract_density(a: Atlas) -> DataFrame:
 
 @query
 def block_density(a: Atlas) -> DataFrame:
+    return block_groups(a)
+
+
+def block_groups(a: Atlas) -> DataFrame:
     counts = a.star.wac().select("fips", "year", "job_tot")
     return density.compute_block_density(counts, a.star.block_area(), "job_tot", a.metros())
 
 
+@query
+def block_categories(a: Atlas) -> DataFrame:
+    tiled = density.density_tiles(block_groups(a), unit="blkgrp")
+    return clusters.map_categories(tiled).select("blkgrp", "year", "cbsa", "density", *fv.CUT_COLUMNS)
+
+
+@query
+def block_quantiles(a: Atlas) -> DataFrame:
+    return rounded(
+        ranking.quantiles(
+            block_groups(a), ["year"], ["job_tot", "density"], ["blkgrp"], {"p80": 0.8, "p90": 0.9, "p95": 0.95}
+        )
+    )
+
+
 @query
 def map_categories(a: Atlas) -> DataFrame:
     return a.categories().select("tract", "year", "cbsa", *fv.CUT_COLUMNS)
@@ -575,6 +606,24 @@ def recon_long(a: Atlas) -> DataFrame:
     return rounded(reconcile.side_by_side(reconcile.sector_check(counties, by_sector, 1997)))
 
 
+@query
+def recon_histogram(a: Atlas) -> DataFrame:
+    counties, totals, _ = both_sources(a, 1997)
+    check = staging.stage(reconcile.county_check(counties, totals, 1997), "check")
+    return rounded(stats.histogram(check, "percent_delta", []))
+
+
+@query
+def recon_delta_summary(a: Atlas) -> DataFrame:
+    counties, _, by_sector = both_sources(a, 1997)
+    check = reconcile.metro_sector_check(counties, by_sector, a.metros(), 1997)
+    reliable = F.when(~F.col("naics").isin(*fv.UNRELIABLE_SECTORS), F.col("percent_delta"))
+    measured = staging.stage(
+        check.select("cbsa", "naics", reliable.alias("percent_delta"), "delta_share"), "deltas"
+    )
+    return rounded(stats.six_number_summary(measured, ["percent_delta", "delta_share"], ["cbsa", "naics"]))
+
+
 # --- descriptive statistics ------------------------------------------------------------------
 
 

@@ -142,13 +142,11 @@ class Star:
             F.expr(f"sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity ELSE 0D END) AS q{y}")
             for y in (1996, 1997)
         ]
-        lines = self.typed_lines("l_quantity", "l_shipdate").join(
-            self.orders(), F.expr("l_orderkey = o_orderkey")
-        )
+        per_order = self.typed_lines("l_quantity", "l_shipdate").groupBy("l_orderkey", "p_type").agg(*shipped)
         by_county = (
-            self.located(lines, "o_custkey")
+            self.located(per_order.join(self.orders(), F.expr("l_orderkey = o_orderkey")), "o_custkey")
             .groupBy("n_regionkey", "n_nationkey", "p_type")
-            .agg(*shipped)
+            .agg(F.expr("sum(q1996) AS q1996"), F.expr("sum(q1997) AS q1997"))
             .selectExpr(f"{COUNTY} AS stcofips", f"CASE p_type {series} END AS series", "q1996", "q1997")
         )
         keys = [F.col("stcofips"), F.col("series")]
