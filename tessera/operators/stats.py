@@ -271,7 +271,10 @@ def density_curve(
     binned = inside.groupBy(*by, F.expr(f"{slot} AS _bin")).agg(
         F.expr("count(1) AS _count"), F.expr(f"avg({value}) AS _centre")
     )
-    grid = join_summary(binned, kernel, by, "inner").selectExpr(
+    # Each small row becomes `points` rows: spread them before, not by their size now.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = join_summary(binned.repartition(tasks, *by, "_bin"), kernel, by, "inner")
+    grid = spread_out.selectExpr(
         "*", f"explode(sequence(0, {points - 1})) AS point"
     )
     z = f"({low}D + point * {step}D - _centre) / bw"

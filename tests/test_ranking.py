@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import ranking
 from tessera.operators.ranking import (
     approximate_quantiles,
     quantiles,
@@ -93,6 +94,26 @@ def test_more_partitions_do_not_change_ranks(spark, skewed):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
 
 
+def test_no_range_holds_the_hot_group_or_value(spark, monkeypatch):
+    placed, stage = [], ranking.stage
+    monkeypatch.setattr(ranking, "stage", lambda df, label: placed.append(stage(df, label)) or placed[-1])
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    df = spark.range(24000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'hot' ELSE CAST(id % 50 AS STRING) END AS g",
+        "CASE WHEN id % 2 = 0 THEN 1D ELSE CAST(id AS DOUBLE) END AS v",
+        "CAST(id AS STRING) AS u",
+    )
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        rank_rows(df, ["g"], "v", ["u"])
+        sizes = [r[0] for r in placed[0].groupBy(F.expr("shiftright(_pos, 33)")).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 24000 and len(sizes) == 12 and max(sizes) < 2 * 24000 / 12
+
+
 def test_descending_rank_puts_missing_last(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None), ("d", 3.0)], "k string, v double")
     ranked = rank_rows(df, [], "v", ["k"], descending=True)
