@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
+from oracles import oracle_sql
+from tessera.plans.queries import QUERIES
 from tests.compare import connect, differences, unwanted_nodes
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
