@@ -145,7 +145,7 @@ def pack_documents(
         for batch in batched(batches):
             columns: list[list[int | None]] = [[] for _ in range(6)]
             for key, ids in zip(
-                batch.column(0).to_pylist(), encode.encode_closed(batch.column(1).to_pylist(), end_id), strict=True
+                batch.column(0).to_pylist(), encode.closed(batch.column(1).to_pylist(), end_id), strict=True
             ):
                 for number, (start, length) in enumerate(zip(*cut(len(ids), size), strict=True)):
                     row = (key, number, start, length, ids_crc32(ids[start : start + length]), seen[length])

@@ -2,25 +2,29 @@
 
 A text is cut where a cut can never change the result: between a letter or digit and a sign
 that follows it, and before white space that follows something else.  Chunks met before are
-looked up, new ones go through the tokenizer in one call.  Texts with characters whose class
-could differ between the two regular expression engines, or with a special token's string,
-go through the tokenizer whole.
+looked up, new ones go through the tokenizer: a single word straight to its merge model,
+anything else through all its steps.  Texts with characters whose class could differ between
+the two regular expression engines, or with a special token's string, and all texts of a
+tokenizer that is not a plain byte-level one, go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Sequence
-from itertools import chain
+from operator import itemgetter
+from pathlib import Path
 
 import numpy as np
 
-from tessera.llm.common import ragged_take
-
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
+MOST_CHUNKS = 700_000
 CHUNK = re.compile(r"\s*+[^\W_]+|\s*+\S+|\s+")
+WORD = re.compile(r" ?[^\W\d_]+")
 WHOLE = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
 
 
@@ -30,77 +34,54 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-class _Chunks(dict):
-    """Number of each chunk in order of arrival; ``new`` are those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+def byte_characters() -> dict[int, int]:
+    """Byte-level models write a printable byte as itself and the others as U+0100 and on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.new.append(chunk)
-        return number
 
+class Encoder(dict):
+    """Maps chunks to their ids (little-endian unsigned 32-bit); learns a chunk when it is first asked for."""
 
-class Encoder:
-    def __init__(self, path: str, most_chunks: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = MOST_CHUNKS):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most_chunks = most_chunks
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks = _Chunks()
-        self.used = self.known = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self) -> None:
-        new, self.chunks.new = self.chunks.new, []
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(found) > len(self.sizes):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        at = slice(self.known, self.known + len(found))
-        self.starts[at] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[at] = sizes
-        self.used, self.known = self.used + total, self.known + len(found)
-
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids of each text; a missing text is empty."""
-        if len(self.chunks) > self.most_chunks:
-            self._forget()
-        out: list[np.ndarray | None] = []
-        for text in texts:
-            if not text:
-                out.append(np.zeros(0, np.int32))
-            elif WHOLE.search(text) or any(s in text for s in self.special):
-                out.append(None)
-            else:
-                found = CHUNK.findall(text)
-                out.append(np.fromiter(map(self.chunks.__getitem__, found), np.int32, len(found)))
-        if self.chunks.new:
-            self._learn()
-        done = []
-        for text, numbers in zip(texts, out, strict=True):
-            if numbers is None:
-                done.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                done.append(self.flat[ragged_take(self.starts[numbers], self.sizes[numbers])])
-        return done
-
-    def encode_closed(self, texts: Sequence[str | None], end_id: int = END_ID) -> list[np.ndarray]:
-        """The same with the end id after each text."""
-        end = np.array([end_id], np.uint32)
-        return [np.concatenate([ids, end]) for ids in self.encode(texts)]
+        parts = json.loads(Path(path).read_text())
+        steps = parts.get("pre_tokenizer") or {}
+        self.plain = (
+            steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True)
+            and parts.get("normalizer") is None and parts["model"].get("type") == "BPE"
+        )
+        self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if WORD.fullmatch(chunk):
+            found = [t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.characters))]
+        else:
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        ids = self[chunk] = array("I", found).tobytes()
+        return ids
+
+    def ids(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; a missing text is empty."""
+        if not text:
+            return b""
+        if not self.plain or WHOLE.search(text) or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > self.most_chunks:
+            self.clear()
+        found = CHUNK.findall(text)
+        return b"".join(itemgetter(*found)(self)) if len(found) > 1 else self[found[0]]
+
+    def closed(self, texts: Sequence[str | None], end_id: int = END_ID) -> list[np.ndarray]:
+        """Ids of each text with the end id after it."""
+        end = array("I", [end_id]).tobytes()
+        return [np.frombuffer(self.ids(t) + end, "<u4") for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -115,4 +96,4 @@ def encoder(path: str) -> Encoder:
 
 def ids_crc32(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4").data)

@@ -223,10 +223,10 @@ def write_shards(
             return row
 
         for batch in batched(batches):
-            found = encode.encode_closed(batch.column(1).to_pylist(), end_id)
+            found = encode.closed(batch.column(1).to_pylist(), end_id)
             for key, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 held_ids.append(key)
-                held.append(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids)
+                held.append(ids)
                 size += len(ids)
                 if size >= shard_tokens:
                     yield flush()
