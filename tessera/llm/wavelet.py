@@ -58,9 +58,10 @@ def build(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
             offsets.append(size)
         each = np.add.reduceat(bits, np.arange(0, n, BLOCK), dtype=np.int64)
         ones.append(np.cumsum(each) - each)
-        low = ~bits
-        zeros.append(np.count_nonzero(low))
-        ranks = np.concatenate([ranks[low], ranks[bits]])
+        # Taking by index is several times faster than by mask.
+        low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
+        zeros.append(len(low))
+        ranks = np.concatenate([ranks.take(low), ranks.take(high)])
     head = np.array([n, len(documents), len(alphabet), planes, blocks], "<i8")
     missing = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -161,8 +162,8 @@ class Shard:
         for plane in range(self.planes - 1, -1, -1):
             bits = np.concatenate([self._block(plane, b) for b in range(self.blocks)]).view(bool)
             zeros, out = int(self.zeros[plane]), np.empty_like(ranks)
-            out[~bits] = ranks[:zeros]
-            out[bits] = ranks[zeros:] | ranks.dtype.type(1 << (self.planes - 1 - plane))
+            out[np.flatnonzero(~bits)] = ranks[:zeros]
+            out[np.flatnonzero(bits)] = ranks[zeros:] | ranks.dtype.type(1 << (self.planes - 1 - plane))
             ranks = out
         return self.alphabet[ranks] if self.n else np.zeros(0, np.uint32)
 
