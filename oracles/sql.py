@@ -13,6 +13,11 @@ TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 # Series id of each part type, in the same order.
 SERIES = ("RE11AXAC", "RE22AXAC", "REMFAXAC", "RERTAXAC", "RERWAXAC", "REGVLAXAC")
 
+# All series and years of the second source; the last series is the second one of government.
+ALL_SERIES = (*SERIES, "REGVFAXAC")
+ALL_YEARS = tuple(range(1995, 2002))
+EMP_YEARS = ", ".join(f"y{y}" for y in ALL_YEARS)
+
 # Labels of the sector columns, in the same order.
 LABELS = ("Logging", "Utilities", "Manufacturing", "Retail", "Logistics", "Public administration")
 
@@ -55,8 +60,8 @@ def short(name: str) -> str:
 
 
 COUNTY = f"concat({pad('n_regionkey', 2)}, {pad('n_nationkey', 3)})"
-TRACT = f"concat({COUNTY}, {pad('c_custkey', 6)})"
-FIPS = f"concat({TRACT}, {pad('o_orderkey', 7)})"
+TRACT = f"concat({COUNTY}, {pad('c_custkey', 19)})"
+FIPS = f"concat({TRACT}, CAST(o_orderkey % 10 AS VARCHAR), {pad('o_orderkey', 19)})"
 CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey"
 SUMS = ", ".join(f"{total(s)} AS {s}" for s in SECTORS)
 BY_SECTOR = ", ".join(
@@ -100,17 +105,20 @@ CTES = {
         FROM nation""",
     "xwalk": "SELECT stcofips, cbsa, cbsa_name, top100 FROM xwalk_all WHERE metropolitan",
     "emp_parts": f"""
-        SELECT {COUNTY} AS stcofips, {pick('p_type', TYPES, SERIES)} AS series,
-               CASE WHEN year(l_shipdate) = 1996 THEN l_quantity ELSE 0 END AS q1996,
-               CASE WHEN year(l_shipdate) = 1997 THEN l_quantity ELSE 0 END AS q1997
+        SELECT {COUNTY} AS stcofips, year(l_shipdate) AS y, l_quantity AS q,
+               CASE WHEN p_type = 'STANDARD' AND p_size > 25 THEN 'REGVFAXAC'
+                    ELSE {pick('p_type', TYPES, SERIES)} END AS series
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
              JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey""",
-    "emp": """
-        SELECT stcofips, series AS DBcode, sum(q1996) / CAST(1000 AS DOUBLE) AS y1996,
-               sum(q1997) / CAST(1000 AS DOUBLE) AS y1997 FROM emp_parts GROUP BY 1, 2
-        UNION ALL
-        SELECT stcofips, 'RETAXAC', sum(q1996) / CAST(1000 AS DOUBLE), sum(q1997) / CAST(1000 AS DOUBLE)
-        FROM emp_parts GROUP BY 1""",
+    "emp_pairs": f"SELECT {COUNTY} AS stcofips, unnest([{', '.join(f"'{x}'" for x in ALL_SERIES)}]) AS series FROM nation",
+    "emp_sums": f"""
+        SELECT p.stcofips, p.series, {', '.join(f"coalesce(sum(CASE WHEN y = {y} THEN q END), 0) AS q{y}" for y in ALL_YEARS)}
+        FROM emp_pairs p LEFT JOIN emp_parts e ON p.stcofips = e.stcofips AND p.series = e.series GROUP BY 1, 2""",
+    "emp": f"""
+        SELECT stcofips, series AS DBcode, {', '.join(f"q{y} / CAST(1000 AS DOUBLE) AS y{y}" for y in ALL_YEARS)}
+        FROM emp_sums UNION ALL
+        SELECT stcofips, 'RETAXAC', {', '.join(f"sum(q{y}) / CAST(1000 AS DOUBLE)" for y in ALL_YEARS)}
+        FROM emp_sums GROUP BY 1""",
     "pop": f"""
         SELECT {TRACT} AS tract, {big('count(o_orderkey) * 100')} AS pop
         FROM {CUSTOMERS} LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
@@ -120,13 +128,13 @@ CTES = {
                CASE WHEN n_nationkey % 4 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(-80 - n_nationkey % 4 AS DOUBLE) END AS lon
         FROM nation WHERE n_nationkey < 20""",
     "bounds": """
-        SELECT tract AS geoid, CAST(substr(tract, 6, 3) AS DOUBLE) AS x, CAST(substr(tract, 9, 3) AS DOUBLE) AS y,
+        SELECT tract AS geoid, CAST(substr(tract, 6, 16) AS DOUBLE) AS x, CAST(substr(tract, 22, 3) AS DOUBLE) AS y,
                sqrt(ALAND_SQMI) AS s FROM area WHERE ALAND_SQMI > 0""",
     "corners": """
         SELECT * FROM (VALUES (1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, 0, 0)) AS c(k, dx, dy)""",
     "lehd": f"""
         SELECT t.tract, t.year, t.job_tot, {', '.join('t.' + s for s in SECTORS)}, area.ALAND_SQMI
-        FROM (SELECT substr(fips, 1, 11) AS tract, year, {total('job_tot')} AS job_tot, {SUMS}
+        FROM (SELECT substr(fips, 1, 24) AS tract, year, {total('job_tot')} AS job_tot, {SUMS}
               FROM wac GROUP BY 1, 2) t LEFT JOIN area USING (tract)""",
     "dens": f"""
         SELECT tract, year, job_tot, ALAND_SQMI, {SQMI} AS density, cbsa, cbsa_name, top100, {SECTOR_LIST}
@@ -155,6 +163,14 @@ CTES = {
                     WHEN l.mapvar <> 'cluster' THEN l.mapvar END AS mapvar
         FROM long l JOIN met_jobs m ON l.cbsa IS NOT DISTINCT FROM m.cbsa AND l.year = m.year""",
     "kept_flags": f"SELECT * FROM flags WHERE {NOT_04}",
+    "shown_metros": "SELECT DISTINCT cbsa, cbsa_name FROM xwalk WHERE top100 = 1",
+    "summary_all": f"""
+        SELECT f.cbsa, m.cbsa_name, f.year, f.num_quant, f.pp_min AS min, {total('job_tot')} AS jobs,
+               {total("CASE WHEN mapvar = 'cluster' THEN job_tot END")} AS cluster_jobs,
+               {big('count(*)')} AS tr_ct,
+               {total("CASE WHEN mapvar = 'high density' THEN 1 END")} AS high_ct,
+               {total("CASE WHEN mapvar = 'cluster' THEN 1 END")} AS cluster_ct
+        FROM flags f JOIN shown_metros m ON f.cbsa = m.cbsa GROUP BY 1, 2, 3, 4, 5""",
     "metros": "SELECT DISTINCT cbsa, cbsa_name FROM xwalk WHERE top100 = 1 AND cbsa <> 'M2'",
     "summary": f"""
         SELECT f.cbsa, m.cbsa_name, f.year, f.num_quant, f.pp_min AS min, {total('job_tot')} AS jobs,
@@ -200,9 +216,10 @@ CTES = {
     "county": f"""
         SELECT substr(fips, 1, 5) AS stcofips, {total('job_tot')} AS job_tot, {SUMS}
         FROM wac WHERE year = 1997 GROUP BY 1""",
-    "emp_total": "SELECT stcofips, 'RET' AS industry, y1996, y1997 FROM emp WHERE DBcode = 'RETAXAC'",
+    "emp_total": f"SELECT stcofips, 'RET' AS industry, {EMP_YEARS} FROM emp WHERE DBcode = 'RETAXAC'",
     "emp_sector": f"""
-        SELECT stcofips, {pick('DBcode', SERIES, HARMONISED)} AS naics, sum(y1996) AS y1996, sum(y1997) AS y1997
+        SELECT stcofips, {pick('DBcode', ALL_SERIES, (*HARMONISED, 'naics_GV'))} AS naics,
+               {', '.join(f'sum(y{y}) AS y{y}' for y in ALL_YEARS)}
         FROM emp WHERE DBcode <> 'RETAXAC' GROUP BY 1, 2""",
     "county_check": f"""
         SELECT *, {ratio('delta', 'm_tot')} AS percent_delta FROM (
@@ -234,6 +251,9 @@ CTES = {
                        coalesce(sum(y1997), CAST(0 AS DOUBLE)) AS y1997
                 FROM county_sector JOIN xwalk USING (stcofips) WHERE top100 = 1 GROUP BY 1, 2))
         LEFT JOIN metro_names USING (cbsa)""",
+    "pop_ranked": """
+        SELECT *, CASE WHEN pop_sqmi IS NOT NULL THEN ntile(100) OVER
+               (PARTITION BY pop_sqmi IS NULL ORDER BY pop_sqmi, tract) END AS tile FROM pop_places""",
     "places": f"""
         SELECT tract, year, substr(tract, 1, 5) AS stcofips, substr(tract, 1, 2) AS stfips, job_tot,
                ALAND_SQMI, {SQMI} AS jobs_sqmi FROM lehd""",
@@ -247,8 +267,8 @@ CTES = {
           AND NOT EXISTS (SELECT 1 FROM most_dense d WHERE d.tract = p.tract AND d.year = p.year)""",
     "block_groups": f"""
         SELECT blkgrp, year, job_tot, ALAND_SQMI, {SQMI} AS density, cbsa, cbsa_name FROM (
-            SELECT substr(fips, 1, 12) AS blkgrp, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2) j
-        LEFT JOIN (SELECT substr({FIPS}, 1, 12) AS blkgrp, sum(CAST(floor(o_totalprice / 10000) AS DOUBLE)) AS ALAND_SQMI
+            SELECT substr(fips, 1, 25) AS blkgrp, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2) j
+        LEFT JOIN (SELECT substr({FIPS}, 1, 25) AS blkgrp, sum(CAST(floor(o_totalprice / 10000) AS DOUBLE)) AS ALAND_SQMI
             FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) a
         USING (blkgrp) LEFT JOIN xwalk ON substr(blkgrp, 1, 5) = stcofips""",
     "block_tiles": f"SELECT * FROM (SELECT *, {TILES.replace(', tract)', ', blkgrp)')} FROM block_groups)",
@@ -336,25 +356,24 @@ BODIES = {
     "scan_area_tsv": "SELECT tract, ALAND_SQMI, substr(tract, 1, 5) AS stcofips FROM area",
     "stage_roundtrip": "SELECT * FROM lehd",
     "export_csv": "SELECT tract, year, job_tot, ALAND_SQMI FROM lehd",
-    "stack_periods": """SELECT tract, year, job_tot, CASE WHEN year = 1997 THEN naics_92 END AS naics_92
-        FROM lehd WHERE year IN (1996, 1997)""",
+    "stack_periods": "SELECT tract, year, job_tot, CASE WHEN year >= 1996 THEN naics_92 END AS naics_92 FROM lehd",
     "pad_code": """SELECT c_custkey,
         lpad(CAST(c_custkey AS VARCHAR), CAST((SELECT max(length(CAST(c_custkey AS VARCHAR))) FROM customer) AS INT), '0') AS code,
         CASE WHEN length(CAST(c_custkey AS VARCHAR)) >= 3 THEN CAST(c_custkey AS VARCHAR)
              ELSE lpad(CAST(c_custkey AS VARCHAR), 3, '0') END AS code3 FROM customer""",
     "key_levels": """SELECT fips, year, job_tot, substr(fips, 1, 2) AS state, substr(fips, 1, 5) AS county,
-        substr(fips, 1, 11) AS tract, substr(fips, 1, 12) AS blkgrp FROM wac""",
-    "remap_codes": f"""SELECT CASE WHEN substr(fips, 1, 5) = '04024' THEN concat('04019', substr(fips, 6, 6))
-            ELSE substr(fips, 1, 11) END AS tract, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2""",
+        substr(fips, 1, 24) AS tract, substr(fips, 1, 25) AS blkgrp FROM wac""",
+    "remap_codes": f"""SELECT CASE WHEN substr(fips, 1, 5) = '04024' THEN concat('04019', substr(fips, 6, 18), '0')
+            ELSE substr(fips, 1, 24) END AS tract, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2""",
     "compose_key": f"""SELECT o_orderkey, concat({COUNTY},
         lpad(CAST(o_custkey AS VARCHAR), CAST((SELECT max(length(CAST(o_custkey AS VARCHAR))) FROM orders) AS INT), '0'),
         lpad(CAST(o_orderkey AS VARCHAR), CAST((SELECT max(length(CAST(o_orderkey AS VARCHAR))) FROM orders) AS INT), '0')) AS fips
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "sector_label": f"SELECT naics, {pick('naics', SECTORS, LABELS)} AS naics_label, jobs FROM national_sectors",
     "harmonise_sector": f"SELECT naics, jobs, {pick('naics', SECTORS, HARMONISED)} AS harmonised FROM national_sectors",
-    "split_id": """SELECT stcofips, split_part(DBcode, 'A', 1) AS industry, split_part(DBcode, 'A', 2) AS sep,
-        split_part(DBcode, 'A', 3) AS geo, y1996, y1997 FROM emp""",
-    "select_family": "SELECT stcofips, DBcode AS dbcode, y1997 FROM emp",
+    "split_id": f"""SELECT stcofips, split_part(DBcode, 'A', 1) AS industry, split_part(DBcode, 'A', 2) AS sep,
+        split_part(DBcode, 'A', 3) AS geo, {EMP_YEARS} FROM emp""",
+    "select_family": f"SELECT stcofips, DBcode AS dbcode, {', '.join(f'y{y}' for y in ALL_YEARS if y >= 1997)} FROM emp",
     "short_name": f"SELECT stcofips, cbsa_name, {short('cbsa_name')} AS short_name FROM xwalk_all",
     "xwalk_subset": "SELECT DISTINCT cbsa, cbsa_name FROM xwalk WHERE top100 = 1",
     "exclude_regions": f"""SELECT tract, year, cbsa, job_tot FROM dens
@@ -430,8 +449,7 @@ BODIES = {
         dense_cat_5, most_dense_20, most_dense_10, most_dense_5 FROM tiles""",
     "top_percentiles": "SELECT * FROM most_dense",
     "unpivot_sectors": "SELECT * FROM sector_long",
-    "pivot_years": f"""SELECT county, CAST(max(CASE WHEN year = 1996 THEN job_tot END) AS BIGINT) AS year_1996,
-        CAST(max(CASE WHEN year = 1997 THEN job_tot END) AS BIGINT) AS year_1997 FROM (
+    "pivot_years": f"""SELECT county, {', '.join(f"CAST(max(CASE WHEN year = {y} THEN job_tot END) AS BIGINT) AS year_{y}" for y in ALL_YEARS)} FROM (
             SELECT substr(fips, 1, 5) AS county, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2) GROUP BY 1""",
     "overview_table": f"""SELECT num_quant AS "Density threshold", min AS "Min % jobs", cluster_jobs AS "Jobs in clusters",
         cluster_ct AS "Number of clusters", {r('job_share')} AS "% jobs in clusters"
@@ -459,6 +477,20 @@ BODIES = {
     "minimums_lookup": f"SELECT cbsa, year, {r('job_min')} AS job_min FROM met_jobs WHERE pp_min = 'half_pp'",
     "cluster_flags": f"""SELECT tract, year, cbsa, job_tot, num_quant, pp_min, {r('job_min')} AS job_min, mapvar FROM flags""",
     "metro_summary": "SELECT * FROM summary",
+    "metro_summary_all": "SELECT * FROM summary_all",
+    "dashboard_overview": f"""SELECT {pick('num_quant', ('mapvar_20', 'mapvar_10', 'mapvar_5'),
+                                ('95th percentile', '90th percentile', '80th percentile'))} AS "Density threshold",
+        min AS "Min % jobs", cluster_jobs AS "Jobs in clusters", cluster_ct AS "Number of clusters",
+        {r(ratio('cluster_jobs', 'jobs') + ' * 100')} AS "% jobs in clusters"
+        FROM summary_all WHERE cbsa_name = '{METRO}' AND year = 1997""",
+    "pop_dense_share": f"""SELECT {r("CAST(sum(CASE WHEN tile > 97 THEN pop ELSE 0 END) AS DOUBLE) / CAST(sum(pop) AS DOUBLE)")} AS dense_share,
+        {total('CASE WHEN tile > 97 THEN 1 END')} AS dense_units FROM pop_ranked""",
+    "pop_linear_fit": f"""SELECT {r('regr_slope(pop, ALAND_SQMI)')} AS slope, {r('regr_intercept(pop, ALAND_SQMI)')} AS intercept,
+        {r('regr_r2(pop, ALAND_SQMI)')} AS r2, {big('regr_count(pop, ALAND_SQMI)')} AS n FROM pop_places""",
+    "block_density_metro": "SELECT * FROM block_groups WHERE cbsa = 'M1'",
+    "recon_metro_sector_unguarded": f"""SELECT cbsa, naics, job_tot, jobs, {r('y1997')} AS y1997, {r('m_tot')} AS m_tot,
+        {r('delta')} AS delta, {r(ratio('delta', 'm_tot'))} AS percent_delta, {r('delta_share')} AS delta_share,
+        cbsa_name, short_name FROM metro_sector""",
     "metro_shares": f"""SELECT * REPLACE ({r('cluster_share')} AS cluster_share, {r('job_share')} AS job_share) FROM shares""",
     "metro_two_year": "SELECT a.cbsa, a.cbsa_name, a.num_quant, a.min, "
     + ", ".join(
@@ -478,8 +510,8 @@ BODIES = {
         {r('x1996')} AS x1996, {r('x1997')} AS x1997, {r('share_1996')} AS share_1996, {r('share_1997')} AS share_1997,
         {r(ratio('x1996', 'share_1996'))} AS lq_1996, {r(ratio('x1997', 'share_1997'))} AS lq_1997
         FROM cluster_mix LEFT JOIN sector_shares USING (naics)""",
-    "recon_prepare": f"""SELECT stcofips, naics, {r('y1996')} AS y1996, {r('y1997')} AS y1997 FROM emp_sector
-        UNION ALL SELECT stcofips, industry, {r('y1996')}, {r('y1997')} FROM emp_total""",
+    "recon_prepare": f"""SELECT stcofips, naics, {', '.join(f"{r(f'y{y}')} AS y{y}" for y in ALL_YEARS)} FROM emp_sector
+        UNION ALL SELECT stcofips, industry, {', '.join(r(f'y{y}') for y in ALL_YEARS)} FROM emp_total""",
     "recon_county": f"""SELECT stcofips, job_tot, {r('y1997')} AS y1997, {r('m_tot')} AS m_tot, {r('delta')} AS delta,
         {r('percent_delta')} AS percent_delta FROM county_check""",
     "recon_overall": f"""SELECT {r('sum(delta)')} AS delta, {r('sum(m_tot)')} AS m_tot,
@@ -541,12 +573,17 @@ BODIES = {
         {r('CAST(jobs AS DOUBLE) / CAST(sum(jobs) OVER (PARTITION BY cbsa) AS DOUBLE)')} AS part FROM metro_sector""",
     "boundary_vertices": """SELECT x + s * dx AS long, y + s * dy AS lat, CAST(k AS INT) AS "order", CAST(1 AS INT) AS ring,
         geoid AS tract FROM bounds, corners""",
-    "choropleth_rows": f"""SELECT v.long, v.lat, v."order", v.ring, v.stcofips, d.tract, d.year, d.jobs_sqmi FROM (
+    "choropleth_rows": f"""SELECT v.long, v.lat, v."order", v.ring, v.stcofips, d.year, d.dense_places, d.top_jobs_sqmi FROM (
         SELECT CAST(n_nationkey + dx AS DOUBLE) AS long, CAST(n_regionkey + dy AS DOUBLE) AS lat, CAST(k AS INT) AS "order",
-               CAST(1 AS INT) AS ring, {COUNTY} AS stcofips FROM nation, corners) v LEFT JOIN most_dense d USING (stcofips)""",
+               CAST(1 AS INT) AS ring, {COUNTY} AS stcofips FROM nation, corners) v LEFT JOIN (
+        SELECT stcofips, year, {big('count(*)')} AS dense_places, max(jobs_sqmi) AS top_jobs_sqmi FROM most_dense GROUP BY 1, 2) d
+        USING (stcofips)""",
     "cluster_view": f"""SELECT geoid, tract, job_tot, density, ALAND_SQMI, mapvar, x AS west, y + s AS north
         FROM bounds JOIN kept_flags ON geoid = tract
         WHERE cbsa_name = '{METRO}' AND year = 1997 AND num_quant = 'mapvar_10' AND pp_min = 0.25""",
+    "dashboard_view": f"""SELECT geoid, tract, job_tot, density, ALAND_SQMI, mapvar, x AS west, y + s AS north
+        FROM bounds JOIN kept_flags ON geoid = tract
+        WHERE cbsa_name = '{METRO}' AND year = 1997 AND num_quant = 'mapvar_10' AND pp_min = 0.25""",
     "describe_metro": f"""SELECT s.cbsa, s.cbsa_name, s.year, s.tr_ct, s.jobs, c.lat, c.lon FROM (
         SELECT DISTINCT cbsa, cbsa_name, year, tr_ct, jobs FROM shares WHERE cbsa_name = '{METRO}' AND year = 1997) s
         LEFT JOIN centres c ON s.cbsa = c.cbsa""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from tessera import fixed_values as fv
 
@@ -13,7 +14,7 @@ class Params:
 
     tiles: tuple[int, ...] = fv.TILE_COUNTS
     minimums: tuple[float, ...] = tuple(fv.MINIMUM_SHARES)
-    national_minimums: tuple[float, ...] = fv.NATIONAL_MINIMUMS
     excluded_states: tuple[str, ...] = fv.EXCLUDED_STATES
     excluded_metros: tuple[str, ...] = fv.EXCLUDED_METROS_NATIONAL
     years: tuple[int, int] = (2010, 2015)
+    key_levels: Mapping[str, int] = field(default_factory=lambda: dict(fv.KEY_LEVELS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,15 @@ def with_padded(df: DataFrame, code: str, width: int | None = None) -> DataFrame
     return df.withColumn(code, pad_code(F.col(code), widest(df, code) if width is None else width))
 
 
-def level_key(key: Column, level: str) -> Column:
+def level_key(key: Column, level: str, widths: Mapping[str, int] = fv.KEY_LEVELS) -> Column:
     """Key of the enclosing place at ``level`` (a prefix of the full key)."""
-    return F.substring(key, 1, fv.KEY_LEVELS[level])
+    return F.substring(key, 1, widths[level])
 
 
-def with_levels(df: DataFrame, key: str, levels=tuple(fv.KEY_LEVELS)) -> DataFrame:
-    return df.withColumns({level: level_key(F.col(key), level) for level in levels})
+def with_levels(
+    df: DataFrame, key: str, levels=tuple(fv.KEY_LEVELS), widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
+    return df.withColumns({level: level_key(F.col(key), level, widths) for level in levels})
 
 
 def compose_block_key(

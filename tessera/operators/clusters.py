@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
 from tessera.functions.columns import total, total_sql
-from tessera.operators.joins import join_summary
 
 
 # Tiles of 20 below 17, and a missing tile, are "low density" under the two finer cuts.
@@ -98,21 +97,20 @@ def apply_minimum_sql(category: str, measure: str, minimum: str) -> str:
 
 def cluster_flags(
     long: DataFrame,
-    met_jobs: DataFrame,
     minimums: Sequence[float] = fv.NATIONAL_MINIMUMS,
     measure: str = "job_tot",
+    metro_total: str = "metro_total",
 ) -> DataFrame:
-    """Every place under every cut and minimum share, row by row."""
-    totals = (
-        met_jobs.filter(F.col("pp_min") == fv.MINIMUM_SHARES[1.0][0])
-        .select("cbsa", "year", F.col(measure).alias("_total"))
-    )
-    joined = join_summary(long, totals, ["cbsa", "year"])
-    grid = joined.withColumn("_m", F.explode(minimum_grid(minimums)))
+    """Every place under every cut and minimum share, row by row.
+
+    ``metro_total`` is the metro's sum of the measure on every row, as the ranking
+    leaves it there, so nothing is joined back and any grid of minimums will do.
+    """
+    grid = long.withColumn("_m", F.explode(minimum_grid(minimums)))
     return (
-        grid.withColumns({"job_min": F.expr("_total * _m.factor"), "pp_min": F.col("_m.share")})
+        grid.withColumns({"job_min": F.expr(f"{metro_total} * _m.factor"), "pp_min": F.col("_m.share")})
         .withColumn("mapvar", F.expr(apply_minimum_sql("mapvar", measure, "job_min")))
-        .drop("_m", "_total")
+        .drop("_m", metro_total)
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ def compute_block_density(
     measure: str,
     crosswalk: DataFrame,
     metro: str | None = None,
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
 ) -> DataFrame:
     """The same at block-group level, with areas rolled up from blocks.
 
@@ -59,8 +60,8 @@ def compute_block_density(
             for t in (counts, block_area)
         )
     by = [c for c in ("year",) if c in counts.columns]
-    jobs = rollup(counts, "fips", "blkgrp", by, [measure])
-    area = rollup(block_area, "fips", "blkgrp", (), ["ALAND_SQMI"])
+    jobs = rollup(counts, "fips", "blkgrp", by, [measure], widths=widths)
+    area = rollup(block_area, "fips", "blkgrp", (), ["ALAND_SQMI"], widths=widths)
     return compute_density(attach(jobs, area, "blkgrp"), measure, crosswalk, unit="blkgrp")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import level_key
-from tessera.operators.joins import members, non_members
+from tessera.operators.joins import members
 
 
 def select_group_units(df: DataFrame, cbsa: str, crosswalk: DataFrame, unit: str = "tract") -> DataFrame:
@@ -35,14 +35,16 @@ def geo_attribute_join(
 
 def boundary_vertices(bounds: DataFrame, renamed: str = "id") -> DataFrame:
     """One row per vertex: lon, lat, ring, order along the whole boundary."""
-    rings = bounds.select("geoid", F.posexplode("rings").alias("ring", "_ring"), "rings")
+    # Sizes of the rings are summed once, before the rings part; no ring carries the others along.
+    sizes = F.transform("rings", lambda r: F.greatest(F.size(r), F.lit(0)))
+    start = F.array(F.lit(0))
+    before = F.aggregate(sizes, start, lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    rings = bounds.withColumn("_starts", before).select(
+        "geoid", F.posexplode(F.arrays_zip(F.col("rings").alias("ring"), F.slice("_starts", 1, F.size("rings")).alias("start")))
+        .alias("ring", "_ring"),
+    )
     points = rings.select(
-        "geoid",
-        "ring",
-        F.aggregate(
-            F.slice("rings", 1, F.col("ring")), F.lit(0), lambda n, r: n + F.size(r)
-        ).alias("_before"),
-        F.posexplode("_ring").alias("_k", "_point"),
+        "geoid", "ring", F.col("_ring.start").alias("_before"), F.posexplode("_ring.ring").alias("_k", "_point")
     )
     return points.select(
         F.col("_point.lon").alias("long"),
@@ -54,11 +56,13 @@ def boundary_vertices(bounds: DataFrame, renamed: str = "id") -> DataFrame:
 
 
 def choropleth_rows(vertices: DataFrame, dense: DataFrame, key: str = "stcofips") -> DataFrame:
-    """County vertices with every dense place of the county; others stay unfilled.
+    """County vertices with what fills the county; others stay unfilled.
 
-    A left join in two parts: as an inner join, a county with very many dense places
-    can be split over tasks, which the outer side of a left join cannot.
+    ``dense`` is summed first: one row per county and year with the number of its dense
+    places and their largest density.  Vertices times places, all pairs within a county,
+    are never written out; the places themselves stay in the ``dense`` table.
     """
-    filled = vertices.join(dense, key)
-    unfilled = non_members(vertices, dense.select(key).distinct(), [key])
-    return filled.unionByName(unfilled, allowMissingColumns=True)
+    fill = dense.groupBy(key, "year").agg(
+        F.count("*").alias("dense_places"), F.max("jobs_sqmi").alias("top_jobs_sqmi")
+    )
+    return vertices.join(fill, key, "left")

@@ -57,9 +57,12 @@ def merge_periods(
         return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keys})
 
     left, right = suffixed(first, suffixes[0]), suffixed(second, suffixes[1])
-    if how == "full":
-        return left.join(right, list(keys), "full")
-    return join_nullsafe(left, right, keys, how)
+    if how != "full":
+        return join_nullsafe(left, right, keys, how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    joined = left.join(renamed, match, "full")
+    return joined.withColumns({k: F.coalesce(k, f"_r_{k}") for k in keys}).drop(*[f"_r_{k}" for k in keys])
 
 
 def members(df: DataFrame, key: str, listed: DataFrame, listed_key: str | None = None) -> DataFrame:

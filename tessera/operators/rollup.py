@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import fixed_values as fv
 from tessera.functions.columns import numeric_columns, ratio, total_sql
 from tessera.functions.keys import level_key
 from tessera.operators.joins import members
@@ -19,6 +20,7 @@ def rollup(
     by: Sequence[str] = ("year",),
     measures: Sequence[str] | None = None,
     out: str | None = None,
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
 ) -> DataFrame:
     """Sum every numeric column over the places inside each ``level`` place.
 
@@ -27,7 +29,7 @@ def rollup(
     """
     by, out = list(by), out or level
     summed = list(measures) if measures is not None else numeric_columns(df, by)
-    return df.groupBy(level_key(F.col(key), level).alias(out), *by).agg(
+    return df.groupBy(level_key(F.col(key), level, widths).alias(out), *by).agg(
         *[F.expr(f"{total_sql(c)} AS {c}") for c in summed]
     )
 

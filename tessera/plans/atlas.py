@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.config import Params
 from tessera.functions.keys import exclude_regions
 from tessera.operators.clusters import cluster_profile, expand_definitions, map_categories
 from tessera.operators.density import compute_density, density_tiles
-from tessera.operators.joins import attach
+from tessera.operators.joins import attach, members
 from tessera.operators.lookup import metro_counties, top_metros
 from tessera.operators.rollup import rollup
 from tessera.operators.stats import job_places
@@ -19,6 +20,7 @@ from tessera.sources.staging import stage
 from tessera.sources.star import TYPE_SECTORS, Star
 
 SECTORS = tuple(TYPE_SECTORS.values())
+Years = Sequence[int] | None
 
 
 class Atlas:
@@ -33,47 +35,65 @@ class Atlas:
             "stcofips", "cbsa", "cbsa_name", "top100"
         )
 
-    def lehd(self, year: int | None = None, measures: Sequence[str] | None = None) -> DataFrame:
-        """Counts by tract and year with land area."""
-        tracts = rollup(self.star.wac(year), "fips", "tract", ["year"], measures)
+    def counties(self, metro: str | None) -> DataFrame | None:
+        """Counties of one metro, named as in the crosswalk; None for all places."""
+        return self.metros().filter(F.col("cbsa_name") == metro).select("stcofips") if metro else None
+
+    def lehd(
+        self, years: Years = None, measures: Sequence[str] | None = None, only: str | None = None
+    ) -> DataFrame:
+        """Counts by tract and year with land area; ``only`` keeps the places of one metro.
+
+        Ranks are taken inside metro and year, so both limits hold before anything is
+        summed or ranked.
+        """
+        counts = self.star.wac(years, self.counties(only))
+        tracts = rollup(counts, "fips", "tract", ["year"], measures, widths=self.params.key_levels)
         return attach(tracts, self.star.area(), "tract")
 
     def density(
-        self, carry: Sequence[str] = (), year: int | None = None, metro: Sequence[str] = ("cbsa", "cbsa_name")
-    ) -> DataFrame:
-        lehd = self.lehd(year, ["job_tot", *carry])
+        self, carry: Sequence[str] = (), years: Years = None, metro: Sequence[str] = ("cbsa", "cbsa_name"),
+        only: str | None = None,
+    ) -> DataFrame:
+        lehd = self.lehd(years, ["job_tot", *carry], only)
         return compute_density(lehd, "job_tot", self.metros(), carry=carry, metro=metro)
 
+    def top_density(self) -> DataFrame:
+        """Densities of the top metros only."""
+        top = top_metros(self.metros()).select("cbsa")
+        return members(self.density(), "cbsa", top)
+
     def categories(
-        self, carry: Sequence[str] = (), year: int | None = None, metro: Sequence[str] = ("cbsa", "cbsa_name")
-    ) -> DataFrame:
-        dense = self.density(carry, year, metro)
+        self, carry: Sequence[str] = (), years: Years = None, metro: Sequence[str] = ("cbsa", "cbsa_name"),
+        only: str | None = None,
+    ) -> DataFrame:
+        dense = self.density(carry, years, metro, only)
         return map_categories(density_tiles(dense, metro_total="job_tot"))
 
     def defined(
-        self, keys: Sequence[str], minimums: Sequence[float], year: int | None = None
+        self, keys: Sequence[str], minimums: Sequence[float], years: Years = None, only: str | None = None
     ) -> DataFrame:
         """Expanded cluster profile, excluded states removed after the tiling."""
         kept = exclude_regions(
-            self.categories(year=year, metro=("cbsa", "cbsa_name", "top100")),
+            self.categories(years=years, metro=("cbsa", "cbsa_name", "top100"), only=only),
             "tract",
             self.params.excluded_states,
         )
         return expand_definitions(cluster_profile(kept, keys, ["job_tot"], minimums), minimums)
 
-    def sector_profile(self, minimums: Sequence[float]) -> DataFrame:
-        kept = exclude_regions(self.categories(SECTORS), "tract", self.params.excluded_states)
+    def sector_profile(self, minimums: Sequence[float], years: Years = None) -> DataFrame:
+        kept = exclude_regions(self.categories(SECTORS, years), "tract", self.params.excluded_states)
         return cluster_profile(kept, ["year"], ["job_tot", *SECTORS], minimums)
 
     def top_metros(self) -> DataFrame:
         return top_metros(self.metros(), self.params.excluded_metros)
 
-    def metro_summary(self, year: int | None = None) -> DataFrame:
-        defined = self.defined(["cbsa", "year"], self.params.minimums, year)
+    def metro_summary(self, years: Years = None, only: str | None = None) -> DataFrame:
+        defined = self.defined(["cbsa", "year"], self.params.minimums, years, only)
         return metro_summary(defined, self.top_metros())
 
-    def metro_shares(self, year: int | None = None) -> DataFrame:
-        return metro_shares(self.metro_summary(year))
+    def metro_shares(self, years: Years = None, only: str | None = None) -> DataFrame:
+        return metro_shares(self.metro_summary(years, only))
 
     def places(self) -> DataFrame:
         """Job places, staged: the statistics pass over them more than once."""

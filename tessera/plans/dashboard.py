@@ -43,7 +43,7 @@ def build(
     places = stage(categories.select("year", *PLACE_COLUMNS), "categories")
 
     shown = exclude_regions(places, "tract", excluded_states)
-    shown.hint("rebalance", "year").sortWithinPartitions("cbsa_name").write.mode("overwrite").partitionBy(
+    shown.hint("rebalance", "year").sortWithinPartitions("year", "cbsa_name").write.mode("overwrite").partitionBy(
         "year"
     ).parquet(f"{folder}/places")
 

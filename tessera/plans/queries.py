@@ -32,13 +32,13 @@ from tessera.operators import (
     stats,
     summaries,
 )
-from tessera.plans import views
+from tessera.plans import dashboard, views
 from tessera.plans.atlas import SECTORS, Atlas
 from tessera.sources import files, staging
-from tessera.sources.star import COUNTY
+from tessera.sources.star import ALL_YEARS, COUNTY, LEVELS
 
 YEARS = (1996, 1997)
-PARAMS = Params(excluded_states=("04",), excluded_metros=("M2",), years=YEARS)
+PARAMS = Params(excluded_states=("04",), excluded_metros=("M2",), years=YEARS, key_levels=LEVELS)
 METRO = "City1-Town, R1"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +71,12 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 @query
 def scan_area_tsv(a: Atlas) -> DataFrame:
     path = staging.new_path(a.star.spark, "area-tsv")
-    a.star.area().select(F.col("tract").alias("GEOID"), "ALAND_SQMI").write.option(
-        "sep", "\t"
-    ).option("header", True).csv(path)
+    # As published: the wanted columns stand among others.
+    wide = a.star.area().selectExpr(
+        "substring(tract, 1, 2) AS USPS", "tract AS GEOID", "ALAND_SQMI * 2589988.11 AS ALAND", "0D AS AWATER",
+        "ALAND_SQMI", "0D AS AWATER_SQMI", "CAST(NULL AS STRING) AS INTPTLAT",
+    )
+    wide.write.option("sep", "\t").option("header", True).csv(path)
     return files.read_area(a.star.spark, path)
 
 
@@ -95,11 +98,14 @@ def export_csv(a: Atlas) -> DataFrame:
 
 @query
 def stack_periods(a: Atlas) -> DataFrame:
-    first, second = YEARS
-    parts = {
-        first: a.lehd(first, ["job_tot"]).drop("year", "ALAND_SQMI"),
-        second: a.lehd(second, ["job_tot", "naics_92"]).drop("year", "ALAND_SQMI"),
-    }
+    # One kept part per year; the early ones have no sector.
+    path = staging.new_path(a.star.spark, "periods")
+    kept = a.lehd(measures=["job_tot", "naics_92"]).select("tract", "year", "job_tot", "naics_92")
+    staging.save_stage(kept, path)
+    parts = {}
+    for year in ALL_YEARS:
+        part = staging.load_stage(a.star.spark, path, kept.schema).filter(F.col("year") == year).drop("year")
+        parts[year] = part.drop("naics_92") if year < YEARS[0] else part
     return files.stack_periods(parts)
 
 
@@ -117,7 +123,7 @@ def pad_code(a: Atlas) -> DataFrame:
 @query
 def key_levels(a: Atlas) -> DataFrame:
     blocks = rollup.grouped_totals(a.star.wac(), ["fips", "year"], job_tot="job_tot")
-    return keys.with_levels(blocks, "fips")
+    return keys.with_levels(blocks, "fips", widths=LEVELS)
 
 
 @query
@@ -127,11 +133,12 @@ def remap_codes(a: Atlas) -> DataFrame:
         .filter(keys.level_key(F.col("tract"), "county") == "04024")
         .select(
             F.col("tract").alias("old"),
-            F.concat(F.lit("04019"), F.substring("tract", 6, 6)).alias("new"),
+            F.concat(F.lit("04019"), F.substring("tract", 6, 18), F.lit("0")).alias("new"),
         )
     )
-    counts = a.star.wac().select(keys.level_key(F.col("fips"), "tract").alias("tract"), "year", "job_tot")
-    return rollup.rollup(lookup.remap_codes(counts, "tract", retired), "tract", "tract")
+    # Tracts are summed before and after, so the join meets one row per tract and year.
+    counts = rollup.rollup(a.star.wac(), "fips", "tract", ["year"], ["job_tot"], widths=LEVELS)
+    return rollup.rollup(lookup.remap_codes(counts, "tract", retired), "tract", "tract", widths=LEVELS)
 
 
 @query
@@ -225,7 +232,7 @@ def join_nullsafe(a: Atlas) -> DataFrame:
 
 @query
 def merge_periods(a: Atlas) -> DataFrame:
-    counties = rollup.rollup(a.star.wac(), "fips", "county", ["year"], ["job_tot"])
+    counties = rollup.rollup(a.star.wac(YEARS), "fips", "county", ["year"], ["job_tot"])
     snapshots = staging.stage(counties, "counties")
     first, second = (snapshots.filter(F.col("year") == y).drop("year") for y in YEARS)
     return joins.merge_periods(first, second, ["county"], ("_1996", "_1997"))
@@ -233,7 +240,7 @@ def merge_periods(a: Atlas) -> DataFrame:
 
 @query
 def thresholds_full_join(a: Atlas) -> DataFrame:
-    cuts = staging.stage(summaries.metro_thresholds(a.density(), a.metros()), "thresholds")
+    cuts = staging.stage(summaries.metro_thresholds(a.density(years=YEARS), a.metros()), "thresholds")
     first, second = (cuts.filter(F.col("year") == y).drop("year") for y in YEARS)
     return rounded(
         joins.merge_periods(
@@ -369,7 +376,7 @@ def argmax_area(a: Atlas) -> DataFrame:
 
 @query
 def industry_totals(a: Atlas) -> DataFrame:
-    return rounded(industry.industry_totals(a.lehd(), YEARS, PARAMS.excluded_states))
+    return rounded(industry.industry_totals(a.lehd(YEARS), YEARS, PARAMS.excluded_states))
 
 
 @query
@@ -402,12 +409,12 @@ def unpivot_sectors(a: Atlas) -> DataFrame:
 @query
 def pivot_years(a: Atlas) -> DataFrame:
     by_county = rollup.rollup(a.star.wac(), "fips", "county", ["year"], ["job_tot"])
-    return reshape.to_wide(by_county, ["county"], "year", "job_tot", YEARS, prefix="year_")
+    return reshape.to_wide(by_county, ["county"], "year", "job_tot", ALL_YEARS, prefix="year_")
 
 
 @query
 def overview_table(a: Atlas) -> DataFrame:
-    return rounded(views.overview_table(a.metro_shares(1997), METRO, 1997))
+    return rounded(views.overview_table(a.metro_shares((1997,), METRO), METRO, 1997))
 
 
 @query
@@ -430,9 +437,14 @@ def block_density(a: Atlas) -> DataFrame:
     return block_groups(a)
 
 
-def block_groups(a: Atlas) -> DataFrame:
+@query
+def block_density_metro(a: Atlas) -> DataFrame:
+    return block_groups(a, "M1")
+
+
+def block_groups(a: Atlas, metro: str | None = None) -> DataFrame:
     counts = a.star.wac().select("fips", "year", "job_tot")
-    return density.compute_block_density(counts, a.star.block_area(), "job_tot", a.metros())
+    return density.compute_block_density(counts, a.star.block_area(), "job_tot", a.metros(), metro, widths=LEVELS)
 
 
 @query
@@ -472,10 +484,7 @@ def minimums_lookup(a: Atlas) -> DataFrame:
 
 @query
 def cluster_flags(a: Atlas) -> DataFrame:
-    dense = staging.stage(a.density(), "density")
-    long = clusters.categories_long(clusters.map_categories(density.density_tiles(dense)))
-    met_jobs = clusters.metro_minimums(dense)
-    flagged = clusters.cluster_flags(long, met_jobs, PARAMS.minimums)
+    flagged = clusters.cluster_flags(clusters.categories_long(a.categories()), PARAMS.minimums)
     return rounded(
         flagged.select("tract", "year", "cbsa", "job_tot", "num_quant", "pp_min", "job_min", "mapvar")
     )
@@ -486,6 +495,16 @@ def metro_summary(a: Atlas) -> DataFrame:
     return a.metro_summary()
 
 
+@query
+def metro_summary_all(a: Atlas) -> DataFrame:
+    """The dashboard's form: no place and no metro is left out."""
+    profile = clusters.cluster_profile(
+        a.categories().filter("cbsa IS NOT NULL"), ["cbsa", "year"], ["job_tot"], PARAMS.minimums
+    )
+    defined = clusters.expand_definitions(profile, PARAMS.minimums)
+    return summaries.metro_summary(defined, lookup.top_metros(a.metros()))
+
+
 @query
 def metro_shares(a: Atlas) -> DataFrame:
     return rounded(a.metro_shares())
@@ -495,7 +514,7 @@ def metro_shares(a: Atlas) -> DataFrame:
 def metro_two_year(a: Atlas) -> DataFrame:
     return rounded(
         summaries.two_periods(
-            a.metro_shares(), ["cbsa", "cbsa_name", "num_quant", "min"], YEARS, ("_1996", "_1997")
+            a.metro_shares(YEARS), ["cbsa", "cbsa_name", "num_quant", "min"], YEARS, ("_1996", "_1997")
         )
     )
 
@@ -507,7 +526,7 @@ def national_clusters(a: Atlas) -> DataFrame:
 
 @query
 def national_two_year(a: Atlas) -> DataFrame:
-    found = summaries.national_clusters(a.defined(["year"], PARAMS.minimums))
+    found = summaries.national_clusters(a.defined(["year"], PARAMS.minimums, YEARS))
     return rounded(
         summaries.two_periods(found, ["Density", "Minimum job share"], YEARS, (" 1996", " 1997"))
     )
@@ -516,7 +535,7 @@ def national_two_year(a: Atlas) -> DataFrame:
 @query
 def national_two_year_topmetro(a: Atlas) -> DataFrame:
     found = summaries.national_clusters(
-        a.defined(["year", "top100"], PARAMS.minimums), "top100 = 1"
+        a.defined(["year", "top100"], PARAMS.minimums, YEARS), "top100 = 1"
     )
     return rounded(
         summaries.two_periods(found, ["Density", "Minimum job share"], YEARS, (" 1996", " 1997"))
@@ -528,13 +547,13 @@ def national_two_year_topmetro(a: Atlas) -> DataFrame:
 
 @query
 def industry_cluster_shares(a: Atlas) -> DataFrame:
-    profile = a.sector_profile(PARAMS.minimums)
+    profile = a.sector_profile(PARAMS.minimums, YEARS)
     return rounded(industry.industry_cluster_shares(profile, YEARS, PARAMS.minimums))
 
 
 @query
 def location_quotient(a: Atlas) -> DataFrame:
-    profile = staging.stage(a.sector_profile(PARAMS.minimums), "profile")
+    profile = staging.stage(a.sector_profile(PARAMS.minimums, YEARS), "profile")
     shares = industry.industry_cluster_shares(profile, YEARS, PARAMS.minimums)
     # The profile holds every place once, so it gives the national totals as well.
     totals = industry.sector_totals(profile, YEARS, ())
@@ -545,14 +564,14 @@ def location_quotient(a: Atlas) -> DataFrame:
 
 
 def both_sources(a: Atlas, year: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counties = reconcile.county_counts(a.star.wac(year))
-    totals, by_sector = reconcile.prepare_second_source(a.star.emp(), 1996, 1997)
+    counties = reconcile.county_counts(a.star.wac((year,)))
+    totals, by_sector = reconcile.prepare_second_source(a.star.emp((year,)), year, year)
     return counties, totals, by_sector
 
 
 @query
 def recon_prepare(a: Atlas) -> DataFrame:
-    totals, by_sector = reconcile.prepare_second_source(staging.stage(a.star.emp(), "emp"), 1996, 1997)
+    totals, by_sector = reconcile.prepare_second_source(staging.stage(a.star.emp(), "emp"), ALL_YEARS[0], ALL_YEARS[-1])
     whole = totals.withColumnRenamed("industry", "naics")
     return rounded(by_sector.unionByName(whole))
 
@@ -587,6 +606,12 @@ def recon_metro_sector(a: Atlas) -> DataFrame:
     return rounded(reconcile.metro_sector_check(counties, by_sector, a.metros(), 1997))
 
 
+@query
+def recon_metro_sector_unguarded(a: Atlas) -> DataFrame:
+    counties, _, by_sector = both_sources(a, 1997)
+    return rounded(reconcile.metro_sector_check(counties, by_sector, a.metros(), 1997, guarded=False))
+
+
 @query
 def recon_wide_gap(a: Atlas) -> DataFrame:
     counties, totals, _ = both_sources(a, 1997)
@@ -644,7 +669,7 @@ def freq_polygon(a: Atlas) -> DataFrame:
 
 @query
 def density_curve(a: Atlas) -> DataFrame:
-    dense = staging.stage(a.density(), "density")
+    dense = staging.stage(a.top_density(), "density")  # the curve is drawn for these only
     thresholds = summaries.metro_thresholds(dense, a.metros())
     return rounded(views.distribution_view(dense, thresholds), places=8)
 
@@ -661,6 +686,20 @@ def linear_fit(a: Atlas) -> DataFrame:
     return rounded(stats.linear_fit(job_places_once(a), "job_tot", "ALAND_SQMI", ["year"]))
 
 
+def pop_places(a: Atlas) -> DataFrame:
+    return stats.pop_density(a.star.population(), a.star.area(), a.metros())
+
+
+@query
+def pop_dense_share(a: Atlas) -> DataFrame:
+    return rounded(stats.dense_share(pop_places(a), "pop", "pop_sqmi", []))
+
+
+@query
+def pop_linear_fit(a: Atlas) -> DataFrame:
+    return rounded(stats.linear_fit(pop_places(a), "pop", "ALAND_SQMI"))
+
+
 @query
 def stack_fill(a: Atlas) -> DataFrame:
     counties, _, by_sector = both_sources(a, 1997)
@@ -690,8 +729,11 @@ def choropleth_rows(a: Atlas) -> DataFrame:
 
 @query
 def cluster_view(a: Atlas) -> DataFrame:
-    kept = keys.exclude_regions(a.categories(year=1997), "tract", PARAMS.excluded_states)
-    layer = views.cluster_view(kept, a.star.bounds(), METRO, 1997, 2, 0.25)
+    kept = keys.exclude_regions(a.categories(years=(1997,), only=METRO), "tract", PARAMS.excluded_states)
+    return corners(views.cluster_view(kept, a.star.bounds(), METRO, 1997, 2, 0.25))
+
+
+def corners(layer: DataFrame) -> DataFrame:
     return layer.select(
         "geoid",
         "tract",
@@ -704,6 +746,26 @@ def cluster_view(a: Atlas) -> DataFrame:
     )
 
 
+def dashboard_tables(a: Atlas) -> dashboard.Dashboard:
+    """All tables of the dashboard, precomputed in a new folder."""
+    folder = staging.new_path(a.star.spark, "dashboard")
+    dashboard.build(
+        a.categories(), a.metros(), a.star.bounds(), a.star.centres(), folder, PARAMS.minimums,
+        PARAMS.excluded_states, PARAMS.excluded_metros,
+    )
+    return dashboard.Dashboard(a.star.spark, folder)
+
+
+@query
+def dashboard_view(a: Atlas) -> DataFrame:
+    return corners(dashboard_tables(a).cluster_view(METRO, 1997, 2, 0.25))
+
+
+@query
+def dashboard_overview(a: Atlas) -> DataFrame:
+    return rounded(dashboard_tables(a).overview(METRO, 1997))
+
+
 @query
 def describe_metro(a: Atlas) -> DataFrame:
-    return views.describe_metro(a.metro_shares(1997), a.star.centres(), METRO, 1997)
+    return views.describe_metro(a.metro_shares((1997,), METRO), a.star.centres(), METRO, 1997)

@@ -1,7 +1,7 @@
 """Parameterised dashboard queries over precomputed tables.
 
 ``categories`` is the precomputed table of places: one row per place and year with
-its category under each cut and ``metro_total``.  Kept with ``save_stage`` it is
+its category under each cut and ``metro_total``.  As ``dashboard.build`` keeps it, it is
 partitioned by year and ordered by metro, so a view reads little of it.
 """
 

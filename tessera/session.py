@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -30,3 +32,14 @@ def local_session(cores: int, name: str = "tessera", memory: str = "8g") -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder for staged tables of a one-machine session that names none."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        _FOLDERS[application] = tempfile.mkdtemp(prefix="tessera-")
+    return _FOLDERS[application]

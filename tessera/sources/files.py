@@ -14,17 +14,22 @@ from tessera.sources import schemas
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headed, tab-separated file with a declared schema.
+    """Columns of ``schema`` from headed, tab-separated files, found by their names.
 
-    Columns are matched by position, so the schema lists the file's columns in order.
+    The files may have other columns and any order.  All are read as text by the header,
+    which has to be the same in every file; the wanted ones are cast, and what does not fit
+    its type is NULL.  A missing column is an error.
     """
-    return (
-        spark.read.schema(schema)
-        .option("sep", "\t")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
+    options = {"sep": "\t", "header": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    header = spark.read.options(**options).csv(path).columns
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    rows = spark.read.schema(as_text).options(**options, enforceSchema="false").csv(path)
+    named = {name.strip().lower(): name for name in header}
+    missing = [f.name for f in schema.fields if f.name.lower() not in named]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    return rows.select(
+        *[F.col(f"`{named[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 

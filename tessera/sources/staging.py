@@ -1,34 +1,61 @@
 """Intermediate tables kept in the cluster's shared folder.
 
 A staged table is written once and read back, which cuts the lineage and lets
-several passes over the same rows agree even when executors are lost.  The folder
-is the one the cluster names in ``spark.checkpoint.dir``; only a local session
-without that setting gets a folder of its own.
+several passes over the same rows agree even when executors are lost.  Staging is an
+action: a query that stages runs jobs while it is being built.
+
+The folder is the one the cluster names in ``spark.checkpoint.dir`` (or the context's
+checkpoint folder); it has to be shared by all executors.  Only a local session without
+that setting gets a folder of its own.  Tables stay until they are deleted: inside
+``with StageScope(spark):`` all tables staged by this thread are, at the end.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import scratch_folder
+
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("tessera_stage_scopes", default=())
+
+
+class StageScope:
+    """Life time of staged tables; write or collect the result before the scope ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> StageScope:
+        self._token = _SCOPES.set((*_SCOPES.get(), self.paths))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.reset(self._token)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return context.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return scratch_folder(spark)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCOPES.get()[-1:]:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

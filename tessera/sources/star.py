@@ -1,12 +1,15 @@
 """Place tables derived from a star schema of customers, orders and order lines.
 
-The key copies the prefix hierarchy: region (2) + nation (3) + customer (6) +
-order (7), so state, county, tract and block are prefixes of it.  Counts are
-summed quantities, sectors are part types, periods are all order years.
+The key copies the prefix hierarchy: region (2) + nation (3) + customer (19) + last digit
+of the order (1) + order (19), so state, county, tract, block group and block are prefixes
+of it (``LEVELS``).  The parts hold any BIGINT, so no two customers or orders share a key.
+Counts are summed quantities, sectors are part types, periods are all order years.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ TYPE_SECTORS = {
     "STANDARD": "naics_92",
 }
 
-# Part type -> series id of the second source.
+# Part type -> series id of the second source; government has two series.
 TYPE_SERIES = {
     "ECONOMY": "RE11AXAC",
     "LARGE": "RE22AXAC",
@@ -31,12 +34,17 @@ TYPE_SERIES = {
     "SMALL": "RERWAXAC",
     "STANDARD": "REGVLAXAC",
 }
+LARGE_GOVERNMENT = "REGVFAXAC"  # STANDARD parts above size 25
+
+# Years of the orders and of the shipments.
+ALL_YEARS = tuple(range(1995, 2002))
 
 
 # Place keys as SQL text over the joined customer, nation and order columns.
 COUNTY = "concat(lpad(CAST(n_regionkey AS STRING), 2, '0'), lpad(CAST(n_nationkey AS STRING), 3, '0'))"
-TRACT = f"concat({COUNTY}, lpad(CAST(c_custkey AS STRING), 6, '0'))"
-BLOCK = f"concat({TRACT}, lpad(CAST(o_orderkey AS STRING), 7, '0'))"
+TRACT = f"concat({COUNTY}, lpad(CAST(c_custkey AS STRING), 19, '0'))"
+BLOCK = f"concat({TRACT}, CAST(o_orderkey % 10 AS STRING), lpad(CAST(o_orderkey AS STRING), 19, '0'))"
+LEVELS = {"state": 2, "county": 5, "tract": 24, "blkgrp": 25}
 METRO_NUMBER = "CAST(n_nationkey % 4 AS STRING)"
 
 
@@ -54,6 +62,19 @@ TABLES = {
 }
 
 
+def in_years(column: str, years: Sequence[int]) -> str:
+    """SQL text: a date lies in one of the years, as ranges that reach the scan."""
+    ranges: list[list[int]] = []
+    for year in sorted(set(years)):
+        if ranges and ranges[-1][1] == year:
+            ranges[-1][1] = year + 1
+        else:
+            ranges.append([year, year + 1])
+    return " OR ".join(
+        f"({column} >= timestamp_ntz'{a}-01-01' AND {column} < timestamp_ntz'{b}-01-01')" for a, b in ranges
+    )
+
+
 class Star:
     """Lazy place tables over one data directory."""
 
@@ -65,13 +86,15 @@ class Star:
         """Declared schema, so building a plan reads no file."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def located(self, df: DataFrame, customer_key: str) -> DataFrame:
-        """Add the customer's and its nation's keys.
+    def located(self, df: DataFrame, customer_key: str, counties: DataFrame | None = None) -> DataFrame:
+        """Add the customer's and its nation's keys; ``counties`` (stcofips) keeps those places only.
 
         One join after the other, so that each dimension is sized by its own files.
         """
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
+        if counties is not None:
+            nation = nation.join(counties, F.expr(f"{COUNTY} = stcofips"), "left_semi")
         return df.join(customer, F.expr(f"{customer_key} = c_custkey")).join(
             nation, F.expr("c_nationkey = n_nationkey")
         )
@@ -81,40 +104,43 @@ class Star:
         return self.table("customer").join(nation, F.expr("c_nationkey = n_nationkey"))
 
     def typed_lines(self, *columns: str) -> DataFrame:
-        part = self.table("part").select("p_partkey", "p_type")
+        part = self.table("part").select("p_partkey", "p_type", "p_size")
         line = self.table("lineitem").select("l_orderkey", "l_partkey", *columns)
         return line.join(part, F.expr("l_partkey = p_partkey"))
 
-    def orders(self, *columns: str, year: int | None = None) -> DataFrame:
-        """Orders; a year becomes a date range that reaches the scan."""
+    def orders(self, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
+        """Orders; years become date ranges that reach the scan."""
         orders = self.table("orders")
-        if year is not None:
-            orders = orders.filter(
-                f"o_orderdate >= timestamp_ntz'{year}-01-01' AND o_orderdate < timestamp_ntz'{year + 1}-01-01'"
-            )
+        if years is not None:
+            orders = orders.filter(in_years("o_orderdate", years))
         return orders.select("o_orderkey", "o_custkey", *columns)
 
-    def wac(self, year: int | None = None) -> DataFrame:
-        """Block counts by year, one column per sector.
+    def wac(self, years: Sequence[int] | None = None, counties: DataFrame | None = None) -> DataFrame:
+        """Block counts by year, one column per sector; of all places or those in ``counties``.
 
-        Lines are summed per order before they meet the orders: an order with very
-        many lines combines on the map side, the join needs no second shuffle of the
-        sums, and keys are spelled out once per order instead of once per line.
+        Without limits, lines are summed per order before they meet the orders: an order
+        with very many lines combines on the map side, the join needs no second shuffle of
+        the sums, and keys are spelled out once per order instead of once per line.  With
+        years or counties, the orders are cut down first and only their lines are summed;
+        the sums are shuffled by block, so the join below them can still be split where an
+        order has very many lines.
         """
         by_sector = [
             F.expr(f"sum(CASE WHEN p_type = '{kind}' THEN l_quantity ELSE 0D END) AS {sector}")
             for kind, sector in TYPE_SECTORS.items()
         ]
-        per_order = (
-            self.typed_lines("l_quantity")
-            .groupBy("l_orderkey")
-            .agg(F.expr("sum(l_quantity) AS job_tot"), *by_sector)
-        )
-        orders = self.orders("o_orderdate", year=year)
+        sums = [F.expr("sum(l_quantity) AS job_tot"), *by_sector]
         counts = [f"CAST({c} AS BIGINT) AS {c}" for c in ("job_tot", *TYPE_SECTORS.values())]
-        return self.located(
-            per_order.join(orders, F.expr("l_orderkey = o_orderkey")), "o_custkey"
-        ).selectExpr(f"{BLOCK} AS fips", "year(o_orderdate) AS year", *counts)
+        lines, orders = self.typed_lines("l_quantity"), self.orders("o_orderdate", years=years)
+        if years is None and counties is None:
+            per_order = lines.groupBy("l_orderkey").agg(*sums)
+            placed = self.located(per_order.join(orders, F.expr("l_orderkey = o_orderkey")), "o_custkey")
+            return placed.selectExpr(f"{BLOCK} AS fips", "year(o_orderdate) AS year", *counts)
+        placed = self.located(orders, "o_custkey", counties).selectExpr(
+            "o_orderkey", f"{BLOCK} AS fips", "year(o_orderdate) AS year"
+        )
+        joined = lines.join(placed, F.expr("l_orderkey = o_orderkey"))
+        return joined.groupBy("fips", "year").agg(*sums).selectExpr("fips", "year", *counts)
 
     def area(self) -> DataFrame:
         """Tract land area; missing for negative balances, zero for small ones."""
@@ -135,30 +161,38 @@ class Star:
             "CASE WHEN n_nationkey < 20 AND n_nationkey % 4 < 3 THEN 1 ELSE 0 END AS top100",
         )
 
-    def emp(self) -> DataFrame:
-        """Second source in thousands by ship year, with an all-industries row."""
-        series = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in TYPE_SERIES.items())
+    def emp(self, years: Sequence[int] | None = None) -> DataFrame:
+        """Second source in thousands by ship year, with an all-industries row.
+
+        Every county has every series.  Years become date ranges on the lines' scan.
+        """
+        lines = self.typed_lines("l_quantity", "l_shipdate")
+        if years is not None:
+            lines = lines.filter(in_years("l_shipdate", years))
+        years = tuple(years or ALL_YEARS)
+        kinds = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in TYPE_SERIES.items())
+        series = f"CASE WHEN p_type = 'STANDARD' AND p_size > 25 THEN '{LARGE_GOVERNMENT}' ELSE CASE p_type {kinds} END END"
         shipped = [
-            F.expr(f"sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity ELSE 0D END) AS q{y}")
-            for y in (1996, 1997)
+            F.expr(f"sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity ELSE 0D END) AS q{y}") for y in years
         ]
-        per_order = self.typed_lines("l_quantity", "l_shipdate").groupBy("l_orderkey", "p_type").agg(*shipped)
+        per_order = lines.withColumn("series", F.expr(series)).groupBy("l_orderkey", "series").agg(*shipped)
         by_county = (
             self.located(per_order.join(self.orders(), F.expr("l_orderkey = o_orderkey")), "o_custkey")
-            .groupBy("n_regionkey", "n_nationkey", "p_type")
-            .agg(F.expr("sum(q1996) AS q1996"), F.expr("sum(q1997) AS q1997"))
-            .selectExpr(f"{COUNTY} AS stcofips", f"CASE p_type {series} END AS series", "q1996", "q1997")
+            .groupBy(F.expr(f"{COUNTY} AS stcofips"), "series")
+            .agg(*[F.expr(f"sum(q{y}) AS q{y}") for y in years])
         )
+        names = ", ".join(f"'{name}'" for name in (*TYPE_SERIES.values(), LARGE_GOVERNMENT))
+        pairs = self.table("nation").selectExpr(f"{COUNTY} AS stcofips", f"explode(array({names})) AS series")
         keys = [F.col("stcofips"), F.col("series")]
         return (
-            by_county.groupingSets([keys, keys[:1]], *keys)
+            pairs.join(by_county, ["stcofips", "series"], "left")
+            .groupingSets([keys, keys[:1]], *keys)
             .agg(
                 F.expr("grouping(series) AS _all"),
-                F.expr("sum(q1996) / 1000D AS `1996`"),
-                F.expr("sum(q1997) / 1000D AS `1997`"),
+                *[F.expr(f"coalesce(sum(q{y}), 0D) / 1000D AS `{y}`") for y in years],
             )
             .selectExpr(
-                "stcofips", "CASE WHEN _all = 1 THEN 'RETAXAC' ELSE series END AS DBcode", "`1996`", "`1997`"
+                "stcofips", "CASE WHEN _all = 1 THEN 'RETAXAC' ELSE series END AS DBcode", *[f"`{y}`" for y in years]
             )
         )
 
@@ -195,8 +229,8 @@ class Star:
         """One square ring per tract with positive area; the others have none."""
         placed = self.area().filter("ALAND_SQMI > 0").selectExpr(
             "tract AS geoid",
-            "CAST(substring(tract, 6, 3) AS DOUBLE) AS x",
-            "CAST(substring(tract, 9, 3) AS DOUBLE) AS y",
+            "CAST(substring(tract, 6, 16) AS DOUBLE) AS x",
+            "CAST(substring(tract, 22, 3) AS DOUBLE) AS y",
             "sqrt(ALAND_SQMI) AS side",
         )
         return squares(placed)

@@ -69,7 +69,7 @@ def categories(places):
 @pytest.fixture(scope="module")
 def flags(categories):
     long = clusters.categories_long(categories)
-    return clusters.cluster_flags(long, clusters.metro_minimums(categories), tuple(fv.MINIMUM_SHARES)).cache()
+    return clusters.cluster_flags(long, tuple(fv.MINIMUM_SHARES)).cache()
 
 
 def test_long_form_has_one_row_per_cut(categories):
@@ -211,3 +211,11 @@ def test_block_density_for_one_metro(spark, rows):
     ]
     everything = density.compute_block_density(counts, areas, "job_tot", crosswalk)
     assert everything.count() == 3
+
+
+def test_flags_under_a_grid_without_one_percent(categories, flags):
+    short = clusters.cluster_flags(clusters.categories_long(categories), (0.25, 0.5, 0.75))
+    kept = flags.filter("pp_min IN (0.25, 0.5, 0.75)")
+    assert short.columns == kept.columns
+    assert short.exceptAll(kept).count() == 0 == kept.exceptAll(short).count()
+    assert short.filter("mapvar = 'cluster'").count() > 0

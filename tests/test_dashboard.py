@@ -90,3 +90,12 @@ def test_distribution_has_markers(board):
     assert len(found) == 512
     assert len({(r.p80, r.p90, r.p95) for r in found}) == 1
     assert found[0].p80 < found[0].p90 < found[0].p95
+
+
+def test_places_are_sorted_by_metro_inside_each_file(board):
+    view = board[0]
+    files = view.table("places").inputFiles()
+    for file in files:
+        names = [r["cbsa_name"] for r in view.spark.read.parquet(file).collect()]
+        assert names == sorted(names, key=lambda n: (n is not None, n or ""))
+    assert files

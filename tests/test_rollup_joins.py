@@ -125,3 +125,11 @@ def test_long_keeps_missing_and_wide_comes_back(spark, rows):
     assert long.count() == 4
     wide = reshape.to_wide(long, ["k"], "year", "jobs", ["2010", "2015"], prefix="year_")
     assert rows(wide) == [("a", 1, None), ("b", 3, 4)]
+
+
+def test_full_join_matches_missing_keys(spark):
+    first = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    second = spark.createDataFrame([(None, 10), ("a", 20), ("c", 30)], "k string, v int")
+    joined = joins.merge_periods(first, second, ["k"], ("_1", "_2"), how="full")
+    assert joined.columns == ["k", "v_1", "v_2"]
+    assert {tuple(r) for r in joined.collect()} == {(None, 1, 10), ("a", 2, 20), ("b", 3, None), ("c", None, 30)}

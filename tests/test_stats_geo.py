@@ -158,5 +158,8 @@ def test_boundaries(spark, rows):
     assert layer.columns == ["geoid", "rings", "tract", "job_tot", "mapvar_20"] and layer.count() == 1
     crosswalk = spark.createDataFrame([("01001", "1"), ("01003", "2")], "stcofips string, cbsa string")
     assert rows(geo.select_group_units(units, "1", crosswalk), "tract") == [("01001a",)]
-    dense = spark.createDataFrame([("01001a", 2015), ("01001a", 2010)], "tract string, year int")
-    assert geo.choropleth_rows(vertices, dense, "tract").count() == 11
+    dense = spark.createDataFrame([("01001a", 2015, 2.0), ("01001a", 2015, 5.0), ("01001a", 2010, 1.0)], "tract string, year int, jobs_sqmi double")
+    filled = geo.choropleth_rows(vertices, dense, "tract").collect()
+    assert len(filled) == 11  # five vertices in two years, one vertex unfilled
+    assert {(r["tract"], r["year"], r["dense_places"], r["top_jobs_sqmi"]) for r in filled} == {
+        ("01001a", 2015, 2, 5.0), ("01001a", 2010, 1, 1.0), ("09009b", None, None, None)}
