@@ -12,8 +12,9 @@ model's size is bounded by ``MAX_WORDS`` and ``MAX_GRAMS``.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAX_GRAMS = 20_000  # for each language
 SIZES = (4, 3, 2, 1)
 BACKOFF = math.log(0.4)
 UNKNOWN = "und"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,7 +40,7 @@ def held_out(doc_id: Column) -> Column:
 
 def letters_of(token: str) -> str:
     """A token as the model knows it: lower case, letters only."""
-    return "".join(filter(str.isalpha, token)).lower()
+    return (token if token.isalpha() else "".join(filter(str.isalpha, token))).lower()
 
 
 def grams_of(word: str) -> Counter:
@@ -49,78 +50,131 @@ def grams_of(word: str) -> Counter:
 
 
 class Model:
-    """Log frequencies (rows) by language (columns)."""
+    """Log frequencies of words and n-grams: a row for each, a column for each language."""
 
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
+        self.name = uuid.uuid4().hex
         self.languages = sorted(words)
-        self.words, self.grams = {}, {}
-        for table, counts in ((self.words, words), (self.grams, grams)):
-            totals = np.array([sum(counts.get(lang, {}).values()) + 1.0 for lang in self.languages])
-            seen: dict[str, np.ndarray] = {}
-            for k, lang in enumerate(self.languages):
-                for item, n in counts.get(lang, {}).items():
-                    seen.setdefault(item, np.zeros(len(self.languages)))[k] = n
-            for item, row in seen.items():
-                table[item] = np.log((row + 0.1) / totals)
+        self.words, self.word_rows = self._table(words)
+        self.grams, self.gram_rows = self._table(grams)
         self.floor = np.full(len(self.languages), math.log(1e-7))
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Scores of a word in all languages."""
-        if word in self.words:
-            return self.words[word]
-        marked, covered, total, n_scored = f"^{word}$", [False] * (len(word) + 2), self.floor * 0, 0
+    def _table(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        names = sorted(set().union(*[c.keys() for c in counts.values()]))
+        number = {name: i for i, name in enumerate(names)}
+        table = np.zeros((len(names), len(self.languages)))
+        for k, lang in enumerate(self.languages):
+            for name, n in counts.get(lang, {}).items():
+                table[number[name], k] = n
+        return number, np.log((table + 0.1) / (table.sum(axis=0) + 1.0))
+
+    def back_off(self, word: str) -> tuple[list[int], int]:
+        """Known n-grams that cover the word, longest first, and how many steps down they are in all."""
+        marked, known, found, steps = f"^{word}$", self.grams, [], 0
+        open_places = (1 << len(marked)) - 1
         for step, n in enumerate(SIZES):
+            covered = open_places
             for i in range(len(marked) - n + 1):
-                row = self.grams.get(marked[i : i + n])
-                if row is not None and not all(covered[i : i + n]):
-                    covered[i : i + n] = [True] * n
-                    total = total + row + step * BACKOFF
-                    n_scored += 1
-            if all(covered):
+                here = ((1 << n) - 1) << i
+                if covered & here and (row := known.get(marked[i : i + n])) is not None:
+                    covered &= ~here
+                    found.append(row)
+                    steps += step
+            open_places = covered
+            if not open_places:
                 break
-        return total / n_scored if n_scored else self.floor
-
-
-class Scorer:
+        return found, steps
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row per word: its own log frequencies, or the mean of its n-grams with discounts."""
+        out = np.tile(self.floor, (len(words), 1))
+        own, own_rows, other, lengths, discounts, grams = [], [], [], [], [], []
+        for i, word in enumerate(words):
+            row = self.words.get(word)
+            if row is not None:
+                own.append(i)
+                own_rows.append(row)
+            else:
+                found, steps = self.back_off(word)
+                if found:
+                    other.append(i)
+                    lengths.append(len(found))
+                    discounts.append(steps)
+                    grams.extend(found)
+        if own:
+            out[own] = self.word_rows[own_rows]
+        if other:
+            firsts = np.cumsum([0, *lengths[:-1]])
+            sums = np.add.reduceat(self.gram_rows[grams], firsts, axis=0) + BACKOFF * np.array(discounts)[:, None]
+            out[other] = sums / np.array(lengths)[:, None]
+        return out
+
+
+class Scorer(dict):
     """Scores texts with a model; remembers the tokens it has met, up to a fixed number."""
 
     def __init__(self, model: Model):
+        super().__init__()
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.languages)))
-        self.is_word = np.zeros(1024, bool)
-
-    def _learn(self, token: str) -> int:
-        at = self.number[token] = len(self.number)
-        if at == len(self.rows):
+        self.clear()
+        self.new: list[str] = []
+        # The last column says whether the token has a letter.
+        self.rows = np.zeros((1024, len(self.model.languages) + 1))
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.new.append(token)
+        return number
+
+    def _learn(self) -> None:
+        known = len(self) - len(self.new)
+        while len(self) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.is_word = np.concatenate([self.is_word, np.zeros_like(self.is_word)])
-        word = letters_of(token)
-        self.is_word[at] = bool(word)
-        self.rows[at] = self.model.word_score(word) if word else 0.0
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score (0 to 1); ``und`` and 0 for a text without a letter."""
-        if not text or not self.model.languages:
-            return UNKNOWN, 0.0
-        if len(self.number) > REMEMBERED:
+        words = [letters_of(t) for t in self.new]
+        at = [i for i, w in enumerate(words) if w]
+        rows = np.zeros((len(words), self.rows.shape[1]))
+        if at:
+            rows[at, :-1] = self.model.scores([words[i] for i in at])
+            rows[at, -1] = 1.0
+        self.rows[known : len(self)] = rows
+        self.new = []
+
+    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        """Language and score (0 to 1) of each; ``und`` and 0 for a text without a letter."""
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self) > REMEMBERED:
             self.forget()
-        found, known = text.split(), self.number
-        at = [known[t] if t in known else self._learn(t) for t in found]
-        counts = np.bincount(at, minlength=len(known)) if at else np.zeros(0, np.int64)
-        hit = np.flatnonzero(counts)
-        n = int(counts[hit] @ self.is_word[hit]) if len(hit) else 0
-        if not n:
+        numbers = []
+        for text in texts:
+            found = text.split() if text else []
+            numbers.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
+        if self.new:
+            self._learn()
+        return [self._judge(self.rows[at].sum(axis=0)) for at in numbers]
+
+    def _judge(self, sums: np.ndarray) -> tuple[str, float]:
+        total = sums[:-1]
+        if not sums[-1]:
             return UNKNOWN, 0.0
-        total = counts[hit] @ self.rows[hit]
         best = int(np.argmax(total))
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of a model in this Python worker, kept from task to task."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    return _SCORERS[model.name]
+
+
 def train(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
     sample_per_language: int = SAMPLE_PER_LANGUAGE,
@@ -184,10 +238,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     source = docs.withColumn(body, text_column(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        judge = scorer(shared.value)
         for batch in batched(batches):
             at = batch.schema.get_field_index(body)
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            found = judge.predict(batch.column(at).to_pylist())
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in kept], pa.array([f[0] for f in found], pa.string()),
