@@ -232,6 +232,6 @@ def drop_near_duplicates(
     signed = stage(sign(rows, "text", "print", shingle).select("doc_id", "print", "key"), "prints")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = signed.join(_roots(signed, radius), "print").filter(first).groupBy("root").agg(F.min("key").alias(mark))
-    # Semi join and removal of repeated rows use one and the same partitioning.
-    out = docs.withColumn(mark, key).join(kept.select(mark), mark, "left_semi").dropDuplicates([mark])
+    # Repeated rows fold on the map side; the semi join uses the same partitioning.
+    out = docs.withColumn(mark, key).dropDuplicates([mark]).join(kept.select(mark), mark, "left_semi")
     return out.select(*[f"`{c}`" for c in docs.columns])
