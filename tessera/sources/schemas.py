@@ -23,11 +23,3 @@ CENTRES = schema(cbsa="text", cbsa_name="text", lat="double", lon="double")
 POPULATION = schema(tract="text", pop="long")
 BLOCK_AREA = schema(county="text", tract="double", block="text", LandSQMI="double")
 COUNTS = schema(fips="text", job_tot="long", **{code: "long" for code in fv.SECTOR_LABELS})
-BOUNDARIES = T.StructType(
-    [
-        T.StructField("geoid", T.StringType()),
-        T.StructField(
-            "rings", T.ArrayType(T.ArrayType(schema(lon="double", lat="double")))
-        ),
-    ]
-)

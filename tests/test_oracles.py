@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
@@ -53,3 +55,11 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["year", "Density"]
     assert df.count() > 0
+
+
+def test_entry_works_without_the_optional_part():
+    """In an interpreter of its own, as modules are imported once."""
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], out.stderr

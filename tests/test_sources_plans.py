@@ -7,6 +7,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import keys
 from tessera.operators import ranking
@@ -44,6 +45,18 @@ def test_tsv_columns_are_found_by_name(spark, rows, tmp_path):
         files.read_area(spark, str(tmp_path / "short.txt"))
 
 
+@pytest.mark.parametrize("name", ["CROSSWALK", "CENTRES", "POPULATION", "BLOCK_AREA", "COUNTS"])
+def test_every_flat_input_has_a_reader(spark, tmp_path, name):
+    schema = getattr(schemas, name)
+    values = {"string": "01", "int": 7, "bigint": 12345678901, "double": 2.5}
+    row = tuple(values[f.dataType.simpleString()] for f in schema.fields)
+    df = spark.createDataFrame([row, (None,) * len(row)], schema)
+    turned = df.select("*", F.lit("x").alias("other")).select(*reversed([*df.columns, "other"]))
+    turned.write.option("sep", "\t").option("header", True).csv(str(tmp_path / name))
+    read = files.read_tsv(spark, str(tmp_path / name), schema)
+    assert read.schema == schema and set(map(tuple, read.collect())) == {row, (None,) * len(row)}
+
+
 def test_files_with_other_headers_are_an_error(spark, tmp_path):
     folder = tmp_path / "mixed"
     folder.mkdir()
