@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +36,47 @@ ROUNDS = 2
 TRAIN_EVERY = 16  # one word in so many, at a place that depends on the document
 STEP = 0.2
 BATCH = 256
-COUNTED = 200_000
+COUNTED = 400_000
 FANIN = 64
 
 
-class Vocabulary:
+class Vocabulary(dict):
+    """Class of each word; remembers the words it has met, up to a fixed number."""
+
     def __init__(self, common: list[bytes]):
+        super().__init__()
         self.common = {w: i for i, w in enumerate(common)}
-        self.seen: dict[bytes, int] = {}
-
-    def number(self, word: bytes) -> int:
-        known = self.seen.get(word)
-        if known is None:
-            lower = word.translate(ASCII_LOWER)
-            known = self.common.get(lower)
-            if known is None:
-                known = COMMON + xxhash.xxh64_intdigest(lower[-3:], 5) % (CLASSES - COMMON)
-            if len(self.seen) >= COUNTED:
-                self.seen.clear()
-            self.seen[word] = known
-        return known
+
+    def __missing__(self, word: bytes) -> int:
+        lower = word.translate(ASCII_LOWER)
+        number = self.common.get(lower)
+        if number is None:
+            number = COMMON + xxhash.xxh64_intdigest(lower[-3:], 5) % (CLASSES - COMMON)
+        self[word] = number
+        return number
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > COUNTED:
+            self.clear()
+        numbers = itemgetter(*found)(self) if len(found) > 1 else [self[w] for w in found]
+        return np.fromiter(numbers, np.int16, len(found))
 
     def classes(self, text: str | None) -> np.ndarray:
-        found, seen = words(text), self.seen
-        return np.fromiter([seen[w] if w in seen else self.number(w) for w in found], np.int16, len(found))
+        return self.of(words(text))
+
+    def sampled(self, text: str | None, first: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and classes of every so many-th word, without a look at words far from these."""
+        found = words(text)
+        at = range(first, len(found), every)
+        if not len(at):
+            return np.zeros((2 * SIDE, 0), np.int16), np.zeros(0, np.int16)
+        near = [k for k in range(-SIDE, SIDE + 1)]
+        last = len(found) - 1
+        wanted = [found[min(max(p + k, 0), last)] for k in near for p in at]
+        rows = self.of(wanted).reshape(len(near), len(at))
+        place = np.arange(first, len(found), every) + np.array(near)[:, None]
+        rows[(place < 0) | (place > last)] = EDGE
+        return np.delete(rows, SIDE, axis=0), rows[SIDE]
 
 
 class Network:
@@ -95,15 +113,19 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), np.float64)
+        # tanh is at most 1, so this bounds all scores; without a risk of overflow no maximum is taken.
+        bounded = float((np.abs(self.prior) + np.abs(self.out).sum(axis=0)).max()) < 60
         for k in range(0, len(target), 1024):
             part, goal = context[:, k : k + 1024], target[k : k + 1024]
             scores = self.hidden(part) @ self.out
             scores += self.prior
             picked = scores[np.arange(len(goal)), goal]
-            top = scores.max(axis=1)
-            scores -= top[:, None]
+            if not bounded:
+                top = scores.max(axis=1)
+                scores -= top[:, None]
+                picked = picked - top
             np.exp(scores, out=scores)
-            out[k : k + 1024] = picked - top - np.log(scores.sum(axis=1))
+            out[k : k + 1024] = picked - np.log(scores.sum(axis=1))
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
@@ -141,7 +163,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
         for batch in batched(batches):
             for text in batch.column("text").to_pylist():
-                held.update(words(text.translate(_LOWER_TEXT)) if text else ())
+                held.update(text.encode().translate(ASCII_LOWER).split() if text else ())
             if len(held) > COUNTED:
                 yield flush()
         yield flush()
@@ -149,9 +171,6 @@ def count_words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_LOWER_TEXT = {c: c + 32 for c in range(65, 91)}
-
-
 def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9) -> Network:
     network = Network(prior=prior, seed=seed)
     spark = rows.sparkSession
@@ -165,11 +184,10 @@ def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, round
             for batch in batched(batches):
                 contexts, targets = [], []
                 for text in batch.column("text").to_pylist():
-                    classes = vocabulary.classes(text)
                     first = xxhash.xxh32_intdigest((text or "")[:64], turn) % TRAIN_EVERY
-                    at = np.arange(first, len(classes), TRAIN_EVERY)
-                    contexts.append(Network.contexts(classes, at))
-                    targets.append(classes[at])
+                    around, goal = vocabulary.sampled(text, first, TRAIN_EVERY)
+                    contexts.append(around)
+                    targets.append(goal)
                 target, context = np.concatenate(targets), np.concatenate(contexts, axis=1)
                 mixed = np.random.default_rng(n + turn).permutation(len(target))
                 own.train(context[:, mixed], target[mixed], STEP / (1 + turn))
