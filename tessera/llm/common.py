@@ -18,9 +18,11 @@ from tessera.sources.staging import shared_folder, stage
 
 __all__ = [
     "WordHashes", "batched", "fresh_names", "map_arrow", "ragged_take", "shared_folder", "ship", "stage", "table",
-    "tasks", "text_column", "words",
+    "tasks", "text_column", "words", "worker_copy",
 ]
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8_000_000
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -29,8 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per Spark context, whatever their own paths are."""
+    """Give the executors this package, once per Spark context, whatever their own paths are.
+
+    Arrow batches are limited to ``BATCH_BYTES`` unless the session asks for smaller ones: with
+    long texts, a limit by rows alone would fill a worker's memory.
+    """
     context = spark.sparkContext
+    size = spark.conf.get(BATCH_SETTING, f"{BATCH_BYTES}").removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:  # also where it is written with a unit
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}")
     if not getattr(context, "_tessera_shipped", False):
         root = Path(__file__).resolve().parents[1]
         target = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")
@@ -41,6 +50,18 @@ def ship(spark: SparkSession) -> None:
         context._tessera_shipped = True
 
 
+_KEPT: dict[str, object] = {}
+
+
+def worker_copy(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task; one at a time, so that memory stays bounded."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
@@ -59,7 +80,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; starts anew when it is full."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000, normal=None):
+    def __init__(self, seed: int = 0, most: int = 200_000, normal=None):
         super().__init__()
         self.seed, self.most, self.normal = seed, most, normal
 

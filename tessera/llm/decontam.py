@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, batched, fresh_names, map_arrow, text_column, words
+from tessera.llm.common import WordHashes, batched, fresh_names, map_arrow, text_column, words, worker_copy
 
 MAX_EDITS = 0.2  # of the item's words: similarity 0.8 or more
 STEPS = 24
@@ -98,12 +98,16 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
     return best
 
 
+def word_hashes() -> WordHashes:
+    return WordHashes(seed=3, normal=normal_word)
+
+
 class ItemIndex:
     """Keys of all walks from all places of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float):
-        self.hashed = WordHashes(seed=3, normal=normal_word)
-        self.items = [(key, self.hashed.of(words(text))) for key, text in items]
+        hashed = word_hashes()
+        self.items = [(key, hashed.of(words(text))) for key, text in items]
         self.items = [(key, s) for key, s in self.items if len(s)]
         self.most = [int(max_edits * len(s)) for _, s in self.items]
         item, place, keys = [], [], []
@@ -151,7 +155,8 @@ class ItemIndex:
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches (item id, distance, start word, end word), one per item: the nearest."""
-        each = [self.hashed.of(words(t)) for t in texts]
+        hashed = worker_copy("benchmark words", word_hashes)
+        each = [hashed.of(words(t)) for t in texts]
         filler = np.zeros(HALO + 1, np.uint64)
         symbols = np.concatenate([x for s in each for x in (s, filler)] or [filler])
         sizes = np.array([len(s) for s in each], np.int64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batched, fresh_names, map_arrow, stage, text_column
+from tessera.llm.common import batched, fresh_names, map_arrow, stage, text_column, worker_copy
 
 SAMPLE_PER_LANGUAGE = 4_000  # labelled rows to learn from, for each language, about
 MAX_LANGUAGES = 200
@@ -30,7 +30,7 @@ MAX_GRAMS = 20_000  # for each language
 SIZES = (4, 3, 2, 1)
 BACKOFF = math.log(0.4)
 UNKNOWN = "und"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,15 +164,9 @@ class Scorer(dict):
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """The scorer of a model in this Python worker, kept from task to task."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    """The scorer of a model, kept by each Python worker from task to task."""
+    return worker_copy(f"scorer {model.name}", lambda: Scorer(model))
 
 
 def train(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, batched, fresh_names, map_arrow, stage, text_column
+from tessera.llm.common import ASCII_LOWER, batched, fresh_names, map_arrow, stage, text_column, worker_copy
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -179,6 +179,7 @@ def sign(docs: DataFrame, text: str, name: str, shingle: int = SHINGLE) -> DataF
     source = docs.withColumn(name, text_column(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_copy("fingerprints", dict)  # frees what another operator left
         for batch in batched(batches):
             at = batch.schema.get_field_index(name)
             prints = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64)

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, fresh_names, map_arrow, ship, tasks, text_column, words
+from tessera.llm.common import WordHashes, fresh_names, map_arrow, ship, tasks, text_column, words, worker_copy
 
 WINDOW = 13
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 LEAST_CHUNK_BYTES = 1_000_000
 RANGE_BYTES = 24_000_000  # text per range of hashes: about four million windows
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
@@ -163,6 +163,7 @@ def dedup_substrings(
     grouped = source.groupBy(chunk)  # used twice in one query, so its shuffle is made once
 
     def send(found: pa.Table) -> pa.Table:
+        worker_copy("chunk windows", dict)  # nothing else stays in memory beside a chunk
         number = found.column(chunk)[0].as_py()
         hashes = ChunkWindows(found.column(key).to_pylist(), found.column(text).to_pylist(), window).hashes
         cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(shift))

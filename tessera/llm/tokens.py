@@ -20,6 +20,8 @@ from pathlib import Path
 
 import numpy as np
 
+from tessera.llm.common import worker_copy
+
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 MOST_CHUNKS = 700_000
@@ -84,14 +86,9 @@ class Encoder(dict):
         return [np.frombuffer(self.ids(t) + end, "<u4") for t in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each file in a Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of a file, kept by each Python worker from task to task."""
+    return worker_copy(f"encoder {path}", lambda: Encoder(path))
 
 
 def ids_crc32(ids: np.ndarray) -> int:
