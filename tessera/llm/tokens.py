@@ -26,7 +26,6 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 MOST_CHUNKS = 700_000
 CHUNK = re.compile(r"\s*+[^\W_]+|\s*+\S+|\s+")
-WORD = re.compile(r" ?[^\W\d_]+")
 WHOLE = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
 
 
@@ -60,10 +59,14 @@ class Encoder(dict):
             and parts.get("normalizer") is None and parts["model"].get("type") == "BPE"
         )
         self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
+        self.space = chr(self.characters[0x20])
 
     def __missing__(self, chunk: str) -> bytes:
-        if WORD.fullmatch(chunk):
-            found = [t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.characters))]
+        spaced = chunk[0] == " "
+        word = chunk[1:] if spaced else chunk
+        if word.isalpha():  # one word, which nothing else would split
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+            found = [t.id for t in self.merge(self.space + shown if spaced else shown)]
         else:
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         ids = self[chunk] = array("I", found).tobytes()

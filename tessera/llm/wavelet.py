@@ -52,12 +52,15 @@ def build(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
     pack = zstandard.ZstdCompressor(level=1)
     for plane in range(planes - 1, -1, -1):
         bits = ((ranks >> plane) & 1).astype(bool)
-        for k in range(0, n, BLOCK):
-            data.append(pack.compress(np.packbits(bits[k : k + BLOCK], bitorder="little").tobytes()))
+        seen_ones = 0
+        packed = np.packbits(bits, bitorder="little")
+        for k in range(0, len(packed), BLOCK // 8):
+            block = packed[k : k + BLOCK // 8]
+            data.append(pack.compress(block.data))
             size += len(data[-1])
             offsets.append(size)
-        each = np.add.reduceat(bits, np.arange(0, n, BLOCK), dtype=np.int64)
-        ones.append(np.cumsum(each) - each)
+            ones.append(seen_ones)
+            seen_ones += int(np.bitwise_count(block).sum())
         # Taking by index is several times faster than by mask.
         low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
         zeros.append(len(low))
