@@ -3,9 +3,9 @@
 Only lengths matter for the plan, and there are at most as many as a sequence has tokens:
 the driver gets the number of pieces of each length and nothing else.  For the longest
 length left it looks up which single length, pair or triple fills the gap exactly and uses
-that combination as often as the counts allow; only where none exists the gap takes the
-longest piece that fits, and looks again.  Every step uses up a length, so the plan has a few
-thousand patterns however many documents there are.
+that combination as often as the counts allow.  Lengths without such a combination are left
+to best fit, in bulk by length and gap.  Every step uses up a length or a gap, so the plan has
+a few thousand patterns however many documents there are.
 
 Pieces get a rank among those of their length from a running count in each task and the
 counts of earlier tasks, so no window gathers a length.
@@ -13,6 +13,7 @@ counts of earlier tasks, so no window gathers a length.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -29,24 +30,24 @@ SEQUENCE = 1024
 
 
 class Complements:
-    """Combinations of available lengths by their sum."""
+    """Combinations of available lengths by their sum; lengths below ``least`` are kept back."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts  # counts[length], changed by the caller
+    def __init__(self, counts: np.ndarray, least: int = 1):
+        self.counts, self.least = counts, least  # counts[length], changed by the caller
 
     def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if self.counts[gap] > 0 else None
+        return (gap,) if gap >= self.least and self.counts[gap] > 0 else None
 
     def pair(self, gap: int, longest: int | None = None) -> tuple[int, ...] | None:
         """The pair with the longest first length."""
-        first = np.arange(min(gap - 1, longest or gap - 1), (gap - 1) // 2, -1)
+        first = np.arange(min(gap - self.least, longest or gap), (gap - 1) // 2, -1)
         second = gap - first
         good = (self.counts[first] > 0) & (self.counts[second] > 0) & ((first != second) | (self.counts[first] > 1))
         hit = np.flatnonzero(good)
         return (int(first[hit[0]]), int(second[hit[0]])) if len(hit) else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        for first in np.flatnonzero(self.counts[: gap - 1])[::-1]:
+        for first in np.flatnonzero(self.counts[: max(gap - 2 * self.least + 1, 0)])[::-1]:
             if 3 * first < gap:
                 break
             self.counts[first] -= 1
@@ -60,34 +61,77 @@ class Complements:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
-def plan_sequences(pieces: Mapping[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in order) and how often each is used; all pieces are placed."""
-    counts = np.zeros(size + 1, np.int64)
-    for length, n in pieces.items():
-        counts[length] = n
-    found, out = Complements(counts), []
-    for length in range(size, 0, -1):
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def exact_fills(counts: np.ndarray, size: int, least: int, slack: int = 0) -> Patterns:
+    """Sequences filled to the last token, or all but ``slack``; what they use is taken from ``counts``."""
+    found, out = Complements(counts, least), []
+    if counts[size]:
+        out.append(((size,), int(counts[size])))
+        counts[size] = 0
+    for length in range(size - 1, 0, -1):
         while counts[length]:
-            pattern, gap = [length], size - length
             counts[length] -= 1
-            while gap:
-                rest = found.exact(gap)
-                if not rest:
-                    fits = np.flatnonzero(counts[: gap + 1])
-                    if not len(fits):
-                        break
-                    rest = (int(fits[-1]),)
-                for x in rest:
-                    counts[x] -= 1
-                pattern.extend(rest)
-                gap -= sum(rest)
+            gap = size - length
+            tries = (found.exact(gap - short) for short in range(min(slack + 1, gap)))
+            rest = next((r for r in tries if r), None)
+            counts[length] += 1
+            if not rest:
+                break
+            pattern = (length, *rest)
             kinds, times = np.unique(pattern, return_counts=True)
-            again = int((counts[kinds] // times).min())
-            counts[kinds] -= again * times
-            out.append((tuple(pattern), again + 1))
+            uses = int((counts[kinds] // times).min())
+            counts[kinds] -= uses * times
+            out.append((pattern, uses))
     return out
 
 
+def best_fit(counts: np.ndarray, size: int) -> Patterns:
+    """The pieces left, longest first, each into the fullest sequence that has room."""
+    open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def add(gap: int, pattern: tuple[int, ...], n: int) -> None:
+        if n:
+            open_at.setdefault(gap, []).append((pattern, n))
+
+    for length in range(size, 0, -1):
+        left = int(counts[length])
+        for gap in sorted(g for g in open_at if g >= length) if left else ():
+            if not left:
+                break
+            groups, each = open_at.pop(gap), gap // length
+            for pattern, n in groups:
+                whole = min(n, left // each)
+                add(gap - each * length, pattern + (length,) * each, whole)
+                left, n = left - whole * each, n - whole
+                if n and left:  # fewer than one sequence takes
+                    add(gap - left * length, pattern + (length,) * left, 1)
+                    left, n = 0, n - 1
+                add(gap, pattern, n)
+        each = size // length
+        add(size - each * length, (length,) * each, left // each)
+        if left % each:
+            add(size - left % each * length, (length,) * (left % each), 1)
+    return [group for groups in open_at.values() for group in groups]
+
+
+def plan_sequences(pieces: Mapping[int, int], size: int = SEQUENCE) -> Patterns:
+    """Patterns (lengths in order) and how often each is used; all pieces are placed.
+
+    Short pieces are worth most at the end, so the plan is made several times, with lengths
+    below some bound kept back from the exact fills and a few tokens allowed to stay free,
+    and the one with fewest sequences is taken.  The bounds reach from all lengths to none.
+    """
+    plans = []
+    for least, slack in [(1, 0), *itertools.product((size // 8, size // 4), (0, 1, 2, 4, 8)), (size // 2, 0), (size + 1, 0)]:
+        counts = np.zeros(size + 1, np.int64)
+        for length, n in pieces.items():
+            counts[length] = n
+        plans.append(exact_fills(counts, size, max(least, 1), slack) + best_fit(counts, size))
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
 class Placement:
     """Where the piece with a given rank among those of its length goes."""
 
