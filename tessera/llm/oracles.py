@@ -61,10 +61,55 @@ FROM judged
 """
 
 
+CHAT_SNAPSHOTS = r"""
+WITH numbered AS (
+  SELECT conv_id, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), talks AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY n) AS talk, count(*) AS n_turns
+  FROM numbered GROUP BY conv_id
+), snapshots AS (
+  SELECT DISTINCT talk[1:k] AS talk FROM talks, unnest(range(1, n_turns)) AS t(k)
+), kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns FROM talks ANTI JOIN snapshots USING (talk) GROUP BY talk, n_turns
+)
+SELECT conv_id, n_turns, CAST((n - 1) // {turns} AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS segment_turns,
+  string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+             ORDER BY n) AS rendered
+FROM numbered JOIN kept USING (conv_id) GROUP BY ALL
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + {size} - 1], ' ') AS w
+  FROM worded, unnest(range(1, len(words) - {size} + 2)) AS t(i)
+), earliest AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {size})) AS p
+  FROM windows JOIN earliest USING (w) WHERE first_id < doc_id
+), each AS (
+  SELECT doc_id, p, words[p] AS word FROM worded, unnest(range(1, len(words) + 1)) AS t(p)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS content, count(*) AS n
+  FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(content, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import quality
+    from tessera.llm import chat, quality, substring
 
     return {
+        "op1_chat_snapshots": CHAT_SNAPSHOTS.format(turns=chat.SEGMENT_TURNS),
+        "op4_substring_dedup": SUBSTRING_DEDUP.format(size=substring.WINDOW),
         "op7_url_rules": URL_RULES,
         "op8_quality_rules": QUALITY_RULES.format(
             line_docs=quality.LINE_DOCS, line_share=quality.LINE_SHARE, keep_share=quality.KEEP_SHARE,
