@@ -38,6 +38,7 @@ STEP = 0.2
 BATCH = 256
 COUNTED = 400_000
 FANIN = 64
+SLICES = 48
 
 
 class Vocabulary(dict):
@@ -194,26 +195,30 @@ def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, round
                 n += len(target)
             if n:
                 part = TaskContext.get().partitionId() % FANIN
-                yield _weights(part, own.flat.astype(np.float64) * n, n)
+                pieces = np.array_split(own.flat.astype(np.float64) * n, SLICES)
+                yield _slices(range(SLICES), [part] * SLICES, pieces, n)
 
         def add(found: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(w.as_py(), "<f8") for w in found.column("weights"))
             n = sum(found.column("n").to_pylist())
-            return pa.Table.from_batches([_weights(0, total, n)])
-
-        schema = "part int, weights binary, n long"
-        sums = map_arrow(rows.select("text"), fit, schema).groupBy("part").applyInArrow(add, schema)
-        whole = sums.groupBy("part").applyInArrow(add, schema).first()
-        if whole is None:
+            name = found.column("slice")[0].as_py()
+            return pa.Table.from_batches([_slices([name], [0], [total], n)])
+
+        # Slices of the weights are summed apart, in two steps, so no task meets all weights of all partitions.
+        schema = "slice int, part int, weights binary, n long"
+        some = map_arrow(rows.select("text"), fit, schema).groupBy("slice", "part").applyInArrow(add, schema)
+        whole = sorted(some.groupBy("slice").applyInArrow(add, schema).collect(), key=lambda r: r["slice"])
+        if not whole:
             break
-        network = Network((np.frombuffer(whole["weights"], "<f8") / whole["n"]).astype(np.float32))
+        network = Network(np.concatenate([np.frombuffer(r["weights"], "<f8") / r["n"] for r in whole]).astype(np.float32))
     return network
 
 
-def _weights(part: int, flat: np.ndarray, n: int) -> pa.RecordBatch:
+def _slices(names, parts: list[int], pieces: list[np.ndarray], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
-        "part": pa.array([part], pa.int32()), "weights": pa.array([flat.astype("<f8").tobytes()], pa.binary()),
-        "n": pa.array([n], pa.int64()),
+        "slice": pa.array(list(names), pa.int32()), "part": pa.array(parts, pa.int32()),
+        "weights": pa.array([p.astype("<f8").tobytes() for p in pieces], pa.binary()),
+        "n": pa.array([n] * len(pieces), pa.int64()),
     })
 
 
