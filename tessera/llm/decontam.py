@@ -133,8 +133,8 @@ class ItemIndex:
                 self.first_words.setdefault(symbol, []).append(n)
         self.first = np.array(sorted(self.first_words), np.uint64)
 
-    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place in ``symbols`` where the item would start, item), with repeats."""
+    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in ``symbols``, place in the item that agrees with it, item), with repeats."""
         keys = walk_keys(symbols, starts)
         for t in range(TABLES):
             maybe = np.flatnonzero(self.filter[t][keys[t] >> np.uint64(64 - FILTER_BITS)])
@@ -145,13 +145,13 @@ class ItemIndex:
                 for i in np.flatnonzero(high > low).tolist():
                     at = int(starts[maybe[i]])
                     for k in self.order[t][low[i] : high[i]].tolist():
-                        yield at - int(self.place[k]), int(self.item[k])
+                        yield at, int(self.place[k]), int(self.item[k])
         if len(self.first):
             # Items too short for a walk: any of their first words leads to the exact check.
             for i in np.flatnonzero(np.isin(symbols[starts], self.first)).tolist():
                 at = int(starts[i])
                 for n in self.first_words[int(symbols[at])]:
-                    yield at, n
+                    yield at, 0, n
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches (item id, distance, start word, end word), one per item: the nearest."""
@@ -164,8 +164,10 @@ class ItemIndex:
         starts = np.concatenate([np.arange(f, f + n) for f, n in zip(firsts, sizes, strict=True)] or [firsts])
         checked: dict[tuple[int, int], set[int]] = {}
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        for at, n in self.candidates(symbols, starts):
-            doc = int(np.searchsorted(firsts, max(at, 0), "right")) - 1
+        for walked, place, n in self.candidates(symbols, starts):
+            # The item may start before the document does, where its first words are missing.
+            doc = int(np.searchsorted(firsts, walked, "right")) - 1
+            at = max(walked - place, int(firsts[doc]))
             symbol_ids, most = self.items[n][1], self.most[n]
             # A shift by up to the allowed edits looks at the same words.
             near = checked.setdefault((doc, n), set())

@@ -52,6 +52,17 @@ def test_recall_of_edited_passages(spark, sf_dir, documents):
         assert hits >= least * 2 * len(items), share
 
 
+def test_items_at_a_texts_start_without_their_first_words():
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(60))) for i in range(40)]
+    index = ItemIndex(items, 0.2)
+    for lost in (0, 1, 2, 3, 8):
+        # Several texts in one call: each one but the first has another text before it.
+        texts = [" ".join([*text.split()[lost:], "and", "more", "words"]) for _, text in items]
+        for (key, _), matches in zip(items, index.search(texts), strict=True):
+            assert [m[:3] for m in matches] == [(key, lost, 0)], lost
+
+
 def test_leaks_are_what_an_exact_search_finds(spark, sf_dir, documents):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(documents, benchmark).collect()}
