@@ -8,10 +8,13 @@ sampled steps of a walk; windows that agree in a table are candidates.
 
 A walk of ``STEPS`` steps looks about half as many words ahead.  It is taken from every word
 of every document, and from every place in an item from which it can run, so that an item is
-found from whichever of its parts has few edits.  A candidate window as long as the item
-(with room for the allowed edits) is then compared exactly (Myers' bit-parallel algorithm);
-only that decides.  Items of one block are an index of fixed size that goes to all tasks; more
-items are more blocks, each a pass over the documents.
+found from whichever of its parts has few edits.  Items of fewer than ``PIECED`` words have too
+few such places.  With k allowed edits they are cut into k + 1 pieces, one of which is in the
+document unchanged, so any piece found makes a candidate and none is missed.
+
+A candidate window as long as the item (with room for the allowed edits) is then compared
+exactly (Myers' bit-parallel algorithm); only that decides.  Items of one block are an index of
+fixed size that goes to all tasks; more items are more blocks, each a pass over the documents.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ WALKS = 2
 TABLES = 8
 SAMPLES = 6
 BLOCK_ITEMS = 20_000
+PIECED = 2 * STEPS  # items of fewer words are found by pieces, longer ones by walks
+MOST_PIECE = 5  # words of a piece that are compared before the exact check
 FILTER_BITS = 20
 EDGE_SIGNS = b"".join(bytes([c]) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 HALO = STEPS  # a walk moves at most one word a step
@@ -52,6 +57,7 @@ def sampled_steps(seed: int = 20) -> list[tuple[int, list[int]]]:
 
 PLAN = sampled_steps()
 MIX = np.random.default_rng(21).integers(1, 1 << 63, (TABLES, SAMPLES), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+PIECE_MIX = np.random.default_rng(22).integers(1, 1 << 63, MOST_PIECE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def walk_keys(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -69,11 +75,49 @@ def walk_keys(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
             for t, i in wanted.get(step, ()):
                 keys[t] += now * MIX[t, i]
             at += ((now >> np.uint64(walk * STEPS + step)) & np.uint64(1)).view(np.int64)
+    return spread(keys)
+
+
+def spread(keys: np.ndarray) -> np.ndarray:
     keys ^= keys >> np.uint64(31)
     keys *= np.uint64(0x9E3779B97F4A7C15)
     return keys
 
 
+def piece_keys(symbols: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the keys of all runs of so many symbols."""
+    keys = np.zeros(len(symbols), np.uint64)
+    for size in range(1, max(sizes, default=0) + 1):
+        keys = keys[: max(0, len(symbols) - size + 1)] + symbols[size - 1 :] * PIECE_MIX[size - 1]
+        if size in sizes:
+            yield size, spread(keys.copy())
+
+
+def pieces(n_words: int, most: int) -> list[tuple[int, int]]:
+    """(start, size) of disjoint runs of words, one more than the allowed edits: one of them stays whole."""
+    cuts = np.linspace(0, n_words, min(most + 1, n_words) + 1).astype(int).tolist()
+    return [(a, min(b - a, MOST_PIECE)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+class Sorted:
+    """Keys with an index of numbers; most keys that are not there are turned away by a table of bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+
+    def find(self, wanted: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(index into ``wanted``, numbers of the equal keys) where there are some."""
+        maybe = np.flatnonzero(self.filter[wanted >> np.uint64(64 - FILTER_BITS)])
+        if len(maybe):
+            low = np.searchsorted(self.keys, wanted[maybe], "left")
+            high = np.searchsorted(self.keys, wanted[maybe], "right")
+            for i in np.flatnonzero(high > low).tolist():
+                yield int(maybe[i]), self.order[low[i] : high[i]].tolist()
+
+
 def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
     """Least edit distance of the whole item to any part of ``text`` and that part's end, if at most ``most``."""
     m = len(item)
@@ -103,7 +147,7 @@ def word_hashes() -> WordHashes:
 
 
 class ItemIndex:
-    """Keys of all walks from all places of a block of items."""
+    """Keys of all walks from all places of a block of items, or of the pieces of shorter ones."""
 
     def __init__(self, items: list[tuple[int, str]], max_edits: float):
         hashed = word_hashes()
@@ -111,47 +155,40 @@ class ItemIndex:
         self.items = [(key, s) for key, s in self.items if len(s)]
         self.most = [int(max_edits * len(s)) for _, s in self.items]
         item, place, keys = [], [], []
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
         for n, (_, symbols) in enumerate(self.items):
-            # From later places the walk could leave the item; a short item has its start only.
-            places = np.arange(max(1, len(symbols) - STEPS // 2 + 1))
+            if len(symbols) < PIECED:
+                cut = pieces(len(symbols), self.most[n])
+                found = dict(piece_keys(symbols, {size for _, size in cut}))
+                for at, size in cut:
+                    by_size.setdefault(size, []).append((n, at, int(found[size][at])))
+                continue
+            # From later places the walk could leave the item.
+            places = np.arange(len(symbols) - STEPS // 2 + 1)
             padded = np.concatenate([symbols, np.zeros(HALO + 1, np.uint64)])
             keys.append(walk_keys(padded, places))
             item.extend([n] * len(places))
             place.extend(places.tolist())
         self.item, self.place = np.array(item, np.int32), np.array(place, np.int32)
-        every = np.concatenate(keys, axis=1) if keys else np.zeros((TABLES, 0), np.uint64)
-        self.order = np.argsort(every, axis=1)
-        self.keys = np.take_along_axis(every, self.order, axis=1)
-        self.filter = np.zeros((TABLES, 1 << FILTER_BITS), bool)
-        for t in range(TABLES):
-            self.filter[t, self.keys[t] >> np.uint64(64 - FILTER_BITS)] = True
-        # Where a walk runs out of a short item it reads what follows in the document.
-        self.short = [(n, s) for n, (_, s) in enumerate(self.items) if len(s) < STEPS // 2]
-        self.first_words: dict[int, list[int]] = {}
-        for n, s in self.short:
-            for symbol in set(s.tolist()[: self.most[n] + 1]):
-                self.first_words.setdefault(symbol, []).append(n)
-        self.first = np.array(sorted(self.first_words), np.uint64)
+        self.walks = [Sorted(k) for k in np.concatenate(keys, axis=1)] if keys else []
+        self.pieces = {
+            size: ([p[:2] for p in found], Sorted(np.array([p[2] for p in found], np.uint64)))
+            for size, found in by_size.items()
+        }
 
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place in ``symbols``, place in the item that agrees with it, item), with repeats."""
-        keys = walk_keys(symbols, starts)
-        for t in range(TABLES):
-            maybe = np.flatnonzero(self.filter[t][keys[t] >> np.uint64(64 - FILTER_BITS)])
-            if len(maybe):
-                wanted = keys[t][maybe]
-                low = np.searchsorted(self.keys[t], wanted, "left")
-                high = np.searchsorted(self.keys[t], wanted, "right")
-                for i in np.flatnonzero(high > low).tolist():
-                    at = int(starts[maybe[i]])
-                    for k in self.order[t][low[i] : high[i]].tolist():
-                        yield at, int(self.place[k]), int(self.item[k])
-        if len(self.first):
-            # Items too short for a walk: any of their first words leads to the exact check.
-            for i in np.flatnonzero(np.isin(symbols[starts], self.first)).tolist():
-                at = int(starts[i])
-                for n in self.first_words[int(symbols[at])]:
-                    yield at, 0, n
+        if self.walks:
+            for known, keys in zip(self.walks, walk_keys(symbols, starts), strict=True):
+                for i, numbers in known.find(keys):
+                    for k in numbers:
+                        yield int(starts[i]), int(self.place[k]), int(self.item[k])
+        for size, keys in piece_keys(symbols, set(self.pieces)):
+            places, known = self.pieces[size]
+            for i, numbers in known.find(keys[starts]):
+                for k in numbers:
+                    n, place = places[k]
+                    yield int(starts[i]), place, n
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches (item id, distance, start word, end word), one per item: the nearest."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from tessera.llm.chat import render_maximal
-from tessera.llm.decontam import ItemIndex, best_match, drop_contaminated, find_leaks, normal_word
+from tessera.llm.decontam import PIECED, ItemIndex, best_match, drop_contaminated, find_leaks, normal_word
 from tests.llm.conftest import ODD_ROWS
 
 
@@ -63,6 +63,21 @@ def test_items_at_a_texts_start_without_their_first_words():
             assert [m[:3] for m in matches] == [(key, lost, 0)], lost
 
 
+def test_recall_of_each_item_length_at_the_most_edits():
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    for size in (1, 4, 5, 9, 11, 12, 13, 14, 16, 18, 20, 24, 25, 30, 40, 47, 48, 60, 100):
+        items = [(i, " ".join(some(size))) for i in range(60)]
+        index, texts = ItemIndex(items, 0.2), []
+        for _, text in items:
+            found = text.split()
+            for p in rng.sample(range(size), int(0.2 * size)):
+                found[p] = rng.choice(["zz", "", found[p] + " zq"])
+            texts.append(" ".join([*some(20), *found, *some(20)]))
+        hits = sum(any(m[0] == key for m in got) for (key, _), got in zip(items, index.search(texts), strict=True))
+        assert hits == 60 if size < PIECED else hits >= 57, size
+
+
 def test_leaks_are_what_an_exact_search_finds(spark, sf_dir, documents):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(documents, benchmark).collect()}
