@@ -3,13 +3,16 @@
 The network predicts a word's class from the ``SIDE`` words before and after it: each context
 place has its own table of vectors, their sum goes through tanh and a softmax.  A class is one
 of the commonest words of the corpus, or a bucket for all other words by their last letters.
-A document's score is the sum over its words of the log-probability of the word's class given
-both sides.
+A document's class score is the sum over its words of the log-probability of the word's class
+given both sides.  Its token score adds to each the log share of the word among all words of
+its class, so that it is of the word itself.
 
 Everything the network knows is gathered by Spark: word counts over all documents, and
 rounds in which every partition trains its own copy on words sampled from each of its
 documents, after which the copies are averaged in a two-level grouped sum.  Both grow with the
-corpus; only one set of weights comes back to the driver.
+corpus; only one set of weights and the ``KNOWN`` commonest words come to the driver.  The counts
+of these go to all tasks; other words, of which none is frequent, are joined to their counts once
+for each document.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ TRAIN_EVERY = 16  # one word in so many, at a place that depends on the document
 STEP = 0.2
 BATCH = 256
 COUNTED = 400_000
+KNOWN = 100_000  # words whose counts go to all tasks; the counts of others are joined
 FANIN = 64
 SLICES = 48
 
@@ -80,6 +84,25 @@ class Vocabulary(dict):
         return np.delete(rows, SIDE, axis=0), rows[SIDE]
 
 
+class TokenVocabulary(Vocabulary):
+    """Class and rank (by count) of each word; words that are not among the ranked share the last number."""
+
+    def __init__(self, common: list[bytes], ranked: list[bytes]):
+        super().__init__(common)
+        self.ranks = {w: i for i, w in enumerate(ranked)}
+
+    def __missing__(self, word: bytes) -> int:
+        rank = self.ranks.get(word.translate(ASCII_LOWER), len(self.ranks))
+        self[word] = number = rank * CLASSES + super().__missing__(word)
+        return number
+
+    def tokens(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > COUNTED:
+            self.clear()
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return (numbers % CLASSES).astype(np.int16), numbers // CLASSES
+
+
 class Network:
     """Weights as one float32 vector with named parts."""
 
@@ -172,6 +195,21 @@ def count_words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def class_sizes(counts: DataFrame, common: list[bytes]) -> np.ndarray:
+    """How many words of the corpus are in each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, sums = Vocabulary(common), np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            np.add.at(sums, vocabulary.of(batch.column("word").to_pylist()), batch.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums)], ["class", "n"])
+
+    sizes = np.zeros(CLASSES, np.int64)
+    for r in map_arrow(counts, run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
+    return sizes
+
+
 def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9) -> Network:
     network = Network(prior=prior, seed=seed)
     spark = rows.sparkSession
@@ -223,42 +261,65 @@ def _slices(names, parts: list[int], pieces: list[np.ndarray], n: int) -> pa.Rec
 
 
 def pseudo_likelihood(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: int = 9
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: int = 9, known: int = KNOWN
 ) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum, natural log) and mean_log_likelihood of every row.
+    """Scores of every row: doc_id, n_words, and sums (natural log) and means of two kinds.
 
-    A text without words (NULL, empty, white space) has sum 0 and a NULL mean.  Repeated rows
+    log_likelihood and mean_log_likelihood are of the words' classes, token_log_likelihood and
+    mean_token_log_likelihood of the words: log P(class | both sides) + log(n(word) / n(class)).
+
+    A text without words (NULL, empty, white space) has sums 0 and NULL means.  Repeated rows
     stay and each count in learning; rows without an id are scored too; extra columns are not
     read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_column(text).alias("text"))
     spark = docs.sparkSession
     counts = stage(count_words(rows), "word-counts")
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
-    common = [bytes(w) for w, _ in top]
+    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(max(COMMON, known)).collect()]
+    ranked, log_counts = [w for w, _ in top], np.log(np.array([n for _, n in top] + [1], np.float64))
+    common = ranked[:COMMON]
     total = counts.agg(F.sum("n")).first()[0] or 0
     # Start from the classes' own frequencies; the buckets share the other words evenly.
-    own = np.array([n for _, n in top] + [0] * (COMMON - len(top)), np.float64)
+    own = np.array([n for _, n in top[:COMMON]] + [0] * (COMMON - len(common)), np.float64)
     rest = np.full(CLASSES - COMMON, (total - own.sum()) / (CLASSES - COMMON))
     prior = np.log((np.concatenate([own, rest]) + 1) / (total + CLASSES))
     network = train_network(rows, common, prior, rounds, seed)
-    shared = spark.sparkContext.broadcast((network.flat, common))
+    log_sizes = np.log(np.maximum(class_sizes(counts, common), 1))
+    shared = spark.sparkContext.broadcast((network.flat, common, ranked, log_counts, log_sizes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known = shared.value
-        own, vocabulary = Network(flat), Vocabulary(known)
+        flat, known_common, known_words, logs, sizes_of = shared.value
+        own, vocabulary = Network(flat), TokenVocabulary(known_common, known_words)
+        row = TaskContext.get().partitionId() << 40
         for batch in batched(batches):
-            sizes, sums = [], []
+            sizes, sums, shares, others = [], [], [], []
             for content in batch.column("text").to_pylist():
-                classes = vocabulary.classes(content)
+                found = words(content)
+                classes, ranks = vocabulary.tokens(found)
                 sizes.append(len(classes))
                 context = Network.contexts(classes, np.arange(len(classes)))
                 sums.append(float(own.log_probabilities(context, classes).sum()) if len(classes) else 0.0)
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
+                shares.append(float((logs[ranks] - sizes_of[classes]).sum()))
+                unknown = np.flatnonzero(ranks == len(known_words)).tolist()
+                counted = Counter(found[i].translate(ASCII_LOWER) for i in unknown)
+                others.append([{"word": w, "times": n} for w, n in counted.items()])
+            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
-                 pa.array(means, pa.float64())],
-                ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
+                [pa.array(range(row, row + len(sizes)), pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                 pa.array(sums, pa.float64()), pa.array(shares, pa.float64()), pa.array(others, kind)],
+                ["row", "doc_id", "n_words", "log_likelihood", "share", "others"],
             )
-
-    return map_arrow(rows, score, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            row += len(sizes)
+
+    # Staged, so that the numbers of the rows stay the same on both sides of the join.
+    scored = stage(map_arrow(rows, score, "row long, doc_id long, n_words long, log_likelihood double, share double, "
+                             "others array<struct<word: binary, times: long>>"), "scored")
+    # A word that is not ranked has at most the least ranked count, so no key of this join is hot.
+    few = counts.filter(F.col("n") <= top[-1][1]) if top else counts
+    found = scored.select("row", F.inline("others")).join(few, "word")
+    more = found.groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    token = F.col("log_likelihood") + F.col("share") + F.coalesce("more", F.lit(0.0))
+    out = scored.drop("others").join(more, "row", "left").withColumn("token_log_likelihood", token)
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).alias(f"mean_{c}")
+    return out.select("doc_id", "n_words", "log_likelihood", mean("log_likelihood"),
+                      "token_log_likelihood", mean("token_log_likelihood"))

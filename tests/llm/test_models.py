@@ -127,3 +127,21 @@ def test_likelihood_of_odd_rows(odd, empty):
     for r in got:
         assert (r["n_words"] == 0) == (r["mean_log_likelihood"] is None) and r["log_likelihood"] <= 0
     assert pseudo_likelihood(empty).count() == 0
+
+
+def test_token_scores_tell_words_of_a_class_apart(spark, documents):
+    junk = [(10**9 + i, f"zq{i}xtion zr{i}ytion ZS{i}wtion", "s") for i in range(20)]
+    rows = documents.select("doc_id", "text", "source").union(spark.createDataFrame(junk, "a long, b string, c string"))
+    counts = {bytes(r["word"]): r["n"] for r in count_words(rows).collect()}
+    vocabulary = Vocabulary(sorted(counts, key=lambda w: (-counts[w], w))[: lm.COMMON])
+    sizes = np.zeros(lm.CLASSES)
+    for w, n in counts.items():
+        sizes[vocabulary.of([w])[0]] += n
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for known in (lm.KNOWN, 300):  # from the ranked words alone, and with a join for the others
+        got = pseudo_likelihood(rows, known=known).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            found = (texts[r["doc_id"]] or "").encode().translate(lm.ASCII_LOWER).split()
+            want = sum(math.log(counts[w] / sizes[vocabulary.of([w])[0]]) for w in found)
+            assert abs(r["token_log_likelihood"] - r["log_likelihood"] - want) < 1e-6 * (1 + len(found))
