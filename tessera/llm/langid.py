@@ -66,7 +66,10 @@ class Model:
         for k, lang in enumerate(self.languages):
             for name, n in counts.get(lang, {}).items():
                 table[number[name], k] = n
-        return number, np.log((table + 0.1) / (table.sum(axis=0) + 1.0))
+        # Normalised over all names, so that few counts do not pass for high shares; what a language
+        # has not met costs the same in all, so that a language with few rows does not win by it.
+        rows = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(len(names), 1)))
+        return number, np.where(table > 0, rows, rows.min(initial=0.0))
 
     def back_off(self, word: str) -> tuple[list[int], int]:
         """Known n-grams that cover the word, longest first, and how many steps down they are in all."""
@@ -216,7 +219,7 @@ def train(
     grams: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for is_word, most, into in ((True, MAX_WORDS, words), (False, MAX_GRAMS, grams)):
         for language in sizes:
-            top = sums.filter((F.col("lang") == language) & (F.col("is_word") == is_word) & (F.col("n") > 1))
+            top = sums.filter((F.col("lang") == language) & (F.col("is_word") == is_word))
             for r in top.orderBy(F.desc("n"), "item").limit(most).collect():
                 into[language][r["item"]] = r["n"]
     return Model(words, grams)

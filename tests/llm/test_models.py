@@ -24,6 +24,18 @@ def test_held_out_accuracy(documents):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held) > 0
 
 
+def test_one_stray_row_draws_in_no_other_language(spark, documents):
+    rows = documents.select("doc_id", "text", "lang")
+    ids = [i for i in range(10**9, 10**9 + 9) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for stray in ("Qua zuru, wexo!", "the und les"):
+        more = spark.createDataFrame([(ids[0], stray, "xx"), (ids[1], "zuru wexo", None)], rows.schema)
+        got = {r["doc_id"]: r["lang_pred"] for r in identify(rows.union(more)).collect()}
+        truth = {r["doc_id"]: r["lang"] for r in rows.collect()}
+        assert "xx" not in [got[k] for k in truth]
+        assert sum(got[k] == v for k, v in truth.items()) >= 0.97 * len(truth)
+        assert stray != "Qua zuru, wexo!" or got[ids[0]] == got[ids[1]] == "xx"
+
+
 def test_nothing_is_learned_from_held_out_rows(spark):
     rows = [(i, "alpha beta gamma" if zlib.crc32(str(i).encode()) % 3 == 1 else "uno dos tres", 
              "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else "es", "s") for i in range(60)]
