@@ -8,8 +8,7 @@ given both sides.  Its token score adds to each the log share of the word among
 its class, so that it is of the word itself.
 
 Everything the network knows is gathered by Spark: word counts over all documents, and
-rounds in which every partition trains its own copy on words sampled from each of its
-documents, after which the copies are averaged in a two-level grouped sum.  Both grow with the
+rounds in which every partition trains its own copy on every word of its documents, after which the copies are averaged in a two-level grouped sum.  Both grow with the
 corpus; only one set of weights and the ``KNOWN`` commonest words come to the driver.  The counts
 of these go to all tasks; other words, of which none is frequent, are joined to their counts once
 for each document.
@@ -36,7 +35,7 @@ SIDE = 2
 HIDDEN = 24
 EDGE = CLASSES  # stands before the first and after the last word
 ROUNDS = 2
-TRAIN_EVERY = 16  # one word in so many, at a place that depends on the document
+TRAIN_EVERY = 1  # all words; else one in so many, at a place that depends on the document and the round
 STEP = 0.2
 BATCH = 256
 COUNTED = 400_000
@@ -168,8 +167,9 @@ class Network:
             self.prior -= rate * error.sum(axis=0)
             self.bias -= rate * back.sum(axis=0)
             # A context word's vector is met rarely: its step is not divided by the batch.
-            for place in range(2 * SIDE):
-                np.subtract.at(self.context[place], part[place], np.float32(step / 8) * back)
+            cells = ((np.arange(2 * SIDE)[:, None] * (CLASSES + 1) + part)[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+            moved = np.bincount(cells, np.broadcast_to(back, (2 * SIDE, *back.shape)).ravel(), self.context.size)
+            self.context -= (step / 8 * moved).reshape(self.context.shape).astype(np.float32)
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def class_sizes(counts: DataFrame, common: list[bytes]) -> np.ndarray:
     return sizes
 
 
-def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9) -> Network:
+def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9, every: int = TRAIN_EVERY) -> Network:
     network = Network(prior=prior, seed=seed)
     spark = rows.sparkSession
     ship(spark)
@@ -222,9 +222,13 @@ def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, round
             own, vocabulary, n = Network(flat), Vocabulary(known), 0
             for batch in batched(batches):
                 contexts, targets = [], []
-                for text in batch.column("text").to_pylist():
-                    first = xxhash.xxh32_intdigest((text or "")[:64], turn) % TRAIN_EVERY
-                    around, goal = vocabulary.sampled(text, first, TRAIN_EVERY)
+                for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if every == 1:
+                        goal = vocabulary.classes(text)
+                        around = Network.contexts(goal, np.arange(len(goal))).astype(np.int16)
+                    else:
+                        first = xxhash.xxh32_intdigest(f"{key} {text}", turn) % every
+                        around, goal = vocabulary.sampled(text, first, every)
                     contexts.append(around)
                     targets.append(goal)
                 target, context = np.concatenate(targets), np.concatenate(contexts, axis=1)
@@ -244,7 +248,7 @@ def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, round
 
         # Slices of the weights are summed apart, in two steps, so no task meets all weights of all partitions.
         schema = "slice int, part int, weights binary, n long"
-        some = map_arrow(rows.select("text"), fit, schema).groupBy("slice", "part").applyInArrow(add, schema)
+        some = map_arrow(rows.select("doc_id", "text"), fit, schema).groupBy("slice", "part").applyInArrow(add, schema)
         whole = sorted(some.groupBy("slice").applyInArrow(add, schema).collect(), key=lambda r: r["slice"])
         if not whole:
             break

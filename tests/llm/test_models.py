@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import xxhash
 
 from tessera.llm import lm
 from tessera.llm.langid import Model, Scorer, identify, keep_identified
@@ -157,3 +158,17 @@ def test_token_scores_tell_words_of_a_class_apart(spark, documents):
             found = (texts[r["doc_id"]] or "").encode().translate(lm.ASCII_LOWER).split()
             want = sum(math.log(counts[w] / sizes[vocabulary.of([w])[0]]) for w in found)
             assert abs(r["token_log_likelihood"] - r["log_likelihood"] - want) < 1e-6 * (1 + len(found))
+
+
+def test_every_word_of_short_texts_is_trained(spark):
+    # By a hash of their first letters, texts of three words could be left out of both rounds.
+    text = next(t for t in (f"alpha beta{k} gamma" for k in range(99))
+                if all(xxhash.xxh32_intdigest(t, turn) % 16 >= 3 for turn in (0, 1)))
+    rows = spark.createDataFrame([(i, text) for i in range(600)], "doc_id long, text string")
+    common = sorted(text.encode().split())
+    prior = np.log(np.array([1 / 3] * 3 + [1e-6] * (lm.CLASSES - 3)))
+    classes = Vocabulary(common).classes(text)
+    context = Network.contexts(classes, np.arange(3))
+    before = Network(np.zeros_like(Network().flat), prior=prior).log_probabilities(context, classes).sum()
+    after = lm.train_network(rows, common, prior, 2).log_probabilities(context, classes)
+    assert after.sum() > before + 1 and after.min() > before / 3
