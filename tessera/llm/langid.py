@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batched, fresh_names, map_arrow, stage, text_column, worker_copy
 
 SAMPLE_PER_LANGUAGE = 4_000  # labelled rows to learn from, for each language, about
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 200  # labels with the most rows; others are not learned
 MAX_WORDS = 20_000  # for each language
 MAX_GRAMS = 20_000  # for each language
 SIZES = (4, 3, 2, 1)
@@ -179,7 +179,8 @@ def train(
     """Learn from rows that are not held out and have a language.
 
     About ``sample_per_language`` rows of each language are taken, by a hash of the row's id and
-    text; of a language with fewer rows all are.
+    text; of a language with fewer rows all are.  Only the ``MAX_LANGUAGES`` labels with the most
+    rows are learned: texts of any other label get one of these.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), text_column(text).alias("text"), text_column(lang).alias("lang"))
     good = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
