@@ -276,7 +276,10 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     max_edits: float = MAX_EDITS, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; all columns stay as they are."""
+    """``docs`` without the rows whose text holds an item; all columns stay as they are.
+
+    Items without an id (also one that is not a whole number) match nothing, as in ``find_leaks``.
+    """
     spark = docs.sparkSession
     (body,) = fresh_names(docs, "body")
     out = docs.withColumn(body, text_column(text))
