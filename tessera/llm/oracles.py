@@ -104,8 +104,34 @@ FROM worded LEFT JOIN kept USING (doc_id)
 """
 
 
+LEXICAL_SEARCH = r"""
+WITH tokens AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), postings AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY ALL),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, corpus GROUP BY term
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), corpus
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= {best}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import chat, quality, substring
+    from tessera.llm import chat, lexical, quality, substring
 
     return {
         "op1_chat_snapshots": CHAT_SNAPSHOTS.format(turns=chat.SEGMENT_TURNS),
@@ -115,4 +141,5 @@ def oracle_sql() -> dict[str, str]:
             line_docs=quality.LINE_DOCS, line_share=quality.LINE_SHARE, keep_share=quality.KEEP_SHARE,
             min_words=quality.MIN_WORDS, max_repeat_pct=quality.MAX_REPEAT_PCT,
         ),
+        "op11_lexical_search": LEXICAL_SEARCH.format(best=lexical.BEST),
     }

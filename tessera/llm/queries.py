@@ -10,6 +10,7 @@ from tessera.llm.chat import render_maximal
 from tessera.llm.common import table
 from tessera.llm.decontam import find_leaks
 from tessera.llm.langid import identify
+from tessera.llm.lexical import lexical_search
 from tessera.llm.lm import pseudo_likelihood
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality_rules
@@ -78,10 +79,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_chat_snapshots, op2_pseudo_likelihood, op3_token_shards, op4_substring_dedup, op5_simhash,
-        op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_best_fit_packing,
+        op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_best_fit_packing, op11_lexical_search,
     )
 }
