@@ -130,8 +130,40 @@ QUALIFY rank <= {best}
 """
 
 
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), grams AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+    FROM worded, (VALUES (1), (2), (3)) AS sizes(size)
+), counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= {least}),
+covered AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM candidates WHERE size = 3
+), kept AS (
+    SELECT c.*, above FROM candidates AS c LEFT JOIN (SELECT lang, phrase, max(a) AS above FROM covered GROUP BY ALL) USING (lang, phrase)
+    WHERE size = 3 OR above IS NULL OR 100 * above < {covered_pct} * a
+), cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:size], ' ') AS rest
+    FROM kept, (VALUES (1), (2)) AS spots(k) WHERE k < size
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+        CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts AS c JOIN counts AS x ON x.lang = c.lang AND x.phrase = first_part JOIN counts AS y ON y.lang = c.lang AND y.phrase = rest
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN totals USING (lang)
+QUALIFY rank <= {top}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import chat, lexical, quality, substring
+    from tessera.llm import chat, lexical, phrases, quality, substring
 
     return {
         "op1_chat_snapshots": CHAT_SNAPSHOTS.format(turns=chat.SEGMENT_TURNS),
@@ -142,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
             min_words=quality.MIN_WORDS, max_repeat_pct=quality.MAX_REPEAT_PCT,
         ),
         "op11_lexical_search": LEXICAL_SEARCH.format(best=lexical.BEST),
+        "op12_phrases": PHRASES.format(least=phrases.LEAST, covered_pct=phrases.COVERED_PCT, top=phrases.TOP),
     }

@@ -12,7 +12,9 @@ from tessera.llm.decontam import find_leaks
 from tessera.llm.langid import identify
 from tessera.llm.lexical import lexical_search
 from tessera.llm.lm import pseudo_likelihood
+from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.packing import pack_documents
+from tessera.llm.phrases import mine_phrases
 from tessera.llm.quality import quality_rules
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.substring import dedup_substrings
@@ -84,10 +86,21 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of every language."""
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id 20 divides."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_chat_snapshots, op2_pseudo_likelihood, op3_token_shards, op4_substring_dedup, op5_simhash,
         op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_best_fit_packing, op11_lexical_search,
+        op12_phrases, op13_nearest_neighbours,
     )
 }

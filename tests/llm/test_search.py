@@ -9,8 +9,9 @@ from math import floor, log
 import numpy as np
 import pytest
 
-from tessera.llm import lexical
+from tessera.llm import lexical, neighbours
 from tessera.llm.lexical import Shard, lexical_search, pack_shard, term_slices
+from tessera.llm.neighbours import nearest_neighbours
 from tests.llm.conftest import LONG
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -107,3 +108,92 @@ def test_ids_of_other_types(spark, kind):
     docs = spark.createDataFrame([("7", "a b"), ("x", "a c")], "doc_id string, text string")
     items = spark.createDataFrame([("1", "a b")], "item_id string, text string").selectExpr(f"CAST(item_id AS {kind}) item_id", "text")
     assert [(str(r["item_id"]), r["doc_id"]) for r in lexical_search(docs, items).collect()] == [("1", 7)]
+
+
+def brute_nearest(rows, every=20, best=20):
+    """query id -> [(vec_id, score)] over rows of (id, list)."""
+    good = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[(i, tuple(v))] = None
+    width = max((len(v) for _, v in good), default=0)
+    ids = np.array([i for i, _ in good])
+    points = np.array([list(v) + [0.0] * (width - len(v)) for _, v in good])
+    out = {}
+    for k, i in enumerate(ids.tolist()):
+        if i % every == 0:
+            scores = points @ points[k]
+            order = [j for j in np.lexsort((ids, -scores)) if ids[j] != i][:best]
+            out.setdefault(i, []).append([(int(ids[j]), float(scores[j])) for j in order])
+    return out
+
+
+def found_nearest(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+def recall_of(got, want):
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in w[0]}) for q, w in want.items())
+    return hits / sum(len(w[0]) for w in want.values())
+
+
+def test_whole_budget_is_exact(spark):
+    """Small whole numbers tie in large groups; with recall 1 the search has to be exact."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got, want = found_nearest(nearest_neighbours(table, recall=1.1)), brute_nearest(rows)
+    assert {q: [w] for q, w in got.items()} == want
+
+
+def test_recall_against_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    got, want = found_nearest(nearest_neighbours(table, leaf=16)), brute_nearest(rows)
+    assert set(got) == set(want) and recall_of(got, want) >= 0.9
+    for q, found in got.items():
+        scores = dict(zip(*zip(*brute_nearest(rows, best=len(rows))[q][0]))) if q < 60 else {}
+        assert len(found) == 20 and all(abs(scores.get(i, s) - s) < 1e-12 for i, s in found)
+
+
+def test_hot_vector_and_uneven_norms(spark):
+    """A third of all rows are copies of one vector, norms differ by far."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(1200, 8)) * np.exp(rng.normal(size=(1200, 1)))
+    points[rng.choice(1200, 400, replace=False)] = points[0]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got, want = found_nearest(nearest_neighbours(table)), brute_nearest(rows)
+    assert set(got) == set(want) and recall_of(got, want) >= 0.9
+    assert all(len(set(i for i, _ in f)) == 20 and q not in [i for i, _ in f] for q, f in got.items())
+
+
+def test_leaves_larger_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_BYTES", 40 * 8 * 5)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 1)
+    monkeypatch.setattr(neighbours, "QUERIES_PER_COPY", 3)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(size=(500, 4)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found_nearest(nearest_neighbours(table, every=5, recall=1.1))
+    want = brute_nearest(rows, 5)
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in w[0]] for q, w in want.items()}
+
+
+def test_neighbours_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [0.0, -1.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]),
+        (5, [nan, 1.0]), (40, [inf, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, [3.0, 0.0, 4.0]), (60, [5.0]), (9, [-1.0, -0.0]),
+        (-20, [2.0, 2.0]), (10, [2.0, 2.0]), (10, [2.0, 2.0]),
+    ]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, score string, part string")
+    got, want = found_nearest(nearest_neighbours(table, recall=1.1)), brute_nearest(rows)
+    assert {q: sorted(f) for q, f in got.items()} == {q: sorted(x for w in ws for x in w) for q, ws in want.items()}
+    assert [i for i, _ in got[0]] == [i for i, _ in want[0][0]]
+    assert nearest_neighbours(table.limit(0)).count() == 0
+    assert nearest_neighbours(table.filter("vec_id = 3")).count() == 0
+    assert nearest_neighbours(table.filter("vec_id = 60")).count() == 0
