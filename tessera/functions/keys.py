@@ -70,9 +70,11 @@ def outside(code: Column, values) -> Column:
     return code.isNull() | ~code.isin(*values) if values else F.lit(True)
 
 
-def exclude_regions(df: DataFrame, key: str, states=(), metros=(), metro: str = "cbsa") -> DataFrame:
+def exclude_regions(
+    df: DataFrame, key: str, states=(), metros=(), metro: str = "cbsa", widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
     """Drop places by state prefix and rows by metro id, keeping missing ids."""
-    kept = df.filter(outside(level_key(F.col(key), "state"), states)) if states else df
+    kept = df.filter(outside(level_key(F.col(key), "state", widths), states)) if states else df
     return kept.filter(outside(F.col(metro), metros)) if metros else kept
 
 
@@ -81,6 +83,8 @@ def in_universe(state: Column) -> Column:
     return (state.try_cast("int") < fv.STATE_CODE_BOUND) & ~state.isin(*fv.STATES_OUTSIDE_UNIVERSE)
 
 
-def universe_filter(df: DataFrame, key: str, renamed: str | None = None) -> DataFrame:
-    kept = df.filter(in_universe(level_key(F.col(key), "state")))
+def universe_filter(
+    df: DataFrame, key: str, renamed: str | None = None, widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
+    kept = df.filter(in_universe(level_key(F.col(key), "state", widths)))
     return kept.withColumnRenamed(key, renamed) if renamed else kept

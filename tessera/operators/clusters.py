@@ -48,10 +48,15 @@ def named_minimum(share: float) -> tuple[str, float]:
     return fv.MINIMUM_SHARES.get(float(share), fv.MINIMUM_SHARES[0.0])
 
 
+def grid_minimum(share: float) -> tuple[str, float]:
+    """Name and factor of a share in a grid, percent of the metro's count: any number is itself."""
+    return fv.MINIMUM_SHARES.get(float(share), (f"pp_{float(share):g}".replace(".", "_"), float(share) / 100))
+
+
 def minimum_grid(minimums: Sequence[float]) -> Column:
     """Array of (share, name, factor) rows."""
     rows = ", ".join(
-        "named_struct('share', {}D, 'name', '{}', 'factor', {}D)".format(float(m), *named_minimum(m))
+        "named_struct('share', {}D, 'name', '{}', 'factor', {}D)".format(float(m), *grid_minimum(m))
         for m in minimums
     )
     return F.expr(f"array({rows})")
@@ -117,7 +122,7 @@ def cluster_flags(
 def exceeded_sql(measure: str, metro_total: str, minimums: Sequence[float]) -> str:
     """Bit ``j`` is set when the measure exceeds minimum ``j`` of the grid."""
     return " + ".join(
-        f"CAST({measure} > {metro_total} * {named_minimum(share)[1]}D AS INT) * {1 << j}"
+        f"CAST({measure} > {metro_total} * {grid_minimum(share)[1]!r}D AS INT) * {1 << j}"
         for j, share in enumerate(minimums)
     )
 

@@ -11,8 +11,8 @@ from tessera import fixed_values as fv
 from tessera.functions.columns import ratio
 from tessera.functions.keys import level_key
 from tessera.operators.joins import attach, members
-from tessera.operators.ranking import with_tiles
 from tessera.operators.rollup import rollup
+from tessera.operators.selection import select_tiles
 
 METRO_COLUMNS = ("stcofips", "cbsa", "cbsa_name")
 
@@ -24,6 +24,7 @@ def compute_density(
     unit: str = "tract",
     carry: Sequence[str] = (),
     metro: Sequence[str] = ("cbsa", "cbsa_name"),
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
 ) -> DataFrame:
     """Density of a chosen measure with the metro of the place's county.
 
@@ -35,7 +36,7 @@ def compute_density(
         *kept,
         *[c for c in carry if c not in kept],
         ratio(measure, "ALAND_SQMI").alias("density"),
-        level_key(F.col(unit), "county").alias("stcofips"),
+        level_key(F.col(unit), "county", widths).alias("stcofips"),
     )
     return attach(dense, crosswalk.select("stcofips", *metro), "stcofips").drop("stcofips")
 
@@ -56,13 +57,13 @@ def compute_block_density(
     if metro is not None:
         counties = crosswalk.filter(F.col("cbsa") == metro)
         counts, block_area = (
-            members(t.withColumn("_cty", level_key(F.col("fips"), "county")), "_cty", counties, "stcofips").drop("_cty")
+            members(t.withColumn("_cty", level_key(F.col("fips"), "county", widths)), "_cty", counties, "stcofips").drop("_cty")
             for t in (counts, block_area)
         )
     by = [c for c in ("year",) if c in counts.columns]
     jobs = rollup(counts, "fips", "blkgrp", by, [measure], widths=widths)
     area = rollup(block_area, "fips", "blkgrp", (), ["ALAND_SQMI"], widths=widths)
-    return compute_density(attach(jobs, area, "blkgrp"), measure, crosswalk, unit="blkgrp")
+    return compute_density(attach(jobs, area, "blkgrp"), measure, crosswalk, unit="blkgrp", widths=widths)
 
 
 def density_tiles(
@@ -76,7 +77,8 @@ def density_tiles(
     """Tiles of density inside metro and year; places without a metro are one group.
 
     ``metro_total`` names a measure whose sum over the whole group is added as
-    ``metro_total``; it comes out of the ranking for free.
+    ``metro_total``; it comes out of the first pass for free.  Places are read three times:
+    stage them if they are costly.
     """
     totals = {"metro_total": metro_total} if metro_total else None
-    return with_tiles(df, tiles, group, "density", [unit], method, totals)
+    return select_tiles(df, tiles, group, "density", [unit], method, totals)

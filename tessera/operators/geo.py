@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import fixed_values as fv
 from tessera.functions.keys import level_key
 from tessera.operators.joins import members
 
 
-def select_group_units(df: DataFrame, cbsa: str, crosswalk: DataFrame, unit: str = "tract") -> DataFrame:
+def select_group_units(
+    df: DataFrame, cbsa: str, crosswalk: DataFrame, unit: str = "tract", widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
     """Places whose county belongs to one metro."""
     counties = crosswalk.filter(F.col("cbsa") == cbsa)
-    keyed = df.withColumn("_cty", level_key(F.col(unit), "county"))
+    keyed = df.withColumn("_cty", level_key(F.col(unit), "county", widths))
     return members(keyed, "_cty", counties, "stcofips").drop("_cty")
 
 
@@ -55,7 +58,9 @@ def boundary_vertices(bounds: DataFrame, renamed: str = "id") -> DataFrame:
     )
 
 
-def choropleth_rows(vertices: DataFrame, dense: DataFrame, key: str = "stcofips") -> DataFrame:
+def choropleth_rows(
+    vertices: DataFrame, dense: DataFrame, key: str = "stcofips", measure: str = "jobs_sqmi"
+) -> DataFrame:
     """County vertices with what fills the county; others stay unfilled.
 
     ``dense`` is summed first: one row per county and year with the number of its dense
@@ -63,6 +68,6 @@ def choropleth_rows(vertices: DataFrame, dense: DataFrame, key: str = "stcofips"
     are never written out; the places themselves stay in the ``dense`` table.
     """
     fill = dense.groupBy(key, "year").agg(
-        F.count("*").alias("dense_places"), F.max("jobs_sqmi").alias("top_jobs_sqmi")
+        F.count("*").alias("dense_places"), F.max(measure).alias(f"top_{measure}")
     )
     return vertices.join(fill, key, "left")

@@ -7,7 +7,7 @@ sectors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +21,24 @@ from tessera.operators.reshape import to_wide
 from tessera.operators.rollup import total_row
 
 
-def industry_long(df: DataFrame, states: Sequence[str] = fv.EXCLUDED_STATES) -> DataFrame:
+def industry_long(
+    df: DataFrame, states: Sequence[str] = fv.EXCLUDED_STATES, widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
     """One row per place, year and sector, excluded states left out."""
-    kept = exclude_regions(df, "tract", states)
+    kept = exclude_regions(df, "tract", states, widths=widths)
     return kept.select("tract", "year", "job_tot", "ALAND_SQMI", *sector_columns(df)).unpivot(
         ["tract", "year", "job_tot", "ALAND_SQMI"], sector_columns(df), "naics", "jobs"
     )
 
 
 def sector_totals(
-    df: DataFrame, years: tuple[int, int], states: Sequence[str] = fv.EXCLUDED_STATES
-) -> DataFrame:
+    df: DataFrame, years: tuple[int, int], states: Sequence[str] = fv.EXCLUDED_STATES,
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
+) -> DataFrame:
     """National counts and shares per sector in two years, with their changes."""
     first, second = years
     sectors = sector_columns(df)
-    kept = exclude_regions(df, "tract", states).filter(F.col("year").isin(*years))
+    kept = exclude_regions(df, "tract", states, widths=widths).filter(F.col("year").isin(*years))
     sums = kept.agg(
         *[
             F.expr(f"{total_sql(f'CASE WHEN year = {y} THEN {s} END')} AS {s}_{y}")
@@ -65,10 +68,11 @@ def sector_totals(
 
 
 def industry_totals(
-    df: DataFrame, years: tuple[int, int], states: Sequence[str] = fv.EXCLUDED_STATES
-) -> DataFrame:
+    df: DataFrame, years: tuple[int, int], states: Sequence[str] = fv.EXCLUDED_STATES,
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
+) -> DataFrame:
     """The national sector table with labels and a total row."""
-    return total_row(sector_label(sector_totals(df, years, states), new_column=True), "naics")
+    return total_row(sector_label(sector_totals(df, years, states, widths), new_column=True), "naics")
 
 
 def industry_cluster_shares(

@@ -6,6 +6,8 @@ county, or per county and sector.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ from tessera.operators.rollup import rollup
 DELTAS = ("m_tot", "delta", "percent_delta")
 
 
-def county_counts(counts: DataFrame) -> DataFrame:
+def county_counts(counts: DataFrame, widths: Mapping[str, int] = fv.KEY_LEVELS) -> DataFrame:
     """First source by county, all numeric columns."""
-    return rollup(counts.drop("year"), "fips", "county", (), out="stcofips")
+    return rollup(counts.drop("year"), "fips", "county", (), out="stcofips", widths=widths)
 
 
 def prepare_second_source(raw: DataFrame, low: int = 2002, high: int = 2016) -> tuple[DataFrame, DataFrame]:

@@ -40,10 +40,10 @@ def grouped_totals(df: DataFrame, by: Sequence[str], **named: str) -> DataFrame:
 
 
 def member_totals(
-    df: DataFrame, key: str, counties: DataFrame, by: Sequence[str], **named: str
+    df: DataFrame, key: str, counties: DataFrame, by: Sequence[str], widths: Mapping[str, int] = fv.KEY_LEVELS, **named: str
 ) -> DataFrame:
     """Grouped sums over the places whose county is listed."""
-    keyed = df.withColumn("stcofips", level_key(F.col(key), "county"))
+    keyed = df.withColumn("stcofips", level_key(F.col(key), "county", widths))
     return grouped_totals(members(keyed, "stcofips", counties), by, **named)
 
 
@@ -57,10 +57,13 @@ def flagged_share(df: DataFrame, measure: str, by: Sequence[str], **flags: str)
     )
 
 
-def level_density(df: DataFrame, key: str, level: str, measure: str, area: str, by=("year",)) -> DataFrame:
-    """Roll up measure and area, then their ratio, at a coarser level."""
-    rolled = rollup(df, key, level, by, [measure, area])
-    return rolled.withColumn("jobs_sqmi", ratio(measure, area))
+def level_density(
+    df: DataFrame, key: str, level: str, measure: str, area: str, by=("year",), widths: Mapping[str, int] = fv.KEY_LEVELS,
+    out: str = "jobs_sqmi",
+) -> DataFrame:
+    """Roll up measure and area, then their ratio as ``out``, at a coarser level."""
+    rolled = rollup(df, key, level, by, [measure, area], widths=widths)
+    return rolled.withColumn(out, ratio(measure, area))
 
 
 def total_row(df: DataFrame, label: str, text: str = "Total") -> DataFrame:

@@ -11,30 +11,34 @@ from tessera import fixed_values as fv
 from tessera.functions.columns import ratio, total, total_sql
 from tessera.functions.keys import level_key, short_name
 from tessera.operators.joins import attach, join_nullsafe, join_summary, non_members
-from tessera.operators.ranking import quantiles, rank_rows, tile_sql, top_tiles
+from tessera.operators.ranking import rank_rows
+from tessera.operators.selection import flag_top, select_quantiles, select_top
+
 
 def finite_sql(value: str) -> str:
     return f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < DOUBLE('Infinity')"
 
 
-def job_places(lehd: DataFrame) -> DataFrame:
+def job_places(lehd: DataFrame, widths: Mapping[str, int] = fv.KEY_LEVELS) -> DataFrame:
     """Places with their state and county keys and jobs per square mile."""
     return lehd.select(
         "tract",
         "year",
-        level_key(F.col("tract"), "county").alias("stcofips"),
-        level_key(F.col("tract"), "state").alias("stfips"),
+        level_key(F.col("tract"), "county", widths).alias("stcofips"),
+        level_key(F.col("tract"), "state", widths).alias("stfips"),
         "job_tot",
         "ALAND_SQMI",
         ratio("job_tot", "ALAND_SQMI").alias("jobs_sqmi"),
     )
 
 
-def pop_density(population: DataFrame, area: DataFrame, crosswalk: DataFrame) -> DataFrame:
+def pop_density(
+    population: DataFrame, area: DataFrame, crosswalk: DataFrame, widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
     """Population per square mile with metro and short metro name."""
     dense = attach(population, area.select("tract", "ALAND_SQMI"), "tract").select(
         "tract",
-        level_key(F.col("tract"), "county").alias("stcofips"),
+        level_key(F.col("tract"), "county", widths).alias("stcofips"),
         "pop",
         "ALAND_SQMI",
         ratio("pop", "ALAND_SQMI").alias("pop_sqmi"),
@@ -43,18 +47,21 @@ def pop_density(population: DataFrame, area: DataFrame, crosswalk: DataFrame) ->
     return named.withColumn("short_name", short_name(F.col("cbsa_name")))
 
 
-def most_dense(places: DataFrame, value: str = "jobs_sqmi", by: Sequence[str] = ("year",)) -> DataFrame:
-    """Places in tiles 98 to 100 of 100, ranked over the whole period."""
-    return top_tiles(places, by, value, ["tract"])
+def most_dense(
+    places: DataFrame, value: str = "jobs_sqmi", by: Sequence[str] = ("year",), unit: str = "tract"
+) -> DataFrame:
+    """Places in tiles 98 to 100 of 100 over the whole period."""
+    return select_top(places, by, value, [unit])
 
 
-def dense_share(places: DataFrame, measure: str, value: str, by: Sequence[str] = ("year",)) -> DataFrame:
+def dense_share(
+    places: DataFrame, measure: str, value: str, by: Sequence[str] = ("year",), unit: str = "tract"
+) -> DataFrame:
     """Share of a measure held by the densest places, and how many they are."""
-    ranked = rank_rows(places, by, value, ["tract"], rank="_rank", size="_size")
-    top = f"{tile_sql('_rank', '_size', 100)} > 97"
-    return ranked.groupBy(*by).agg(
-        ratio(total_sql(f"CASE WHEN {top} THEN {measure} END"), f"sum({measure})").alias("dense_share"),
-        F.expr(f"count_if({top}) AS dense_units"),
+    marked = flag_top(places, by, value, [unit], flag="_top")
+    return marked.groupBy(*by).agg(
+        ratio(total_sql(f"CASE WHEN _top THEN {measure} END"), f"sum({measure})").alias("dense_share"),
+        F.expr("count_if(_top) AS dense_units"),
     )
 
 
@@ -91,7 +98,7 @@ def metro_medians(
     """Medians per top metro and year beside the number of its densest places."""
     top = crosswalk.filter(F.col("top100") == 1).select("stcofips", "cbsa", "cbsa_name")
     inside = places.filter(F.col("ALAND_SQMI") > 0).join(top, "stcofips")
-    medians = quantiles(inside, ["cbsa", "cbsa_name", "year"], measures, ["tract"], {"median": 0.5})
+    medians = select_quantiles(inside, ["cbsa", "cbsa_name", "year"], measures, {"median": 0.5})
     wide = medians.groupBy("cbsa", "cbsa_name", "year").agg(
         *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in measures]
     )
@@ -134,10 +141,11 @@ def argmax(
 def six_number_summary(
     df: DataFrame, measures: Sequence[str], unit: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and number of missing values."""
-    cut = quantiles(
-        df, by, measures, unit, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    )
+    """Minimum, quartiles, mean, maximum and number of missing values.
+
+    ``unit`` is not needed any more: no order of equal values enters.
+    """
+    cut = select_quantiles(df, by, measures, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0})
     plain = df.groupBy(*by).agg(
         *[F.avg(F.col(m).cast("double")).alias(f"_mean_{m}") for m in measures],
         *[F.count_if(F.col(m).isNull()).alias(f"_na_{m}") for m in measures],
@@ -240,6 +248,8 @@ BANDWIDTH = """0.9D * pow(CAST(n AS DOUBLE), -0.2D) * CASE
     WHEN least(sd, (q3 - q1) / 1.34D) > 0 THEN least(sd, (q3 - q1) / 1.34D)
     WHEN sd > 0 THEN sd ELSE 1D END"""
 
+REACH = 9  # bandwidths: exp(-81 / 2) is below 1e-17
+
 
 def density_curve(
     df: DataFrame,
@@ -252,16 +262,17 @@ def density_curve(
 ) -> DataFrame:
     """Gaussian kernel density on an even grid, over the values inside the limits.
 
-    Rows are counted into fine bins first, so the kernel is evaluated at most
-    ``bins * points`` times per group whatever the number of rows.  A bin stands at
-    the mean of its values, so with bin width w and bandwidth h the curve is off by at
-    most (w / h)^2 / 8 times the height of a single kernel, 0.4 / h.  Where h falls
-    below w (nearly all values the same) that says nothing: take more ``bins``.
+    Rows are counted into fine bins, each standing at the mean of its values, and the bins of a
+    group become one array.  A point adds up the bins within ``REACH`` bandwidths, a slice of
+    that array, so no row is made for a bin and a point.  With bin width w and bandwidth h
+    the curve is off by at most (w / h)^2 / 8 times the height of a single kernel, 0.4 / h; what
+    lies beyond the reach adds less than 1e-17 of it.  Where h falls below w (nearly all values
+    the same) the first says nothing: take more ``bins``.  ``unit`` is not needed any more.
     """
     low, high = limits
     by = list(by)
-    inside = df.filter(F.col(value).between(low, high)).select(*by, *unit, value)
-    quartiles = quantiles(inside, by, [value], unit, {"q1": 0.25, "q3": 0.75})
+    inside = df.filter(F.col(value).between(low, high)).select(*by, value)
+    quartiles = select_quantiles(inside, by, [value], {"q1": 0.25, "q3": 0.75})
     spread = inside.groupBy(*by).agg(F.expr(f"stddev_samp({value}) AS sd"))
     kernel = (
         join_nullsafe(quartiles, spread, by, "inner")
@@ -270,32 +281,37 @@ def density_curve(
     )
     fine, step = (high - low) / bins, (high - low) / (points - 1)
     slot = f"least(floor(({value} - {low}D) / {fine}D), {bins - 1})"
-    binned = inside.groupBy(*by, F.expr(f"{slot} AS _bin")).agg(
-        F.expr("count(1) AS _count"), F.expr(f"avg({value}) AS _centre")
+    binned = inside.groupBy(*by, F.expr(f"CAST({slot} AS INT) AS bin")).agg(
+        F.expr("CAST(count(1) AS DOUBLE) AS c"), F.expr(f"avg({value}) AS m")
     )
-    # Each small row becomes `points` rows: spread them before, not by their size now.
+    # One array a group costs far more than its bytes say: deal the groups before.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = join_summary(binned.repartition(tasks, *by, "_bin"), kernel, by, "inner")
-    grid = spread_out.selectExpr(
-        "*", f"explode(sequence(0, {points - 1})) AS point"
+    filled = (
+        binned.repartition(tasks, *by)
+        .groupBy(*by)
+        .agg(F.expr("sort_array(collect_list(struct(bin, c, m))) AS b"))
+        # Empty bins in between, so that a place in the array is a bin.
+        .withColumn("_gaps", F.expr("transform(b, (x, i) -> x.bin - if(i = 0, -1, b[i - 1].bin) - 1)"))
+        .withColumn("_none", F.expr("named_struct('bin', -1, 'c', 0D, 'm', 0D)"))
+        .withColumn("bins", F.expr("flatten(transform(b, (x, i) -> concat(array_repeat(_none, _gaps[i]), array(x))))"))
+        .drop("b", "_gaps", "_none")
     )
-    z = f"({low}D + point * {step}D - _centre) / bw"
-    return (
-        grid.groupBy(*by, "point", "n", "bw")
-        .agg(F.expr(f"sum(_count * exp(-0.5D * {z} * {z})) AS _sum"))
-        .selectExpr(
-            *by,
-            "point",
-            f"{low}D + point * {step}D AS x",
-            "_sum / (n * bw * sqrt(2D * pi())) AS y",
-        )
+    sized = join_nullsafe(filled, kernel, by, "inner")
+    x = f"({low}D + p * {step}D)"
+    first = f"greatest(CAST(floor((p * {step}D - {REACH}D * bw) / {fine}D) AS BIGINT), 0)"
+    reach = f"CAST(ceil({2 * REACH}D * bw / {fine}D) AS BIGINT) + 2"
+    near = f"slice(bins, CAST({first} + 1 AS INT), CAST(least({reach}, {bins}) AS INT))"
+    bump = f"s.c * exp(-0.5D * (({x} - s.m) / bw) * (({x} - s.m) / bw))"
+    sums = f"transform(sequence(0, {points - 1}), p -> aggregate({near}, 0D, (a, s) -> a + {bump}))"
+    return sized.selectExpr(*by, "n", "bw", f"posexplode({sums}) AS (point, _sum)").selectExpr(
+        *by, "point", f"{low}D + point * {step}D AS x", "_sum / (n * bw * sqrt(2D * pi())) AS y"
     )
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str], unit: Sequence[str]) -> DataFrame:
-    """Quartiles, whiskers at 1.5 IQR and number of outliers."""
+    """Quartiles, whiskers at 1.5 IQR and number of outliers; ``unit`` is not needed any more."""
     by = list(by)
-    hinges = quantiles(df, by, [value], unit, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    hinges = select_quantiles(df, by, [value], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = join_summary(df.select(*by, value), hinges, by, "inner")
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)

@@ -11,7 +11,7 @@ from tessera import fixed_values as fv
 from tessera.functions.columns import lookup, ratio, total_sql
 from tessera.operators.joins import members
 from tessera.operators.lookup import top_metros
-from tessera.operators.ranking import quantiles
+from tessera.operators.selection import select_quantiles
 
 
 def national_clusters(
@@ -115,10 +115,10 @@ def metro_thresholds(
 ) -> DataFrame:
     """Density cut-points of the top metros, long, per year.
 
-    Other metros are dropped before anything is ranked.
+    Other metros are dropped before anything is counted.  ``unit`` is not needed any more.
     """
     metros = top_metros(crosswalk)
-    cuts = quantiles(members(df, "cbsa", metros), ["cbsa", "year"], ["density"], [unit], percentiles)
+    cuts = select_quantiles(members(df, "cbsa", metros), ["cbsa", "year"], ["density"], percentiles)
     return (
         cuts.join(metros, "cbsa")
         .unpivot(["cbsa", "cbsa_name", "year"], list(percentiles), "percentile", "n")

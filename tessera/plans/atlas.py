@@ -47,7 +47,7 @@ class Atlas:
         Ranks are taken inside metro and year, so both limits hold before anything is
         summed or ranked.
         """
-        counts = self.star.wac(years, self.counties(only))
+        counts = self.star.wac(years, self.counties(only), measures)
         tracts = rollup(counts, "fips", "tract", ["year"], measures, widths=self.params.key_levels)
         return attach(tracts, self.star.area(), "tract")
 
@@ -56,7 +56,15 @@ class Atlas:
         only: str | None = None,
     ) -> DataFrame:
         lehd = self.lehd(years, ["job_tot", *carry], only)
-        return compute_density(lehd, "job_tot", self.metros(), carry=carry, metro=metro)
+        widths = self.params.key_levels
+        return compute_density(lehd, "job_tot", self.metros(), carry=carry, metro=metro, widths=widths)
+
+    def staged_density(
+        self, carry: Sequence[str] = (), years: Years = None, metro: Sequence[str] = ("cbsa", "cbsa_name"),
+        only: str | None = None,
+    ) -> DataFrame:
+        """Densities kept once, unsorted: selection reads them more than once, and lines cost far more than places."""
+        return stage(self.density(carry, years, metro, only), "density")
 
     def top_density(self) -> DataFrame:
         """Densities of the top metros only."""
@@ -67,7 +75,7 @@ class Atlas:
         self, carry: Sequence[str] = (), years: Years = None, metro: Sequence[str] = ("cbsa", "cbsa_name"),
         only: str | None = None,
     ) -> DataFrame:
-        dense = self.density(carry, years, metro, only)
+        dense = self.staged_density(carry, years, metro, only)
         return map_categories(density_tiles(dense, metro_total="job_tot"))
 
     def defined(
@@ -78,11 +86,14 @@ class Atlas:
             self.categories(years=years, metro=("cbsa", "cbsa_name", "top100"), only=only),
             "tract",
             self.params.excluded_states,
+            widths=self.params.key_levels,
         )
         return expand_definitions(cluster_profile(kept, keys, ["job_tot"], minimums), minimums)
 
     def sector_profile(self, minimums: Sequence[float], years: Years = None) -> DataFrame:
-        kept = exclude_regions(self.categories(SECTORS, years), "tract", self.params.excluded_states)
+        kept = exclude_regions(
+            self.categories(SECTORS, years), "tract", self.params.excluded_states, widths=self.params.key_levels
+        )
         return cluster_profile(kept, ["year"], ["job_tot", *SECTORS], minimums)
 
     def top_metros(self) -> DataFrame:
@@ -97,4 +108,4 @@ class Atlas:
 
     def places(self) -> DataFrame:
         """Job places, staged: the statistics pass over them more than once."""
-        return stage(job_places(self.lehd(measures=["job_tot"])), "places")
+        return stage(job_places(self.lehd(measures=["job_tot"]), self.params.key_levels), "places")

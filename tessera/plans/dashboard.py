@@ -7,7 +7,7 @@ row groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ def build(
     minimums: Sequence[float] = tuple(fv.MINIMUM_SHARES),
     excluded_states: Sequence[str] = fv.EXCLUDED_STATES,
     excluded_metros: Sequence[str] = fv.EXCLUDED_METROS_DASHBOARD,
+    widths: Mapping[str, int] = fv.KEY_LEVELS,
 ) -> None:
     """Write the tables of a dashboard below ``folder``.
 
@@ -42,7 +43,7 @@ def build(
     """
     places = stage(categories.select("year", *PLACE_COLUMNS), "categories")
 
-    shown = exclude_regions(places, "tract", excluded_states)
+    shown = exclude_regions(places, "tract", excluded_states, widths=widths)
     shown.hint("rebalance", "year").sortWithinPartitions("year", "cbsa_name").write.mode("overwrite").partitionBy(
         "year"
     ).parquet(f"{folder}/places")
@@ -55,7 +56,7 @@ def build(
     metro_thresholds(places, crosswalk).write.mode("overwrite").parquet(f"{folder}/thresholds")
 
     counties = crosswalk.filter("top100 = 1").select("stcofips", "cbsa_name")
-    placed = bounds.withColumn("stcofips", level_key(F.col("geoid"), "county")).join(counties, "stcofips")
+    placed = bounds.withColumn("stcofips", level_key(F.col("geoid"), "county", widths)).join(counties, "stcofips")
     placed.drop("stcofips").hint("rebalance").sortWithinPartitions("cbsa_name").write.mode(
         "overwrite"
     ).parquet(f"{folder}/bounds")

@@ -25,10 +25,10 @@ from tessera.operators import (
     industry,
     joins,
     lookup,
-    ranking,
     reconcile,
     reshape,
     rollup,
+    selection,
     stats,
     summaries,
 )
@@ -122,7 +122,7 @@ def pad_code(a: Atlas) -> DataFrame:
 
 @query
 def key_levels(a: Atlas) -> DataFrame:
-    blocks = rollup.grouped_totals(a.star.wac(), ["fips", "year"], job_tot="job_tot")
+    blocks = rollup.grouped_totals(a.star.wac(measures=["job_tot"]), ["fips", "year"], job_tot="job_tot")
     return keys.with_levels(blocks, "fips", widths=LEVELS)
 
 
@@ -130,14 +130,14 @@ def key_levels(a: Atlas) -> DataFrame:
 def remap_codes(a: Atlas) -> DataFrame:
     retired = (
         a.star.area()
-        .filter(keys.level_key(F.col("tract"), "county") == "04024")
+        .filter(keys.level_key(F.col("tract"), "county", LEVELS) == "04024")
         .select(
             F.col("tract").alias("old"),
             F.concat(F.lit("04019"), F.substring("tract", 6, 18), F.lit("0")).alias("new"),
         )
     )
     # Tracts are summed before and after, so the join meets one row per tract and year.
-    counts = rollup.rollup(a.star.wac(), "fips", "tract", ["year"], ["job_tot"], widths=LEVELS)
+    counts = rollup.rollup(a.star.wac(measures=["job_tot"]), "fips", "tract", ["year"], ["job_tot"], widths=LEVELS)
     return rollup.rollup(lookup.remap_codes(counts, "tract", retired), "tract", "tract", widths=LEVELS)
 
 
@@ -196,12 +196,12 @@ def xwalk_subset(a: Atlas) -> DataFrame:
 @query
 def exclude_regions(a: Atlas) -> DataFrame:
     dense = a.density().select("tract", "year", "cbsa", "job_tot")
-    return keys.exclude_regions(dense, "tract", PARAMS.excluded_states, PARAMS.excluded_metros)
+    return keys.exclude_regions(dense, "tract", PARAMS.excluded_states, PARAMS.excluded_metros, widths=LEVELS)
 
 
 @query
 def universe_filter(a: Atlas) -> DataFrame:
-    return keys.universe_filter(a.star.area(), "tract", renamed="geoid")
+    return keys.universe_filter(a.star.area(), "tract", renamed="geoid", widths=LEVELS)
 
 
 @query
@@ -219,7 +219,7 @@ def coords_backfill(a: Atlas) -> DataFrame:
 
 @query
 def join_area_metro(a: Atlas) -> DataFrame:
-    lehd = a.lehd(measures=["job_tot"]).withColumn("stcofips", keys.level_key(F.col("tract"), "county"))
+    lehd = a.lehd(measures=["job_tot"]).withColumn("stcofips", keys.level_key(F.col("tract"), "county", LEVELS))
     return joins.attach(lehd, a.metros().select("stcofips", "cbsa", "cbsa_name"), "stcofips")
 
 
@@ -232,7 +232,7 @@ def join_nullsafe(a: Atlas) -> DataFrame:
 
 @query
 def merge_periods(a: Atlas) -> DataFrame:
-    counties = rollup.rollup(a.star.wac(YEARS), "fips", "county", ["year"], ["job_tot"])
+    counties = rollup.rollup(a.star.wac(YEARS, measures=["job_tot"]), "fips", "county", ["year"], ["job_tot"], widths=LEVELS)
     snapshots = staging.stage(counties, "counties")
     first, second = (snapshots.filter(F.col("year") == y).drop("year") for y in YEARS)
     return joins.merge_periods(first, second, ["county"], ("_1996", "_1997"))
@@ -240,7 +240,7 @@ def merge_periods(a: Atlas) -> DataFrame:
 
 @query
 def thresholds_full_join(a: Atlas) -> DataFrame:
-    cuts = staging.stage(summaries.metro_thresholds(a.density(years=YEARS), a.metros()), "thresholds")
+    cuts = staging.stage(summaries.metro_thresholds(a.staged_density(years=YEARS), a.metros()), "thresholds")
     first, second = (cuts.filter(F.col("year") == y).drop("year") for y in YEARS)
     return rounded(
         joins.merge_periods(
@@ -268,7 +268,7 @@ def geo_attribute_join(a: Atlas) -> DataFrame:
 
 @query
 def select_group_units(a: Atlas) -> DataFrame:
-    return geo.select_group_units(a.lehd(measures=["job_tot"]), "M1", lookup.top_counties(a.metros()))
+    return geo.select_group_units(a.lehd(measures=["job_tot"]), "M1", lookup.top_counties(a.metros()), widths=LEVELS)
 
 
 @query
@@ -289,53 +289,52 @@ def rollup_tract(a: Atlas) -> DataFrame:
 
 @query
 def rollup_county(a: Atlas) -> DataFrame:
-    return rollup.rollup(a.star.wac(), "fips", "county", out="stcofips")
+    return rollup.rollup(a.star.wac(), "fips", "county", out="stcofips", widths=LEVELS)
 
 
 @query
 def rollup_state_density(a: Atlas) -> DataFrame:
-    return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "state", "job_tot", "ALAND_SQMI")
+    return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "state", "job_tot", "ALAND_SQMI", widths=LEVELS)
 
 
 @query
 def rollup_county_density(a: Atlas) -> DataFrame:
-    return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "county", "job_tot", "ALAND_SQMI")
+    return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "county", "job_tot", "ALAND_SQMI", widths=LEVELS)
 
 
 @query
 def national_totals(a: Atlas) -> DataFrame:
-    kept = keys.exclude_regions(a.star.wac(), "fips", PARAMS.excluded_states)
+    kept = keys.exclude_regions(a.star.wac(measures=["job_tot"]), "fips", PARAMS.excluded_states, widths=LEVELS)
     return rollup.grouped_totals(kept, ["year"], natl_job_tot="job_tot")
 
 
 @query
 def top_metro_totals(a: Atlas) -> DataFrame:
-    kept = keys.exclude_regions(a.star.wac(), "fips", PARAMS.excluded_states)
+    kept = keys.exclude_regions(a.star.wac(measures=["job_tot"]), "fips", PARAMS.excluded_states, widths=LEVELS)
     return rollup.member_totals(
-        kept, "fips", lookup.top_counties(a.metros()), ["year"], natl_job_tot="job_tot"
+        kept, "fips", lookup.top_counties(a.metros()), ["year"], LEVELS, natl_job_tot="job_tot"
     )
 
 
 @query
 def dense_share(a: Atlas) -> DataFrame:
-    places = job_places_once(a)
-    return rounded(stats.dense_share(places, "job_tot", "jobs_sqmi"))
+    return rounded(stats.dense_share(a.places(), "job_tot", "jobs_sqmi"))
 
 
 @query
 def tile_shares(a: Atlas) -> DataFrame:
     flags = {f"top_{n}": f"most_dense_{n}" for n in fv.TILE_COUNTS}
-    return rounded(rollup.flagged_share(density.density_tiles(a.density()), "job_tot", ["year"], **flags))
+    return rounded(rollup.flagged_share(density.density_tiles(a.staged_density()), "job_tot", ["year"], **flags))
 
 
 def job_places_once(a: Atlas) -> DataFrame:
-    """Job places for a single ranking, which stages them itself."""
-    return stats.job_places(a.lehd(measures=["job_tot"]))
+    """Job places for a single pass."""
+    return stats.job_places(a.lehd(measures=["job_tot"]), LEVELS)
 
 
 @query
 def dense_coverage(a: Atlas) -> DataFrame:
-    return stats.dense_coverage(stats.most_dense(job_places_once(a)), a.metros())
+    return stats.dense_coverage(stats.most_dense(a.places()), a.metros())
 
 
 @query
@@ -346,7 +345,7 @@ def metro_medians(a: Atlas) -> DataFrame:
 
 @query
 def metro_thresholds(a: Atlas) -> DataFrame:
-    return rounded(summaries.metro_thresholds(a.density(), a.metros()))
+    return rounded(summaries.metro_thresholds(a.staged_density(), a.metros()))
 
 
 @query
@@ -358,30 +357,30 @@ def six_number_summary(a: Atlas) -> DataFrame:
 
 @query
 def flag_counts(a: Atlas) -> DataFrame:
-    return stats.flag_counts(density.density_tiles(a.density()), "most_dense_20", ["year"])
+    return stats.flag_counts(density.density_tiles(a.staged_density()), "most_dense_20", ["year"])
 
 
 @query
 def freq_table(a: Atlas) -> DataFrame:
-    dense = stats.most_dense(job_places_once(a))
+    dense = stats.most_dense(a.places())
     named = joins.attach(dense, a.metros().select("stcofips", "cbsa_name"), "stcofips")
     return stats.freq_table(named, "cbsa_name", ["year"])
 
 
 @query
 def argmax_area(a: Atlas) -> DataFrame:
-    pop = stats.pop_density(a.star.population(), a.star.area(), a.metros())
+    pop = pop_places(a)
     return stats.argmax(pop, ["stcofips"], "pop", "tract", ["ALAND_SQMI"])
 
 
 @query
 def industry_totals(a: Atlas) -> DataFrame:
-    return rounded(industry.industry_totals(a.lehd(YEARS), YEARS, PARAMS.excluded_states))
+    return rounded(industry.industry_totals(a.lehd(YEARS), YEARS, PARAMS.excluded_states, widths=LEVELS))
 
 
 @query
 def density_corr(a: Atlas) -> DataFrame:
-    pop = stats.pop_density(a.star.population(), a.star.area(), a.metros())
+    pop = pop_places(a)
     return rounded(stats.density_corr(job_places_once(a), pop))
 
 
@@ -390,12 +389,12 @@ def density_corr(a: Atlas) -> DataFrame:
 
 @query
 def density_tiles(a: Atlas) -> DataFrame:
-    return density.density_tiles(a.density())
+    return density.density_tiles(a.staged_density())
 
 
 @query
 def top_percentiles(a: Atlas) -> DataFrame:
-    return stats.most_dense(job_places_once(a))
+    return stats.most_dense(a.places())
 
 
 # --- reshape and sort ----------------------------------------------------------------
@@ -403,12 +402,12 @@ def top_percentiles(a: Atlas) -> DataFrame:
 
 @query
 def unpivot_sectors(a: Atlas) -> DataFrame:
-    return industry.industry_long(a.lehd(), PARAMS.excluded_states)
+    return industry.industry_long(a.lehd(), PARAMS.excluded_states, widths=LEVELS)
 
 
 @query
 def pivot_years(a: Atlas) -> DataFrame:
-    by_county = rollup.rollup(a.star.wac(), "fips", "county", ["year"], ["job_tot"])
+    by_county = rollup.rollup(a.star.wac(measures=["job_tot"]), "fips", "county", ["year"], ["job_tot"], widths=LEVELS)
     return reshape.to_wide(by_county, ["county"], "year", "job_tot", ALL_YEARS, prefix="year_")
 
 
@@ -443,23 +442,21 @@ def block_density_metro(a: Atlas) -> DataFrame:
 
 
 def block_groups(a: Atlas, metro: str | None = None) -> DataFrame:
-    counts = a.star.wac().select("fips", "year", "job_tot")
+    counts = a.star.wac(measures=["job_tot"])
     return density.compute_block_density(counts, a.star.block_area(), "job_tot", a.metros(), metro, widths=LEVELS)
 
 
 @query
 def block_categories(a: Atlas) -> DataFrame:
-    tiled = density.density_tiles(block_groups(a), unit="blkgrp")
+    tiled = density.density_tiles(staging.stage(block_groups(a), "blocks"), unit="blkgrp")
     return clusters.map_categories(tiled).select("blkgrp", "year", "cbsa", "density", *fv.CUT_COLUMNS)
 
 
 @query
 def block_quantiles(a: Atlas) -> DataFrame:
-    return rounded(
-        ranking.quantiles(
-            block_groups(a), ["year"], ["job_tot", "density"], ["blkgrp"], {"p80": 0.8, "p90": 0.9, "p95": 0.95}
-        )
-    )
+    blocks = staging.stage(block_groups(a).select("year", "job_tot", "density"), "blocks")
+    cuts = {"p80": 0.8, "p90": 0.9, "p95": 0.95}
+    return rounded(selection.select_quantiles(blocks, ["year"], ["job_tot", "density"], cuts))
 
 
 @query
@@ -556,15 +553,17 @@ def location_quotient(a: Atlas) -> DataFrame:
     profile = staging.stage(a.sector_profile(PARAMS.minimums, YEARS), "profile")
     shares = industry.industry_cluster_shares(profile, YEARS, PARAMS.minimums)
     # The profile holds every place once, so it gives the national totals as well.
-    totals = industry.sector_totals(profile, YEARS, ())
+    totals = industry.sector_totals(profile, YEARS, (), widths=LEVELS)
     return rounded(industry.location_quotient(shares, totals, YEARS))
 
 
 # --- two-source reconciliation -----------------------------------------------------------
 
 
-def both_sources(a: Atlas, year: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counties = reconcile.county_counts(a.star.wac((year,)))
+def both_sources(
+    a: Atlas, year: int, measures: tuple[str, ...] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counties = reconcile.county_counts(a.star.wac((year,), measures=measures), LEVELS)
     totals, by_sector = reconcile.prepare_second_source(a.star.emp((year,)), year, year)
     return counties, totals, by_sector
 
@@ -578,13 +577,13 @@ def recon_prepare(a: Atlas) -> DataFrame:
 
 @query
 def recon_county(a: Atlas) -> DataFrame:
-    counties, totals, _ = both_sources(a, 1997)
+    counties, totals, _ = both_sources(a, 1997, ("job_tot",))
     return rounded(reconcile.county_check(counties, totals, 1997))
 
 
 @query
 def recon_overall(a: Atlas) -> DataFrame:
-    counties, totals, _ = both_sources(a, 1997)
+    counties, totals, _ = both_sources(a, 1997, ("job_tot",))
     return rounded(reconcile.overall_check(reconcile.county_check(counties, totals, 1997)))
 
 
@@ -596,7 +595,7 @@ def recon_sector(a: Atlas) -> DataFrame:
 
 @query
 def recon_metro(a: Atlas) -> DataFrame:
-    counties, totals, _ = both_sources(a, 1997)
+    counties, totals, _ = both_sources(a, 1997, ("job_tot",))
     return rounded(reconcile.metro_check(counties, totals, a.metros(), 1997))
 
 
@@ -614,7 +613,7 @@ def recon_metro_sector_unguarded(a: Atlas) -> DataFrame:
 
 @query
 def recon_wide_gap(a: Atlas) -> DataFrame:
-    counties, totals, _ = both_sources(a, 1997)
+    counties, totals, _ = both_sources(a, 1997, ("job_tot",))
     counties, totals = staging.stage(counties, "counties"), staging.stage(totals, "totals")
     national = reconcile.overall_check(reconcile.county_check(counties, totals, 1997))
     metros = reconcile.metro_check(counties, totals, a.metros(), 1997)
@@ -633,7 +632,7 @@ def recon_long(a: Atlas) -> DataFrame:
 
 @query
 def recon_histogram(a: Atlas) -> DataFrame:
-    counties, totals, _ = both_sources(a, 1997)
+    counties, totals, _ = both_sources(a, 1997, ("job_tot",))
     check = staging.stage(reconcile.county_check(counties, totals, 1997), "check")
     return rounded(stats.histogram(check, "percent_delta", []))
 
@@ -654,7 +653,7 @@ def recon_delta_summary(a: Atlas) -> DataFrame:
 
 @query
 def pop_density(a: Atlas) -> DataFrame:
-    return stats.pop_density(a.star.population(), a.star.area(), a.metros())
+    return pop_places(a)
 
 
 @query
@@ -677,7 +676,7 @@ def density_curve(a: Atlas) -> DataFrame:
 @query
 def box_stats(a: Atlas) -> DataFrame:
     places = a.places()
-    usual = staging.stage(stats.ordinary_places(places, a.metros(), stats.most_dense(places)), "usual")
+    usual = stats.ordinary_places(places, a.metros(), stats.most_dense(places))
     return rounded(stats.box_stats(usual, "jobs_sqmi", ["cbsa_name", "year"], ["tract"]))
 
 
@@ -687,12 +686,12 @@ def linear_fit(a: Atlas) -> DataFrame:
 
 
 def pop_places(a: Atlas) -> DataFrame:
-    return stats.pop_density(a.star.population(), a.star.area(), a.metros())
+    return stats.pop_density(a.star.population(), a.star.area(), a.metros(), LEVELS)
 
 
 @query
 def pop_dense_share(a: Atlas) -> DataFrame:
-    return rounded(stats.dense_share(pop_places(a), "pop", "pop_sqmi", []))
+    return rounded(stats.dense_share(staging.stage(pop_places(a), "places"), "pop", "pop_sqmi", []))
 
 
 @query
@@ -720,7 +719,7 @@ def boundary_vertices(a: Atlas) -> DataFrame:
 @query
 def choropleth_rows(a: Atlas) -> DataFrame:
     vertices = geo.boundary_vertices(a.star.county_bounds(), renamed="stcofips")
-    dense = stats.most_dense(job_places_once(a)).select("stcofips", "tract", "year", "jobs_sqmi")
+    dense = stats.most_dense(a.places()).select("stcofips", "tract", "year", "jobs_sqmi")
     return geo.choropleth_rows(vertices, dense)
 
 
@@ -729,7 +728,7 @@ def choropleth_rows(a: Atlas) -> DataFrame:
 
 @query
 def cluster_view(a: Atlas) -> DataFrame:
-    kept = keys.exclude_regions(a.categories(years=(1997,), only=METRO), "tract", PARAMS.excluded_states)
+    kept = keys.exclude_regions(a.categories(years=(1997,), only=METRO), "tract", PARAMS.excluded_states, widths=LEVELS)
     return corners(views.cluster_view(kept, a.star.bounds(), METRO, 1997, 2, 0.25))
 
 
@@ -751,7 +750,7 @@ def dashboard_tables(a: Atlas) -> dashboard.Dashboard:
     folder = staging.new_path(a.star.spark, "dashboard")
     dashboard.build(
         a.categories(), a.metros(), a.star.bounds(), a.star.centres(), folder, PARAMS.minimums,
-        PARAMS.excluded_states, PARAMS.excluded_metros,
+        PARAMS.excluded_states, PARAMS.excluded_metros, LEVELS,
     )
     return dashboard.Dashboard(a.star.spark, folder)
 
@@ -768,4 +767,6 @@ def dashboard_overview(a: Atlas) -> DataFrame:
 
 @query
 def describe_metro(a: Atlas) -> DataFrame:
-    return views.describe_metro(a.metro_shares((1997,), METRO), a.star.centres(), METRO, 1997)
+    dense = a.density(years=(1997,), only=METRO)
+    places = keys.exclude_regions(dense, "tract", PARAMS.excluded_states, widths=LEVELS)
+    return views.headline(places, a.top_metros(), a.star.centres(), METRO, 1997)

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fv
+from tessera.functions.columns import total
 from tessera.operators.clusters import apply_minimum_sql, named_minimum
 from tessera.operators.geo import geo_attribute_join
+from tessera.operators.joins import members
 from tessera.operators.stats import density_curve
 
 
@@ -63,6 +65,15 @@ def describe_metro(shares: DataFrame, centres: DataFrame, cbsa_name: str, year:
     return headline.join(centres.select("cbsa", "lat", "lon"), "cbsa", "left")
 
 
+def headline(places: DataFrame, metros: DataFrame, centres: DataFrame, cbsa_name: str, year: int) -> DataFrame:
+    """The same from one row per place: a count and a sum, nothing is ranked."""
+    one = places.filter((F.col("cbsa_name") == cbsa_name) & (F.col("year") == year))
+    summed = members(one, "cbsa", metros).groupBy("cbsa", "cbsa_name", "year").agg(
+        F.count("*").alias("tr_ct"), total("job_tot").alias("jobs")
+    )
+    return summed.join(centres.select("cbsa", "lat", "lon"), "cbsa", "left")
+
+
 def distribution_view(
     places: DataFrame, thresholds: DataFrame, by=("cbsa", "year"), unit=("tract",)
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import fixed_values as fv
 from tessera.functions.keys import level_key, with_padded
 from tessera.sources import schemas
 
@@ -33,13 +34,15 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_area(spark: SparkSession, path: str, level: str = "tract", schema=schemas.AREA) -> DataFrame:
+def read_area(
+    spark: SparkSession, path: str, level: str = "tract", schema=schemas.AREA, widths: Mapping[str, int] = fv.KEY_LEVELS
+) -> DataFrame:
     """Land area file: key as text, padded to the widest key, county beside it."""
     area = read_tsv(spark, path, schema)
     if level == "county":
         return area.withColumnRenamed("GEOID", "stcofips")
     padded = with_padded(area, "GEOID").withColumnRenamed("GEOID", level)
-    return padded.withColumn("stcofips", level_key(F.col(level), "county"))
+    return padded.withColumn("stcofips", level_key(F.col(level), "county", widths))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import total
+from tessera.sources.staging import stage
 
 # Part type -> sector column of the count table.
 TYPE_SECTORS = {
@@ -115,23 +116,35 @@ class Star:
             orders = orders.filter(in_years("o_orderdate", years))
         return orders.select("o_orderkey", "o_custkey", *columns)
 
-    def wac(self, years: Sequence[int] | None = None, counties: DataFrame | None = None) -> DataFrame:
+    def wac(
+        self, years: Sequence[int] | None = None, counties: DataFrame | None = None, measures: Sequence[str] | None = None
+    ) -> DataFrame:
         """Block counts by year, one column per sector; of all places or those in ``counties``.
 
+        ``measures`` names the wanted columns (default: all).  Parts are joined for sectors only:
+        every line has a part, so jobs alone need none, and no line is shuffled by part.
+
         Without limits, lines are summed per order before they meet the orders: an order
         with very many lines combines on the map side, the join needs no second shuffle of
         the sums, and keys are spelled out once per order instead of once per line.  With
         years or counties, the orders are cut down first and only their lines are summed;
         the sums are shuffled by block, so the join below them can still be split where an
-        order has very many lines.
+        order has very many lines.  The orders of a few counties are staged: where their true
+        size is under the broadcast threshold, no line of another order is shuffled.
         """
-        by_sector = [
+        names = ["job_tot", *TYPE_SECTORS.values()]
+        names = [c for c in names if measures is None or c in measures]
+        sums = [F.expr("sum(l_quantity) AS job_tot")] if "job_tot" in names else []
+        sums += [
             F.expr(f"sum(CASE WHEN p_type = '{kind}' THEN l_quantity ELSE 0D END) AS {sector}")
-            for kind, sector in TYPE_SECTORS.items()
-        ]
-        sums = [F.expr("sum(l_quantity) AS job_tot"), *by_sector]
-        counts = [f"CAST({c} AS BIGINT) AS {c}" for c in ("job_tot", *TYPE_SECTORS.values())]
-        lines, orders = self.typed_lines("l_quantity"), self.orders("o_orderdate", years=years)
+            for kind, sector in TYPE_SECTORS.items() if sector in names
+        ]
+        counts = [f"CAST({c} AS BIGINT) AS {c}" for c in names]
+        typed = any(c in names for c in TYPE_SECTORS.values())
+        # Lines without a part key count in neither form.
+        plain = self.table("lineitem").filter("l_partkey IS NOT NULL").select("l_orderkey", "l_quantity")
+        lines = self.typed_lines("l_quantity") if typed else plain
+        orders = self.orders("o_orderdate", years=years)
         if years is None and counties is None:
             per_order = lines.groupBy("l_orderkey").agg(*sums)
             placed = self.located(per_order.join(orders, F.expr("l_orderkey = o_orderkey")), "o_custkey")
@@ -139,6 +152,7 @@ class Star:
         placed = self.located(orders, "o_custkey", counties).selectExpr(
             "o_orderkey", f"{BLOCK} AS fips", "year(o_orderdate) AS year"
         )
+        placed = stage(placed, "kept-orders") if counties is not None else placed
         joined = lines.join(placed, F.expr("l_orderkey = o_orderkey"))
         return joined.groupBy("fips", "year").agg(*sums).selectExpr("fips", "year", *counts)
 
