@@ -71,6 +71,14 @@ def rank_rows(
     return ranked.withColumn(rank, position).drop("_pos", "_run", "_base")
 
 
+def keep_rows(df: DataFrame, label: str) -> DataFrame:
+    """Rows kept as they come, for ranking or selection that reads them more than once.
+
+    Worth it where they are costly to make and few beside what they are made of.
+    """
+    return stage(df, label)
+
+
 def tile_sql(rank: str, size: str, tiles: int, method: str = "large_first") -> str:
     """SQL text of the tile number of a rank.
 

@@ -13,6 +13,7 @@ from tessera.operators.clusters import cluster_profile, expand_definitions, map_
 from tessera.operators.density import compute_density, density_tiles
 from tessera.operators.joins import attach, members
 from tessera.operators.lookup import metro_counties, top_metros
+from tessera.operators.ranking import keep_rows
 from tessera.operators.rollup import rollup
 from tessera.operators.stats import job_places
 from tessera.operators.summaries import metro_shares, metro_summary
@@ -64,7 +65,7 @@ class Atlas:
         only: str | None = None,
     ) -> DataFrame:
         """Densities kept once, unsorted: selection reads them more than once, and lines cost far more than places."""
-        return stage(self.density(carry, years, metro, only), "density")
+        return keep_rows(self.density(carry, years, metro, only), "density")
 
     def top_density(self) -> DataFrame:
         """Densities of the top metros only."""

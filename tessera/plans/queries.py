@@ -767,6 +767,6 @@ def dashboard_overview(a: Atlas) -> DataFrame:
 
 @query
 def describe_metro(a: Atlas) -> DataFrame:
-    dense = a.density(years=(1997,), only=METRO)
+    dense = a.staged_density(years=(1997,), only=METRO)  # the metro's places of the year
     places = keys.exclude_regions(dense, "tract", PARAMS.excluded_states, widths=LEVELS)
     return views.headline(places, a.top_metros(), a.star.centres(), METRO, 1997)
