@@ -294,6 +294,26 @@ CTES = {
         FROM (SELECT cbsa, year, count(*) AS n, stddev_samp(density) AS sd,
                      quantile_cont(density, 0.75) - quantile_cont(density, 0.25) AS iqr
               FROM curve_rows GROUP BY 1, 2) WHERE n > 1""",
+    "shown_rows": f"""
+        SELECT cbsa, year, density FROM dens WHERE density BETWEEN 0 AND 15000 AND cbsa_name = '{METRO}' AND year = 1997 AND {NOT_04}""",
+    "shown_width": """
+        SELECT cbsa, year, n, CAST(0.9 AS DOUBLE) * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34)
+                    WHEN sd > 0 THEN sd ELSE 1 END * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw
+        FROM (SELECT cbsa, year, count(*) AS n, stddev_samp(density) AS sd,
+                     quantile_cont(density, 0.75) - quantile_cont(density, 0.25) AS iqr
+              FROM shown_rows GROUP BY 1, 2) WHERE n > 1""",
+    "shown_bins": """
+        SELECT cbsa, year, least(floor(density / (CAST(15000 AS DOUBLE) / 4096)), 4095) AS bin, count(*) AS c, avg(density) AS centre
+        FROM shown_rows GROUP BY 1, 2, 3""",
+    "revised": f"""
+        SELECT * REPLACE ({SQMI} AS density) FROM (
+            SELECT * REPLACE (CASE WHEN year = 1997 AND job_tot % 2 = 1 THEN job_tot * 2 ELSE job_tot END AS job_tot) FROM dens)""",
+    "hops": """
+        SELECT tract AS old, concat(tract, 'a') AS new, 1 AS weight FROM area WHERE substr(tract, 1, 5) = '04024'
+        UNION ALL SELECT concat(tract, 'a'), concat(tract, 'b'), 1 FROM area WHERE substr(tract, 1, 5) = '04024'
+        UNION ALL SELECT concat(tract, 'b'), concat('04019', substr(tract, 6), CAST(k AS VARCHAR)), k
+                  FROM area, (VALUES (1), (2)) AS v(k) WHERE substr(tract, 1, 5) = '04024'
+        UNION ALL SELECT tract, '04009', 5 FROM area WHERE substr(tract, 1, 5) = '04014'""",
     "curve_bins": """
         SELECT cbsa, year, least(floor(density / (CAST(15000 AS DOUBLE) / 4096)), 4095) AS bin, count(*) AS c, avg(density) AS centre
         FROM curve_rows GROUP BY 1, 2, 3""",
@@ -365,6 +385,45 @@ BODIES = {
         substr(fips, 1, 24) AS tract, substr(fips, 1, 25) AS blkgrp FROM wac""",
     "remap_codes": f"""SELECT CASE WHEN substr(fips, 1, 5) = '04024' THEN concat('04019', substr(fips, 6, 18), '0')
             ELSE substr(fips, 1, 24) END AS tract, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2""",
+    "remap_chain": f"""SELECT * FROM (WITH RECURSIVE sized AS (SELECT *, sum(weight) OVER (PARTITION BY old) AS whole FROM hops),
+        walk AS (SELECT old, new, weight AS num, whole AS den FROM sized
+                 UNION ALL SELECT w.old, s.new, w.num * s.weight, w.den * s.whole FROM walk w JOIN sized s ON s.old = w.new),
+        ends AS (SELECT old, new, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM walk WHERE new NOT IN (SELECT old FROM hops)),
+        counts AS (SELECT substr(fips, 1, 24) AS tract, year, {total('job_tot')} AS job_tot FROM wac GROUP BY 1, 2),
+        parts AS (SELECT tract, year, coalesce(new, tract) AS new, job_tot, coalesce(num, 1) AS num, coalesce(den, 1) AS den
+                  FROM counts LEFT JOIN ends ON tract = old),
+        floors AS (SELECT *, job_tot * num // den AS f,
+                       row_number() OVER (PARTITION BY tract, year ORDER BY CAST(job_tot * num % den AS DOUBLE) / den DESC, new) AS place
+                   FROM parts)
+        SELECT new AS tract, year, {total('f + more')} AS job_tot FROM (
+            SELECT new, year, f, CASE WHEN place <= job_tot - sum(f) OVER (PARTITION BY tract, year) THEN 1 ELSE 0 END AS more FROM floors)
+        GROUP BY 1, 2)""",
+    "scan_problems": f"""SELECT p."column", p.expected, p.raw, {big('p.cells')} AS cells, {big('p.cells')} AS rows_hit,
+            {big('c.rows_read')} AS rows_read, {big('c.areas')} AS areas, {big('c.blocks')} AS blocks FROM (
+        SELECT 'ALAND_SQMI' AS "column", 'double' AS expected, 'n/a' AS raw, count(*) AS cells FROM area WHERE tract LIKE '%7'
+        UNION ALL SELECT 'BLOCKS', 'int', 'twelve', count(*) FROM area WHERE tract LIKE '%3') p,
+        (SELECT count(*) AS rows_read, count(CASE WHEN tract NOT LIKE '%7' THEN ALAND_SQMI END) AS areas,
+                count(CASE WHEN tract NOT LIKE '%3' THEN 1 END) AS blocks FROM area) c""",
+    "refresh_period": """SELECT tract, job_tot, density, cbsa, CASE WHEN density IS NOT NULL THEN CAST(ntile(20) OVER
+            (PARTITION BY cbsa, year, density IS NULL ORDER BY density, tract) AS INT) END AS dense_cat_20, year,
+        year IN (1997, 2001) AS rebuilt FROM revised""",
+    "national_clusters_restricted": f"""SELECT year, {pick('num_quant', ('mapvar_20', 'mapvar_10', 'mapvar_5'), ('Top 5 percent', 'Top 10 percent', 'Top 20 percent'))} AS "Density",
+        pp_min AS "Minimum job share", jobs AS "Jobs in clusters", {r(ratio('jobs', 'all_jobs') + ' * 100')} AS "% of jobs in clusters" FROM (
+            SELECT year, num_quant, pp_min, {total("CASE WHEN mapvar = 'cluster' AND top100 = 1 THEN job_tot END")} AS jobs,
+                   {total('CASE WHEN top100 = 1 THEN job_tot END')} AS all_jobs, count(CASE WHEN mapvar = 'cluster' AND top100 = 1 THEN 1 END) AS units
+            FROM kept_flags GROUP BY 1, 2, 3) WHERE units > 0""",
+    "dashboard_describe": f"""SELECT s.cbsa, s.cbsa_name, s.year, s.tr_ct, s.jobs, c.lat, c.lon FROM (
+        SELECT DISTINCT cbsa, cbsa_name, year, tr_ct, jobs FROM summary_all WHERE cbsa_name = '{METRO}' AND year = 1997) s
+        LEFT JOIN (SELECT * FROM centres WHERE cbsa <> 'M2') c ON s.cbsa = c.cbsa""",
+    "dashboard_distribution": f"""SELECT cbsa, year, CAST(point AS INT) AS point, {r('CAST(point AS DOUBLE) * (CAST(15000 AS DOUBLE) / 511)', 8)} AS x,
+        {r('s / (n * bw * sqrt(2 * pi()))', 8)} AS y, {r('p80', 8)} AS p80, {r('p90', 8)} AS p90, {r('p95', 8)} AS p95
+        FROM (SELECT cbsa, year, n, bw, point,
+                 sum(c * exp(CAST(-0.5 AS DOUBLE) * pow((CAST(point AS DOUBLE) * (CAST(15000 AS DOUBLE) / 511)
+                     - centre) / bw, 2))) AS s
+              FROM shown_bins JOIN shown_width USING (cbsa, year), range(0, 512) g(point) GROUP BY 1, 2, 3, 4, 5)
+        JOIN (SELECT cbsa, year, max(CASE WHEN percentile = 'p80' THEN n END) AS p80,
+                 max(CASE WHEN percentile = 'p90' THEN n END) AS p90, max(CASE WHEN percentile = 'p95' THEN n END) AS p95
+              FROM cuts GROUP BY 1, 2) USING (cbsa, year)""",
     "compose_key": f"""SELECT o_orderkey, concat({COUNTY},
         lpad(CAST(o_custkey AS VARCHAR), CAST((SELECT max(length(CAST(o_custkey AS VARCHAR))) FROM orders) AS INT), '0'),
         lpad(CAST(o_orderkey AS VARCHAR), CAST((SELECT max(length(CAST(o_orderkey AS VARCHAR))) FROM orders) AS INT), '0')) AS fips

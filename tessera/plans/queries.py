@@ -34,8 +34,8 @@ from tessera.operators import (
 )
 from tessera.plans import dashboard, views
 from tessera.plans.atlas import SECTORS, Atlas
-from tessera.sources import files, staging
-from tessera.sources.star import ALL_YEARS, COUNTY, LEVELS
+from tessera.sources import files, kept, staging
+from tessera.sources.star import ALL_YEARS, COUNTY, LEVELS, TABLES
 
 YEARS = (1996, 1997)
 PARAMS = Params(excluded_states=("04",), excluded_metros=("M2",), years=YEARS, key_levels=LEVELS)
@@ -88,6 +88,50 @@ def stage_roundtrip(a: Atlas) -> DataFrame:
     return staging.load_stage(a.star.spark, path, lehd.schema)
 
 
+@query
+def scan_problems(a: Atlas) -> DataFrame:
+    """Bad cells of a delimited scan by column and text, beside the number of rows read."""
+    path = staging.new_path(a.star.spark, "problem-tsv")
+    bad = a.star.area().selectExpr(
+        "tract AS GEOID", "CASE WHEN tract LIKE '%7' THEN 'n/a' ELSE CAST(ALAND_SQMI AS STRING) END AS ALAND_SQMI",
+        "CASE WHEN tract LIKE '%3' THEN 'twelve' ELSE '12' END AS BLOCKS",
+    )
+    bad.write.option("sep", "\t").option("header", True).csv(path)
+    rows, problems = files.scan_tsv(
+        a.star.spark, path, T.StructType.fromDDL("GEOID string, ALAND_SQMI double, BLOCKS int")
+    )
+    summed = problems.groupBy("column", "expected", "raw").agg(F.count("*").alias("cells"), F.countDistinct("file", "row").alias("rows_hit"))
+    counts = rows.agg(F.count("*").alias("rows_read"), F.count("ALAND_SQMI").alias("areas"), F.count("BLOCKS").alias("blocks"))
+    whole = summed.withColumn("_whole", counts.select(F.struct("rows_read", "areas", "blocks")).scalar())
+    return whole.select("column", "expected", "raw", "cells", "rows_hit", "_whole.*")
+
+
+@query
+def refresh_period(a: Atlas) -> DataFrame:
+    """A kept stage of tiles after one year was added and another one revised: only these are ranked again."""
+    spark = a.star.spark
+    raw, path = staging.new_path(spark, "raw"), staging.new_path(spark, "kept-tiles")
+    counts = staging.stage(a.lehd(measures=["job_tot"]), "counts")
+    staging.save_stage(counts.filter(F.col("year") < ALL_YEARS[-1]), raw)
+
+    def tiles(years: list) -> DataFrame:
+        some = staging.load_stage(spark, raw, counts.schema).filter(F.col("year").isin(*years))
+        dense = density.compute_density(some, "job_tot", a.metros(), widths=LEVELS)
+        return density.density_tiles(dense, tiles=(20,)).select("tract", "job_tot", "density", "cbsa", "dense_cat_20", "year")
+
+    def versions(years) -> dict:
+        return {y: kept.files_version(spark, f"{raw}/year={y}") for y in years}
+
+    tiled = kept.KeptStage(spark, path)
+    tiled.refresh(versions(ALL_YEARS[:-1]), tiles)
+    revised = F.expr("CASE WHEN year = 1997 AND job_tot % 2 = 1 THEN job_tot * 2 ELSE job_tot END")
+    changed = counts.withColumn("job_tot", revised).filter(F.col("year").isin(1997, ALL_YEARS[-1]))
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(raw)
+    rebuilt = tiled.refresh(versions(ALL_YEARS), tiles)
+    schema = T.StructType.fromDDL("tract string, job_tot bigint, density double, cbsa string, dense_cat_20 int, year int")
+    return tiled.read(schema).withColumn("rebuilt", F.col("year").isin(*rebuilt))
+
+
 @query
 def export_csv(a: Atlas) -> DataFrame:
     path = staging.new_path(a.star.spark, "lehd-csv")
@@ -141,6 +185,23 @@ def remap_codes(a: Atlas) -> DataFrame:
     return rollup.rollup(lookup.remap_codes(counts, "tract", retired), "tract", "tract", widths=LEVELS)
 
 
+@query
+def remap_chain(a: Atlas) -> DataFrame:
+    """Retired codes in chains, a merge and a split: whole counts are divided without loss."""
+    tracts = a.star.area().select("tract")
+    chained = tracts.filter(keys.level_key(F.col("tract"), "county", LEVELS) == "04024")
+    merged = tracts.filter(keys.level_key(F.col("tract"), "county", LEVELS) == "04014")
+    hops = chained.selectExpr(
+        "inline(array(named_struct('old', tract, 'new', concat(tract, 'a'), 'weight', 1L),"
+        " named_struct('old', concat(tract, 'a'), 'new', concat(tract, 'b'), 'weight', 1L),"
+        " named_struct('old', concat(tract, 'b'), 'new', concat('04019', substring(tract, 6, 19), '1'), 'weight', 1L),"
+        " named_struct('old', concat(tract, 'b'), 'new', concat('04019', substring(tract, 6, 19), '2'), 'weight', 2L)))"
+    ).unionByName(merged.selectExpr("tract AS old", "'04009' AS new", "5L AS weight"))
+    counts = rollup.rollup(a.star.wac(measures=["job_tot"]), "fips", "tract", ["year"], ["job_tot"], widths=LEVELS)
+    split = lookup.split_codes(counts, "tract", hops, ["job_tot"])
+    return split.groupBy("tract", "year").agg(cols.total("job_tot").alias("job_tot"))
+
+
 @query
 def compose_key(a: Atlas) -> DataFrame:
     orders = a.star.table("orders").select("o_orderkey", "o_custkey")
@@ -521,6 +582,13 @@ def national_clusters(a: Atlas) -> DataFrame:
     return rounded(summaries.national_clusters(a.defined(["year"], PARAMS.minimums)))
 
 
+@query
+def national_clusters_restricted(a: Atlas) -> DataFrame:
+    """Jobs in clusters of top metros over all their jobs: the consistent form."""
+    found = a.defined(["year", "top100"], PARAMS.minimums)
+    return rounded(summaries.national_clusters(found, "top100 = 1", restrict_numerator=True))
+
+
 @query
 def national_two_year(a: Atlas) -> DataFrame:
     found = summaries.national_clusters(a.defined(["year"], PARAMS.minimums, YEARS))
@@ -746,13 +814,21 @@ def corners(layer: DataFrame) -> DataFrame:
 
 
 def dashboard_tables(a: Atlas) -> dashboard.Dashboard:
-    """All tables of the dashboard, precomputed in a new folder."""
-    folder = staging.new_path(a.star.spark, "dashboard")
-    dashboard.build(
-        a.categories(), a.metros(), a.star.bounds(), a.star.centres(), folder, PARAMS.minimums,
-        PARAMS.excluded_states, PARAMS.excluded_metros, LEVELS,
-    )
-    return dashboard.Dashboard(a.star.spark, folder)
+    """All tables of the dashboard: built when a view first asks for them, and again when the inputs change.
+
+    They are kept beyond the query, under a name that holds the version of the input files.
+    """
+
+    def build(folder: str) -> None:
+        dashboard.build(
+            a.categories(), a.metros(), a.star.bounds(), a.star.centres(), folder, PARAMS.minimums,
+            PARAMS.excluded_states, PARAMS.excluded_metros, LEVELS,
+        )
+
+    spark = a.star.spark
+    version = kept.files_version(spark, *[f"{a.star.sf_dir}/{name}.parquet" for name in TABLES])
+    folder = f"{staging.shared_folder(spark).rstrip('/')}/dashboard-{version}"
+    return dashboard.Dashboard(spark, kept.keep_once(spark, folder, build))
 
 
 @query
@@ -765,6 +841,16 @@ def dashboard_overview(a: Atlas) -> DataFrame:
     return rounded(dashboard_tables(a).overview(METRO, 1997))
 
 
+@query
+def dashboard_describe(a: Atlas) -> DataFrame:
+    return dashboard_tables(a).describe(METRO, 1997)
+
+
+@query
+def dashboard_distribution(a: Atlas) -> DataFrame:
+    return rounded(dashboard_tables(a).distribution(METRO, 1997), places=8)
+
+
 @query
 def describe_metro(a: Atlas) -> DataFrame:
     dense = a.staged_density(years=(1997,), only=METRO)  # the metro's places of the year

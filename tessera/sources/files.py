@@ -34,6 +34,49 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+#: A cell that does not fit, or a line with too few or too many cells (column and expected are then NULL).
+PROBLEMS = "file string, row bigint, column string, expected string, raw string"
+
+
+def scan_tsv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As :func:`read_tsv`, with a table of what did not fit: file, row, column, expected, raw.
+
+    Rows are counted from 1 in each file, below its header.  A file may be read in pieces:
+    these are counted first, and a row's number is its place in the piece and all rows before it.
+    """
+    options = {"sep": "\t", "header": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    header = spark.read.options(**options).csv(path).columns
+    named = {name.strip().lower(): name for name in header}
+    missing = [f.name for f in schema.fields if f.name.lower() not in named]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in [*header, "_line"]])
+    lines = (
+        spark.read.schema(as_text).options(**options, enforceSchema="false", columnNameOfCorruptRecord="_line").csv(path)
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                F.monotonically_increasing_id().alias("_id"))
+    )
+    cells = [(f, F.col(f"`{named[f.name.lower()]}`")) for f in schema.fields]
+    rows = lines.select(*[cell.try_cast(f.dataType).alias(f.name) for f, cell in cells])
+
+    none = F.lit(None).cast("string")
+    wrong = [
+        F.when(cell.isNotNull() & cell.try_cast(f.dataType).isNull(),
+               F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("expected"), cell.alias("raw")))
+        for f, cell in cells
+    ]
+    broken = F.when(F.col("_line").isNotNull(), F.struct(none.alias("column"), none.alias("expected"), F.col("_line").alias("raw")))
+    found = lines.select("_file", "_start", "_id", F.explode(F.array_compact(F.array(*wrong, broken))).alias("p"))
+    pieces = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn(
+        "_before", F.expr("coalesce(sum(_n) OVER (PARTITION BY _file ORDER BY _start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    )
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    problems = found.join(pieces, ["_file", "_start"]).select(
+        F.element_at(F.split("_file", "/"), -1).alias("file"), number.alias("row"), "p.column", "p.expected", "p.raw"
+    )
+    return rows, problems
+
+
 def read_area(
     spark: SparkSession, path: str, level: str = "tract", schema=schemas.AREA, widths: Mapping[str, int] = fv.KEY_LEVELS
 ) -> DataFrame:
