@@ -424,6 +424,16 @@ BODIES = {
         JOIN (SELECT cbsa, year, max(CASE WHEN percentile = 'p80' THEN n END) AS p80,
                  max(CASE WHEN percentile = 'p90' THEN n END) AS p90, max(CASE WHEN percentile = 'p95' THEN n END) AS p95
               FROM cuts GROUP BY 1, 2) USING (cbsa, year)""",
+    "rollup_buckets": "SELECT tract, year, job_tot, ALAND_SQMI FROM lehd",
+    "moments_by_state": f"""SELECT substr(tract, 1, 2) AS stfips, year, {big('count(*)')} AS n, {r('avg(ALAND_SQMI)')} AS mean,
+        {r('stddev_samp(ALAND_SQMI)')} AS sd, min(ALAND_SQMI) AS min, max(ALAND_SQMI) AS max, {r('corr(job_tot, ALAND_SQMI)')} AS correlation,
+        {r('regr_slope(job_tot, ALAND_SQMI)')} AS slope, {r('regr_intercept(job_tot, ALAND_SQMI)')} AS intercept
+        FROM lehd WHERE ALAND_SQMI IS NOT NULL AND job_tot IS NOT NULL GROUP BY 1, 2""",
+    "distinct_over_years": f"""SELECT cbsa, {big('count(DISTINCT tract)')} AS tracts, span FROM dens, (
+            VALUES ('one', 1997, 1997), ('two', 1996, 1997), ('all', 1995, 2001)) AS spans(span, low, high)
+        WHERE job_tot > 0 AND year BETWEEN low AND high GROUP BY 1, 3""",
+    "window_layer": """SELECT geoid, x AS west, y AS south, x + s AS east, y + s AS north FROM bounds
+        WHERE x <= 12 AND x + s >= 2 AND y <= 600 AND y + s >= 100""",
     "compose_key": f"""SELECT o_orderkey, concat({COUNTY},
         lpad(CAST(o_custkey AS VARCHAR), CAST((SELECT max(length(CAST(o_custkey AS VARCHAR))) FROM orders) AS INT), '0'),
         lpad(CAST(o_orderkey AS VARCHAR), CAST((SELECT max(length(CAST(o_orderkey AS VARCHAR))) FROM orders) AS INT), '0')) AS fips

@@ -25,6 +25,7 @@ from tessera.operators import (
     industry,
     joins,
     lookup,
+    partials,
     reconcile,
     reshape,
     rollup,
@@ -34,7 +35,7 @@ from tessera.operators import (
 )
 from tessera.plans import dashboard, views
 from tessera.plans.atlas import SECTORS, Atlas
-from tessera.sources import files, kept, staging
+from tessera.sources import files, kept, layouts, staging
 from tessera.sources.star import ALL_YEARS, COUNTY, LEVELS, TABLES
 
 YEARS = (1996, 1997)
@@ -363,6 +364,43 @@ def rollup_county_density(a: Atlas) -> DataFrame:
     return rollup.level_density(a.lehd(measures=["job_tot"]), "tract", "county", "job_tot", "ALAND_SQMI", widths=LEVELS)
 
 
+@query
+def rollup_buckets(a: Atlas) -> DataFrame:
+    """Tract sums with land area from block counts and areas kept in buckets of the tract key."""
+    spark, buckets = a.star.spark, int(a.star.spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = a.star.wac(measures=["job_tot"]).withColumn("tract", keys.level_key(F.col("fips"), "tract", LEVELS))
+    tables = {"counts": blocks, "areas": a.star.area()}
+    names, found = {}, {}
+    for label, table in tables.items():
+        path = staging.new_path(spark, f"buckets-{label}")
+        names[label] = "tessera_" + path.rsplit("/", 1)[1].replace("-", "_")
+        found[label] = layouts.save_buckets(table, names[label], path, "tract", buckets)
+    sums = found["counts"].groupBy("tract", "year").agg(cols.total("job_tot").alias("job_tot"))
+    return sums.join(found["areas"], "tract", "left")
+
+
+@query
+def moments_by_state(a: Atlas) -> DataFrame:
+    """Mean, spread, correlation and line per state and year, from moments kept per county and year."""
+    places = job_places_once(a)
+    fine = staging.stage(partials.partial_moments(places, ["stfips", "stcofips", "year"], "ALAND_SQMI", "job_tot"), "moments")
+    by = ["stfips", "year"]
+    return rounded(partials.describe_moments(partials.merge_moments(fine, by), by))
+
+
+@query
+def distinct_over_years(a: Atlas) -> DataFrame:
+    """Different tracts with jobs per metro over one year, two and all, from unit sets kept per year."""
+    dense = a.staged_density().filter("job_tot > 0")
+    sets = staging.stage(partials.unit_sets(dense, "tract", partials.number_units(dense, "tract"), ["cbsa", "year"]), "unit-sets")
+    spans = {"one": (1997,), "two": YEARS, "all": ALL_YEARS}
+    counted = [
+        partials.count_units(sets.filter(F.col("year").isin(*years)), ["cbsa"], "tracts").withColumn("span", F.lit(name))
+        for name, years in spans.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 @query
 def national_totals(a: Atlas) -> DataFrame:
     kept = keys.exclude_regions(a.star.wac(measures=["job_tot"]), "fips", PARAMS.excluded_states, widths=LEVELS)
@@ -784,6 +822,15 @@ def boundary_vertices(a: Atlas) -> DataFrame:
     return geo.boundary_vertices(a.star.bounds(), renamed="tract")
 
 
+@query
+def window_layer(a: Atlas) -> DataFrame:
+    """Boundaries that meet a window, from a layer kept in the order of space."""
+    path = staging.new_path(a.star.spark, "layer")
+    layouts.save_layer(a.star.bounds(), path)
+    layer = a.star.spark.read.parquet(path)
+    return layouts.in_window(layer, 2.0, 100.0, 12.0, 600.0).select("geoid", "west", "south", "east", "north")
+
+
 @query
 def choropleth_rows(a: Atlas) -> DataFrame:
     vertices = geo.boundary_vertices(a.star.county_bounds(), renamed="stcofips")
