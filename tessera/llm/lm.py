@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood of texts under a small two-sided window network.
 
 The network predicts a word's class from the ``SIDE`` words before and after it: each context
-place has its own table of vectors, their sum goes through tanh and a softmax.  A class is one
+place has its own table of vectors, their sum goes through tanh and a softmax of two levels,
+the class's group and the class inside it, both fed by the context.  A class is one
 of the commonest words of the corpus, or a bucket for all other words by their last letters.
 A document's class score is the sum over its words of the log-probability of the word's class
 given both sides.  Its token score adds to each the log share of the word among all words of
 its class, so that it is of the word itself.
 
 Everything the network knows is gathered by Spark: word counts over all documents, and
-rounds in which every partition trains its own copy on every word of its documents, after which the copies are averaged in a two-level grouped sum.  Both grow with the
-corpus; only one set of weights and the ``KNOWN`` commonest words come to the driver.  The counts
-of these go to all tasks; other words, of which none is frequent, are joined to their counts once
-for each document.
+rounds in which documents are dealt by hash into shards of about ``SHARD_WORDS`` words.  In each
+shard, in the order of the hashes, a copy is trained on every word, and the copies are averaged
+in a two-level grouped sum.  So the weights depend on the rows, not on how they lie in files or
+tasks.  Both grow with the corpus; only one set of weights and at most ``KNOWN`` of the commonest
+words come to the driver.  The counts of these go to all tasks; other words, of which none is
+frequent, are joined to their counts once for each document.
 """
 
 from __future__ import annotations
@@ -29,15 +32,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ASCII_LOWER, batched, map_arrow, ship, stage, text_column, words
 
-CLASSES = 256
-COMMON = 192  # classes that are one word each; the others are buckets
+CLASSES = 1024
+COMMON = 896  # classes that are one word each; the others are buckets
+GROUPS = 32  # of the classes, dealt in turn, so that each has common ones
 SIDE = 2
-HIDDEN = 24
+HIDDEN = 16
 EDGE = CLASSES  # stands before the first and after the last word
-ROUNDS = 2
+ROUNDS = 1
 TRAIN_EVERY = 1  # all words; else one in so many, at a place that depends on the document and the round
 STEP = 0.2
 BATCH = 256
+WIDE = 8192  # words of one step of the two-level network
+RATE = 0.05
+SHARD_WORDS = 4_000_000
 COUNTED = 400_000
 KNOWN = 100_000  # words whose counts go to all tasks; the counts of others are joined
 FANIN = 64
@@ -172,6 +179,101 @@ class Network:
             self.context -= (step / 8 * moved).reshape(self.context.shape).astype(np.float32)
 
 
+class TwoLevel(Network):
+    """The same with a softmax over groups of classes, then over the classes of the word's group."""
+
+    SIZE = CLASSES // GROUPS
+    SHAPES = {
+        "context": (2 * SIDE, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "upper": (HIDDEN, GROUPS), "first": (GROUPS,),
+        "lower": (GROUPS, HIDDEN, CLASSES // GROUPS), "second": (GROUPS, CLASSES // GROUPS),
+    }
+
+    def __init__(self, flat: np.ndarray | None = None, prior: np.ndarray | None = None, seed: int = 9):
+        super().__init__(flat, None, seed)
+        self.squares = None
+        if prior is not None:
+            self.bias[:] = 0
+            chance = np.exp(prior.reshape(self.SIZE, GROUPS).T)  # class c is number c // GROUPS of group c % GROUPS
+            whole = chance.sum(axis=1)
+            self.first[:], self.second[:] = np.log(whole), np.log(chance / whole[:, None])
+
+    @staticmethod
+    def _shares(scores: np.ndarray) -> np.ndarray:
+        """Softmax of each column, in place: one column per word, so that sums run along memory."""
+        scores -= scores.max(axis=0)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=0)
+        return scores
+
+    def columns(self, context: np.ndarray) -> np.ndarray:
+        """Hidden values, one column per word."""
+        total = self.context[0].take(context[0], axis=0)
+        for k in range(1, 2 * SIDE):
+            total += self.context[k].take(context[k], axis=0)
+        total += self.bias
+        return np.tanh(total.T, order="C")
+
+    @staticmethod
+    def _by_group(context: np.ndarray, target: np.ndarray):
+        """Words sorted by the group of their class, and the run of each group."""
+        group = (target % GROUPS).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        runs = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        return order, context.take(order, axis=1), group[order], (target // GROUPS)[order], runs
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        out = np.empty(len(target), np.float64)
+        for k in range(0, len(target), WIDE):
+            order, part, group, number, runs = self._by_group(context[:, k : k + WIDE], target[k : k + WIDE])
+            hidden, each = self.columns(part), np.arange(len(order))
+            share = self._shares(self.upper.T @ hidden + self.first[:, None])[group, each]
+            inside = np.empty(len(order), np.float32)
+            for g, a, b in runs:
+                scores = self._shares(self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None])
+                inside[a:b] = scores[number[a:b], each[: b - a]]
+            both = np.maximum(np.stack([share, inside]), 1e-37)
+            out[k + order] = np.log(both, dtype=np.float64).sum(axis=0)
+        return out
+
+    def train(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
+        """Gradient steps over batches, each weight's step shrunk by the squares it has met."""
+        if self.squares is None:
+            self.squares = TwoLevel(np.full_like(self.flat, 1e-6))
+        at = self.context.size  # the other weights all move in every step
+        change, past = TwoLevel(np.zeros_like(self.flat)), self.squares
+        for k in range(0, len(target), WIDE):
+            order, part, group, number, runs = self._by_group(context[:, k : k + WIDE], target[k : k + WIDE])
+            hidden, each, scale = self.columns(part), np.arange(len(order)), np.float32(1 / len(order))
+            error = self._shares(self.upper.T @ hidden + self.first[:, None])
+            error[group, each] -= 1
+            change.flat[at:] = 0
+            change.upper[:] = hidden @ error.T
+            change.first[:] = error.sum(axis=1)
+            back = self.upper @ error
+            for g, a, b in runs:
+                error = self._shares(self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None])
+                error[number[a:b], each[: b - a]] -= 1
+                change.lower[g] = hidden[:, a:b] @ error.T
+                change.second[g] = error.sum(axis=1)
+                back[:, a:b] += self.lower[g] @ error
+            hidden *= hidden
+            back *= np.subtract(1, hidden, out=hidden)
+            change.bias[:] = back.sum(axis=1)
+            for place in range(2 * SIDE):
+                sort = np.argsort(part[place], kind="stable")
+                found = part[place][sort]
+                starts = np.flatnonzero(np.diff(found, prepend=-1))
+                moved = np.add.reduceat(back.take(sort, axis=1), starts, axis=1).T * scale
+                rows = found[starts]
+                past.context[place, rows] += moved * moved
+                self.context[place, rows] -= step * moved / np.sqrt(past.context[place, rows])
+            rest = change.flat[at:]
+            rest *= scale
+            past.flat[at:] += rest * rest
+            self.flat[at:] -= step * rest / np.sqrt(past.flat[at:])
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """word (lower case, A-Z only) and n over all texts."""
 
@@ -210,19 +312,52 @@ def class_sizes(counts: DataFrame, common: list[bytes]) -> np.ndarray:
     return sizes
 
 
-def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9, every: int = TRAIN_EVERY) -> Network:
-    network = Network(prior=prior, seed=seed)
+def train_network(
+    rows: DataFrame, common: list[bytes], prior: np.ndarray, rounds: int, seed: int = 9, every: int = TRAIN_EVERY, total: int | None = None
+) -> TwoLevel:
+    """Trained on ``rows`` (doc_id, text) of ``total`` words (counted if it is not given)."""
+    network = TwoLevel(prior=prior, seed=seed)
     spark = rows.sparkSession
     ship(spark)
+    if total is None:
+        total = count_words(rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(-(-total // SHARD_WORDS), 1)
+    mark = F.xxhash64("doc_id", "text")
+    dealt = (
+        rows.select("doc_id", "text", mark.alias("mark"))
+        .withColumn("shard", F.pmod("mark", F.lit(shards)))
+        .repartition(int(max(shards, 1)), "shard")
+        .sortWithinPartitions("shard", "mark", "doc_id")
+    )
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((network.flat, common))
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             flat, known = shared.value
-            own, vocabulary, n = Network(flat), Vocabulary(known), 0
-            for batch in batched(batches):
-                contexts, targets = [], []
-                for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            vocabulary, name, own, n, contexts, targets, held = Vocabulary(known), None, None, 0, [], [], 0
+
+            def learn():
+                nonlocal contexts, targets, held, n
+                if held:
+                    target, context = np.concatenate(targets), np.concatenate(contexts, axis=1)
+                    mixed = np.random.default_rng(n + turn).permutation(held)
+                    own.train(context[:, mixed], target[mixed], RATE)
+                    n += held
+                contexts, targets, held = [], [], 0
+
+            def close():
+                learn()
+                if n:
+                    pieces = np.array_split(own.flat.astype(np.float64) * n, SLICES)
+                    return _slices(range(SLICES), [name % FANIN] * SLICES, pieces, n)
+
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))
+                for shard, key, text in zip(*columns, strict=True):
+                    if shard != name:
+                        if name is not None and (done := close()) is not None:
+                            yield done
+                        name, own, n = shard, TwoLevel(flat), 0
                     if every == 1:
                         goal = vocabulary.classes(text)
                         around = Network.contexts(goal, np.arange(len(goal))).astype(np.int16)
@@ -231,31 +366,48 @@ def train_network(rows: DataFrame, common: list[bytes], prior: np.ndarray, round
                         around, goal = vocabulary.sampled(text, first, every)
                     contexts.append(around)
                     targets.append(goal)
-                target, context = np.concatenate(targets), np.concatenate(contexts, axis=1)
-                mixed = np.random.default_rng(n + turn).permutation(len(target))
-                own.train(context[:, mixed], target[mixed], STEP / (1 + turn))
-                n += len(target)
-            if n:
-                part = TaskContext.get().partitionId() % FANIN
-                pieces = np.array_split(own.flat.astype(np.float64) * n, SLICES)
-                yield _slices(range(SLICES), [part] * SLICES, pieces, n)
+                    held += len(goal)
+                    if held >= 8 * WIDE:
+                        learn()
+            if name is not None and (done := close()) is not None:
+                yield done
 
         def add(found: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(w.as_py(), "<f8") for w in found.column("weights"))
-            n = sum(found.column("n").to_pylist())
-            name = found.column("slice")[0].as_py()
-            return pa.Table.from_batches([_slices([name], [0], [total], n)])
+            # In a fixed order, so that the sums are the same every time.
+            pairs = sorted(zip(found.column("n").to_pylist(), found.column("weights").to_pylist(), strict=True))
+            total = sum(np.frombuffer(w, "<f8") for _, w in pairs)
+            return pa.Table.from_batches([_slices([found.column("slice")[0].as_py()], [0], [total], sum(n for n, _ in pairs))])
 
-        # Slices of the weights are summed apart, in two steps, so no task meets all weights of all partitions.
+        # Slices of the weights are summed apart, in two steps, so no task meets all weights of all shards.
         schema = "slice int, part int, weights binary, n long"
-        some = map_arrow(rows.select("doc_id", "text"), fit, schema).groupBy("slice", "part").applyInArrow(add, schema)
+        some = map_arrow(dealt, fit, schema).groupBy("slice", "part").applyInArrow(add, schema)
         whole = sorted(some.groupBy("slice").applyInArrow(add, schema).collect(), key=lambda r: r["slice"])
         if not whole:
             break
-        network = Network(np.concatenate([np.frombuffer(r["weights"], "<f8") / r["n"] for r in whole]).astype(np.float32))
+        network = TwoLevel(np.concatenate([np.frombuffer(r["weights"], "<f8") / r["n"] for r in whole]).astype(np.float32))
     return network
 
 
+def commonest(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int]], int]:
+    """At most ``known`` (or ``COMMON``) words by count, then word, and a count that no other word exceeds.
+
+    The cut is read off a histogram of a few hundred ranges of counts, so only the words
+    above it, and for a small corpus ``COMMON`` more, come to the driver.
+    """
+    size = F.floor(F.log2("n") * 16).cast("int")
+    bars = sorted(counts.groupBy(size.alias("bar")).count().collect(), key=lambda r: -r["bar"])
+    bar, held = (bars[0]["bar"] + 1 if bars else 0), 0
+    for r in bars:
+        if held + r["count"] > known:
+            break
+        bar, held = r["bar"], held + r["count"]
+    top = counts.filter(size >= bar).collect() if held else []
+    if len(top) < COMMON:
+        top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    words_of = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda p: (-p[1], p[0]))
+    return words_of, words_of[-1][1] if words_of else 0
+
+
 def _slices(names, parts: list[int], pieces: list[np.ndarray], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "slice": pa.array(list(names), pa.int32()), "part": pa.array(parts, pa.int32()),
@@ -279,7 +431,7 @@ def pseudo_likelihood(
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_column(text).alias("text"))
     spark = docs.sparkSession
     counts = stage(count_words(rows), "word-counts")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(max(COMMON, known)).collect()]
+    top, most_left = commonest(counts, known)
     ranked, log_counts = [w for w, _ in top], np.log(np.array([n for _, n in top] + [1], np.float64))
     common = ranked[:COMMON]
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -287,26 +439,30 @@ def pseudo_likelihood(
     own = np.array([n for _, n in top[:COMMON]] + [0] * (COMMON - len(common)), np.float64)
     rest = np.full(CLASSES - COMMON, (total - own.sum()) / (CLASSES - COMMON))
     prior = np.log((np.concatenate([own, rest]) + 1) / (total + CLASSES))
-    network = train_network(rows, common, prior, rounds, seed)
+    network = train_network(rows, common, prior, rounds, seed, total=total)
     log_sizes = np.log(np.maximum(class_sizes(counts, common), 1))
     shared = spark.sparkContext.broadcast((network.flat, common, ranked, log_counts, log_sizes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known_common, known_words, logs, sizes_of = shared.value
-        own, vocabulary = Network(flat), TokenVocabulary(known_common, known_words)
+        own, vocabulary = TwoLevel(flat), TokenVocabulary(known_common, known_words)
         row = TaskContext.get().partitionId() << 40
         for batch in batched(batches):
-            sizes, sums, shares, others = [], [], [], []
+            sizes, contexts, goals, shares, others = [], [], [], [], []
             for content in batch.column("text").to_pylist():
                 found = words(content)
                 classes, ranks = vocabulary.tokens(found)
                 sizes.append(len(classes))
-                context = Network.contexts(classes, np.arange(len(classes)))
-                sums.append(float(own.log_probabilities(context, classes).sum()) if len(classes) else 0.0)
+                contexts.append(Network.contexts(classes, np.arange(len(classes))).astype(np.int16))
+                goals.append(classes)
                 shares.append(float((logs[ranks] - sizes_of[classes]).sum()))
                 unknown = np.flatnonzero(ranks == len(known_words)).tolist()
                 counted = Counter(found[i].translate(ASCII_LOWER) for i in unknown)
                 others.append([{"word": w, "times": n} for w, n in counted.items()])
+            # All words of the batch are scored together, then added up text by text.
+            scores = own.log_probabilities(np.concatenate(contexts, axis=1), np.concatenate(goals)) if sizes else np.zeros(0)
+            sums = np.add.reduceat(np.append(scores, 0.0), np.cumsum([0, *sizes])[:-1]) if sizes else scores
+            sums = np.where(np.array(sizes) > 0, sums, 0.0)
             kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + len(sizes)), pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()),
@@ -318,8 +474,8 @@ def pseudo_likelihood(
     # Staged, so that the numbers of the rows stay the same on both sides of the join.
     scored = stage(map_arrow(rows, score, "row long, doc_id long, n_words long, log_likelihood double, share double, "
                              "others array<struct<word: binary, times: long>>"), "scored")
-    # A word that is not ranked has at most the least ranked count, so no key of this join is hot.
-    few = counts.filter(F.col("n") <= top[-1][1]) if top else counts
+    # No word that is not ranked exceeds the least ranked count, so no key of this join is hot.
+    few = counts.filter(F.col("n") <= most_left)
     found = scored.select("row", F.inline("others")).join(few, "word")
     more = found.groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
     token = F.col("log_likelihood") + F.col("share") + F.coalesce("more", F.lit(0.0))
