@@ -5,8 +5,9 @@ n-grams at word edges and inside.  A word of the model is scored by its frequenc
 word falls back to its 4-grams, what is not covered to 3-grams, then pairs, then single
 letters, each step at a discount.  A document's score is a softmax of its summed scores.
 
-Counts come from grouped Spark jobs over a sample of labelled rows of documented size; the
-model's size is bounded by ``MAX_WORDS`` and ``MAX_GRAMS``.
+Counts come from grouped Spark jobs over a sample of labelled rows of documented size.  Every
+label is learned; the model holds at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each,
+and only what a language has met takes room.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import batched, fresh_names, map_arrow, stage, text_column, worker_copy
+from tessera.llm.common import batched, fresh_names, map_arrow, ragged_take, stage, text_column, worker_copy
 
 SAMPLE_PER_LANGUAGE = 4_000  # labelled rows to learn from, for each language, about
-MAX_LANGUAGES = 200  # labels with the most rows; others are not learned
 MAX_WORDS = 20_000  # for each language
 MAX_GRAMS = 20_000  # for each language
+MAX_LABELS = 100_000  # more labels are an error: they are hardly languages
+MAX_ENTRIES = 8_000_000  # of a model, in all languages: a larger one is an error
 SIZES = (4, 3, 2, 1)
 BACKOFF = math.log(0.4)
 UNKNOWN = "und"
-REMEMBERED = 200_000
+REMEMBERED = 200_000  # tokens of few languages; of many, as many as fill SCORES
+SCORES = 20_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,6 +53,25 @@ def grams_of(word: str) -> Counter:
     return Counter(marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1))
 
 
+class SparseRows:
+    """Rows with a column for each language, of which only those above the floor are kept."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int, floor: float):
+        order = np.argsort(rows, kind="stable")
+        self.columns, self.values = columns[order], values[order]
+        self.starts = np.searchsorted(rows[order], np.arange(n + 1))
+        self.width, self.floor = width, floor
+
+    def __getitem__(self, wanted) -> np.ndarray:
+        """One row, or a table of several, with all columns."""
+        at = np.atleast_1d(np.asarray(wanted, np.int64))
+        out = np.full((len(at), self.width), self.floor)
+        starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        cells = ragged_take(starts, sizes)
+        out[np.repeat(np.arange(len(at)), sizes), self.columns[cells]] = self.values[cells]
+        return out[0] if np.ndim(wanted) == 0 else out
+
+
 class Model:
     """Log frequencies of words and n-grams: a row for each, a column for each language."""
 
@@ -59,17 +82,18 @@ class Model:
         self.grams, self.gram_rows = self._table(grams)
         self.floor = np.full(len(self.languages), math.log(1e-7))
 
-    def _table(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+    def _table(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], SparseRows]:
         names = sorted(set().union(*[c.keys() for c in counts.values()]))
         number = {name: i for i, name in enumerate(names)}
-        table = np.zeros((len(names), len(self.languages)))
-        for k, lang in enumerate(self.languages):
-            for name, n in counts.get(lang, {}).items():
-                table[number[name], k] = n
+        met = [counts.get(lang, {}) for lang in self.languages]
+        rows = np.array([number[name] for c in met for name in c], np.int64)
+        columns = np.repeat(np.arange(len(met)), [len(c) for c in met])
+        n = np.array([n for c in met for n in c.values()], np.float64)
         # Normalised over all names, so that few counts do not pass for high shares; what a language
         # has not met costs the same in all, so that a language with few rows does not win by it.
-        rows = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(len(names), 1)))
-        return number, np.where(table > 0, rows, rows.min(initial=0.0))
+        totals = np.bincount(columns, n, len(met)) + 0.1 * max(len(names), 1)
+        floor = float(np.log(0.1 / totals.max())) if len(n) else 0.0
+        return number, SparseRows(rows, columns, np.log((n + 0.1) / totals[columns]), len(names), len(met), floor)
 
     def back_off(self, word: str) -> tuple[list[int], int]:
         """Known n-grams that cover the word, longest first, and how many steps down they are in all."""
@@ -149,7 +173,7 @@ class Scorer(dict):
         """Language and score (0 to 1) of each; ``und`` and 0 for a text without a letter."""
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self) > REMEMBERED:
+        if len(self) > min(REMEMBERED, SCORES // (len(self.model.languages) + 1)):
             self.forget()
         numbers = []
         for text in texts:
@@ -174,23 +198,24 @@ def scorer(model: Model) -> Scorer:
 
 def train(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    sample_per_language: int = SAMPLE_PER_LANGUAGE,
+    sample_per_language: int = SAMPLE_PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
 ) -> Model:
     """Learn from rows that are not held out and have a language.
 
     About ``sample_per_language`` rows of each language are taken, by a hash of the row's id and
-    text; of a language with fewer rows all are.  Only the ``MAX_LANGUAGES`` labels with the most
-    rows are learned: texts of any other label get one of these.
+    text; of a language with fewer rows all are.  Every label is learned.  More than
+    ``MAX_LABELS`` labels, or a model of more than ``MAX_ENTRIES`` counts, raise a ValueError.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), text_column(text).alias("text"), text_column(lang).alias("lang"))
     good = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    labels = stage(good.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    found = labels.count()
+    if not found:
         return Model({}, {})
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_per_language / n)))])
+    if found > MAX_LABELS:
+        raise ValueError(f"{found} labels: at most {MAX_LABELS} can be learned")
     spot = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    taken = good.filter(spot < share[F.col("lang")])
+    taken = good.join(labels, "lang").filter(spot < F.lit(float(sample_per_language)) / F.col("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches, 512):
@@ -216,13 +241,17 @@ def train(
 
     counted = map_arrow(taken.select("lang", "text"), count, "lang string, is_word boolean, item string, n long")
     sums = stage(counted.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n")), "language")
-    words: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    grams: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for is_word, most, into in ((True, MAX_WORDS, words), (False, MAX_GRAMS, grams)):
-        for language in sizes:
-            top = sums.filter((F.col("lang") == language) & (F.col("is_word") == is_word))
-            for r in top.orderBy(F.desc("n"), "item").limit(most).collect():
-                into[language][r["item"]] = r["n"]
+    order = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "item")
+    most = F.when(F.col("is_word"), max_words).otherwise(max_grams)
+    kept = stage(sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most), "language-model")
+    entries = kept.count()
+    if entries > MAX_ENTRIES:
+        raise ValueError(f"a model of {entries} counts: at most {MAX_ENTRIES} fit, lower max_words and max_grams")
+    words: dict[str, dict[str, int]] = {r["lang"]: {} for r in labels.select("lang").collect()}
+    grams: dict[str, dict[str, int]] = {lang: {} for lang in words}
+    for batch in kept.select("lang", "is_word", "item", "n").toArrow().to_batches():
+        for language, is_word, item, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            (words if is_word else grams)[language][item] = n
     return Model(words, grams)
 
 
