@@ -37,6 +37,7 @@ NODE_SHIFT = 24  # an edge's hash: 40 bits of its node, 24 of its third word
 MIN_BITS, MAX_BITS = 16, 29
 ANCHORS = 16  # one node in so many ends a path, so that paths stay short
 ROUNDS = 10
+MERGED = 8  # parts of a language before the last
 
 END = b"\xff"  # in no UTF-8 text
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
@@ -263,12 +264,14 @@ def score_cuts(candidates: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, spark: SparkSession, top: int) -> DataFrame:
-    """The first ``top`` rows of each language: of every part first, so that no task sorts a whole language."""
+    """The first ``top`` rows of each language: of many parts, then of few, so that no task sorts a whole language."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(tasks(spark)))
-    few = df.withColumn("part", part).withColumn(
-        "place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
-    ).filter(F.col("place") <= top)
+    few = df
+    for parts in (tasks(spark), MERGED):
+        part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+        few = few.withColumn("part", part).withColumn(
+            "place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+        ).filter(F.col("place") <= top)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
 
 
