@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import table
 from tessera.llm.decontam import drop_contaminated
 from tessera.llm.langid import keep_identified
 from tessera.llm.packing import pack_documents
 from tessera.llm.simhash import drop_near_duplicates
 from tessera.llm.substring import dedup_substrings
+from tessera.sources.staging import new_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a Parquet table in the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
