@@ -118,8 +118,11 @@ class Sorted:
                 yield int(maybe[i]), self.order[low[i] : high[i]].tolist()
 
 
-def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
-    """Least edit distance of the whole item to any part of ``text`` and that part's end, if at most ``most``."""
+def best_match(item: list[int], text: list[int], most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """Least edit distance of the whole item to any part of ``text`` and that part's end, if at most ``most``.
+
+    ``anchored`` looks only at parts that begin where the text does.
+    """
     m = len(item)
     peq: dict[int, int] = {}
     for i, s in enumerate(item):
@@ -135,7 +138,7 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1) & full, (mh << 1) & full  # a match may start anywhere
+        ph, mh = (ph << 1 | anchored) & full, (mh << 1) & full  # a match may start anywhere, unless it is anchored
         pv, mv = mh | (~(xv | ph) & full), ph & xv
         if score <= most and (best is None or score < best[0]):
             best = (score, end)
@@ -216,7 +219,9 @@ class ItemIndex:
             hit = best_match(symbol_ids.tolist(), each[doc][low:high].tolist(), most)
             if hit:
                 key, distance, end = self.items[n][0], hit[0], low + hit[1]
-                start = max(low, end - len(symbol_ids))
+                # Backwards from its end, the match is as long as the text's edits make it.
+                back = best_match(symbol_ids[::-1].tolist(), each[doc][low:end][::-1].tolist(), distance, anchored=True)
+                start = end - back[1]
                 if key not in found[doc] or distance < found[doc][key][0]:
                     found[doc][key] = (distance, start, end)
         return [sorted((k, *v) for k, v in f.items()) for f in found]
@@ -224,7 +229,7 @@ class ItemIndex:
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_items: int, max_edits: float) -> Iterator[ItemIndex]:
     """Indexes of all items, a bounded number at a time."""
-    kept = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), text_column(text).alias("text"))
+    kept = items.select(F.col(f"`{item_id}`").try_cast("long").alias("item_id"), text_column(text).alias("text"))
     kept = kept.filter("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, -(-kept.count() // block_items))
     for block in range(blocks):
@@ -241,12 +246,14 @@ def find_leaks(
     """doc_id, item_id, distance, n_item_words, start_word, end_word of every item in a document.
 
     The distance is counted in words; a document and an item give one row, the nearest match.
-    Documents with a NULL text, and items without words or without an id, match nothing.
+    ``start_word`` is the first word of that match, found by going backwards from its end.
+    Documents with a NULL text, and items without words or without an id that is a whole number,
+    match nothing; a document's id that is none is NULL.
     Repeated rows each give their matches; other columns are not read; an empty table on
     either side gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_column(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").try_cast("long").alias("doc_id"), text_column(text).alias("text"))
     schema = "doc_id long, item_id long, distance int, n_item_words int, start_word int, end_word int"
     out = spark.createDataFrame([], schema)
     for index in item_blocks(items, item_id, item_text, block_items, max_edits):

@@ -152,3 +152,54 @@ def test_odd_conversations(spark):
     assert got == brute_maximal([r for r in rows if r[0] is not None])
     assert set(got) == {2, 3, 4, 5, 6, 7} and got[6].index("early") < got[6].index("late")
     assert render_maximal(table.limit(0)).count() == 0
+
+
+def plain_span(item, text):
+    """(distance, shortest spans) of the item against every part of the text, by the full table."""
+    best, spans = len(item) + 1, set()
+    for start in range(len(text) + 1):
+        row = list(range(len(item) + 1))
+        for end in range(start, len(text) + 1):
+            if row[-1] < best:
+                best, spans = row[-1], set()
+            if row[-1] == best:
+                spans.add((start, end))
+            if end < len(text):
+                new = [row[0] + 1]
+                for j, word in enumerate(item):
+                    new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (word != text[end])))
+                row = new
+    return best, spans
+
+
+def test_spans_of_edited_items_against_the_full_table(spark):
+    """Starts too: inserted and missing words move them."""
+    rng = random.Random(8)
+    words_of = [f"w{i}" for i in range(400)]
+    items = [(i, [rng.choice(words_of) for _ in range(n)]) for i, n in enumerate((10, 15, 20, 30, 48, 60, 80))]
+    docs, planted = [], {}
+    for i, item in items:
+        for kind in range(4):
+            edited = list(item)
+            for _ in range(min(kind, len(item) // 5)):
+                at = rng.randrange(1, len(edited) - 1)
+                how = rng.randrange(3)
+                edited[at : at + (how != 0)] = [f"x{rng.randrange(99)}"] if how < 2 else []
+            before = [f"b{rng.randrange(99)}" for _ in range(kind * 3)]
+            text = [*before, *edited, *[f"a{rng.randrange(99)}" for _ in range(5)]]
+            planted[len(docs)] = (i, item, text)
+            docs.append((len(docs), " ".join(text)))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r for r in out.collect()}
+    assert set(got) == {(d, i) for d, (i, _, _) in planted.items()}
+    for d, (i, item, text) in planted.items():
+        distance, spans = plain_span(item, text)
+        row = got[(d, i)]
+        assert row["distance"] == distance and (row["start_word"], row["end_word"]) in spans
+
+
+def test_ids_that_are_text(spark):
+    docs = spark.createDataFrame([("d1", "one two three four five"), ("7", "one two three four five")], "doc_id string, text string")
+    items = spark.createDataFrame([("x", "one two three four five"), ("3", "one two three four five")], "item_id string, text string")
+    assert sorted(((r["doc_id"] or 0), r["item_id"]) for r in find_leaks(docs, items).collect()) == [(0, 3), (7, 3)]
