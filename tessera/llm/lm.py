@@ -34,6 +34,7 @@ from tessera.llm.common import ASCII_LOWER, batched, map_arrow, ship, stage, tex
 
 CLASSES = 1024
 COMMON = 896  # classes that are one word each; the others are buckets
+CLASS_BITS = (CLASSES - 1).bit_length()
 GROUPS = 32  # of the classes, dealt in turn, so that each has common ones
 SIDE = 2
 HIDDEN = 16
@@ -42,8 +43,8 @@ ROUNDS = 1
 TRAIN_EVERY = 1  # all words; else one in so many, at a place that depends on the document and the round
 STEP = 0.2
 BATCH = 256
-WIDE = 8192  # words of one step of the two-level network
-RATE = 0.05
+WIDE = 16384  # words of one step of the two-level network
+RATE = 0.15
 SHARD_WORDS = 4_000_000
 COUNTED = 400_000
 KNOWN = 100_000  # words whose counts go to all tasks; the counts of others are joined
@@ -98,15 +99,19 @@ class TokenVocabulary(Vocabulary):
         self.ranks = {w: i for i, w in enumerate(ranked)}
 
     def __missing__(self, word: bytes) -> int:
-        rank = self.ranks.get(word.translate(ASCII_LOWER), len(self.ranks))
-        self[word] = number = rank * CLASSES + super().__missing__(word)
+        lower = word.translate(ASCII_LOWER)
+        rank = self.ranks.get(lower, len(self.ranks))
+        # The commonest words come first in both, so their rank is their class.
+        number = rank if rank < len(self.common) else COMMON + xxhash.xxh64_intdigest(lower[-3:], 5) % (CLASSES - COMMON)
+        self[word] = number = rank << CLASS_BITS | number
         return number
 
     def tokens(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > COUNTED:
             self.clear()
-        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return (numbers % CLASSES).astype(np.int16), numbers // CLASSES
+        numbers = itemgetter(*found)(self) if len(found) > 1 else [self[w] for w in found]
+        numbers = np.fromiter(numbers, np.int64, len(found))
+        return (numbers & ((1 << CLASS_BITS) - 1)).astype(np.int16), numbers >> CLASS_BITS
 
 
 class Network:
@@ -197,14 +202,29 @@ class TwoLevel(Network):
             whole = chance.sum(axis=1)
             self.first[:], self.second[:] = np.log(whole), np.log(chance / whole[:, None])
 
+    def bounded(self) -> bool:
+        """Whether no score can be so large that its exponential overflows (tanh is at most 1)."""
+        upper = np.abs(self.upper).sum(axis=0) + np.abs(self.first)
+        return float(upper.max()) < 60 and float((np.abs(self.lower).sum(axis=1) + np.abs(self.second)).max()) < 60
+
     @staticmethod
-    def _shares(scores: np.ndarray) -> np.ndarray:
+    def _shares(scores: np.ndarray, bounded: bool) -> np.ndarray:
         """Softmax of each column, in place: one column per word, so that sums run along memory."""
-        scores -= scores.max(axis=0)
+        if not bounded:
+            scores -= scores.max(axis=0)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=0)
+        scores *= 1 / scores.sum(axis=0)
         return scores
 
+    @staticmethod
+    def _log_share(scores: np.ndarray, row: np.ndarray, each: np.ndarray, bounded: bool) -> np.ndarray:
+        """Logarithm of one row's share in each column."""
+        if not bounded:
+            scores -= scores.max(axis=0)
+        picked = scores[row, each]
+        np.exp(scores, out=scores)
+        return picked - np.log(scores.sum(axis=0))
+
     def columns(self, context: np.ndarray) -> np.ndarray:
         """Hidden values, one column per word."""
         total = self.context[0].take(context[0], axis=0)
@@ -223,17 +243,15 @@ class TwoLevel(Network):
         return order, context.take(order, axis=1), group[order], (target // GROUPS)[order], runs
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target), np.float64)
+        out, bounded = np.empty(len(target), np.float64), self.bounded()
         for k in range(0, len(target), WIDE):
             order, part, group, number, runs = self._by_group(context[:, k : k + WIDE], target[k : k + WIDE])
             hidden, each = self.columns(part), np.arange(len(order))
-            share = self._shares(self.upper.T @ hidden + self.first[:, None])[group, each]
-            inside = np.empty(len(order), np.float32)
+            found = self._log_share(self.upper.T @ hidden + self.first[:, None], group, each, bounded)
             for g, a, b in runs:
-                scores = self._shares(self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None])
-                inside[a:b] = scores[number[a:b], each[: b - a]]
-            both = np.maximum(np.stack([share, inside]), 1e-37)
-            out[k + order] = np.log(both, dtype=np.float64).sum(axis=0)
+                scores = self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None]
+                found[a:b] += self._log_share(scores, number[a:b], each[: b - a], bounded)
+            out[k + order] = found
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
@@ -245,14 +263,15 @@ class TwoLevel(Network):
         for k in range(0, len(target), WIDE):
             order, part, group, number, runs = self._by_group(context[:, k : k + WIDE], target[k : k + WIDE])
             hidden, each, scale = self.columns(part), np.arange(len(order)), np.float32(1 / len(order))
-            error = self._shares(self.upper.T @ hidden + self.first[:, None])
+            bounded = self.bounded()
+            error = self._shares(self.upper.T @ hidden + self.first[:, None], bounded)
             error[group, each] -= 1
             change.flat[at:] = 0
             change.upper[:] = hidden @ error.T
             change.first[:] = error.sum(axis=1)
             back = self.upper @ error
             for g, a, b in runs:
-                error = self._shares(self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None])
+                error = self._shares(self.lower[g].T @ hidden[:, a:b] + self.second[g][:, None], bounded)
                 error[number[a:b], each[: b - a]] -= 1
                 change.lower[g] = hidden[:, a:b] @ error.T
                 change.second[g] = error.sum(axis=1)
@@ -326,7 +345,7 @@ def train_network(
     dealt = (
         rows.select("doc_id", "text", mark.alias("mark"))
         .withColumn("shard", F.pmod("mark", F.lit(shards)))
-        .repartition(int(max(shards, 1)), "shard")
+        .repartitionById(int(shards), F.col("shard").cast("int"))
         .sortWithinPartitions("shard", "mark", "doc_id")
     )
     for turn in range(rounds):

@@ -6,9 +6,10 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 
-from tessera.llm import lm
+from tessera.llm import langid, lm
 from tessera.llm.langid import Model, Scorer, identify, keep_identified
 from tessera.llm.lm import Network, Vocabulary, count_words, pseudo_likelihood
 from tests.llm.conftest import ODD_ROWS
@@ -172,3 +173,144 @@ def test_every_word_of_short_texts_is_trained(spark):
     before = Network(np.zeros_like(Network().flat), prior=prior).log_probabilities(context, classes).sum()
     after = lm.train_network(rows, common, prior, 2).log_probabilities(context, classes)
     assert after.sum() > before + 1 and after.min() > before / 3
+
+
+def plain_two_level(network, context, target):
+    """Word by word in double precision: log-probabilities, and the gradient of their mean's negative."""
+    parts = {name: np.array(getattr(network, name), np.float64) for name in network.SHAPES}
+    slope = {name: np.zeros_like(p) for name, p in parts.items()}
+    logs = []
+    for i, goal in enumerate(target):
+        group, number = int(goal) % lm.GROUPS, int(goal) // lm.GROUPS
+        hidden = np.tanh(sum(parts["context"][k][context[k][i]] for k in range(2 * lm.SIDE)) + parts["bias"])
+        levels = ((hidden @ parts["upper"] + parts["first"], group), (hidden @ parts["lower"][group] + parts["second"][group], number))
+        shares = [np.exp(s - s.max()) / np.exp(s - s.max()).sum() for s, _ in levels]
+        logs.append(sum(math.log(share[at]) for share, (_, at) in zip(shares, levels)))
+        for share, (_, at) in zip(shares, levels):
+            share[at] -= 1
+        slope["upper"] += np.outer(hidden, shares[0])
+        slope["first"] += shares[0]
+        slope["lower"][group] += np.outer(hidden, shares[1])
+        slope["second"][group] += shares[1]
+        back = (parts["upper"] @ shares[0] + parts["lower"][group] @ shares[1]) * (1 - hidden * hidden)
+        slope["bias"] += back
+        for k in range(2 * lm.SIDE):
+            slope["context"][k][context[k][i]] += back
+    return np.array(logs), {name: s / len(target) for name, s in slope.items()}
+
+
+def random_words(n, seed=3):
+    rng = np.random.default_rng(seed)
+    classes = np.minimum(rng.zipf(1.3, n) - 1, lm.CLASSES - 1).astype(np.int16)
+    return Network.contexts(classes, np.arange(n)).astype(np.int16), classes
+
+
+def test_two_level_scores_and_steps_against_a_plain_loop():
+    rng = np.random.default_rng(6)
+    network = lm.TwoLevel(rng.normal(0, 0.3, lm.TwoLevel().flat.shape))
+    context, target = random_words(400)
+    want, slope = plain_two_level(network, context, target)
+    assert np.abs(network.log_probabilities(context, target) - want).max() < 1e-3
+    before = {name: np.array(getattr(network, name)) for name in network.SHAPES}
+    network.train(context, target, 0.1)
+    for name, old in before.items():
+        moved = old - 0.1 * slope[name] / np.sqrt(1e-6 + slope[name] ** 2)
+        assert np.abs(getattr(network, name) - moved).max() < 2e-3, name
+    large = lm.TwoLevel(rng.normal(0, 40, network.flat.shape))
+    assert not large.bounded() and np.isfinite(large.log_probabilities(context, target)).all()
+
+
+def test_groups_start_at_the_frequencies_of_their_classes():
+    prior = np.log(np.random.default_rng(2).dirichlet(np.ones(lm.CLASSES)))
+    network = lm.TwoLevel(np.zeros_like(lm.TwoLevel().flat), prior=prior)
+    context, target = random_words(300)
+    assert np.abs(network.log_probabilities(context, target) - prior[target]).max() < 1e-4
+
+
+def test_scores_do_not_depend_on_files_or_tasks(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 9000)  # several shards, whose copies are averaged
+    rows = documents.select("doc_id", "text")
+    found = []
+    for parts in (1, 8, 32):
+        got = pseudo_likelihood(rows.repartition(parts)).collect()
+        found.append({r["doc_id"]: (r["log_likelihood"], r["token_log_likelihood"]) for r in got})
+    assert len(found[0]) == documents.count()
+    for other in found[1:]:
+        assert all(abs(a - b) <= 1e-5 * (1 + abs(a)) for k, pair in found[0].items() for a, b in zip(pair, other[k]))
+
+
+def test_commonest_words_by_the_histogram(spark):
+    rows = [(f"w{i:05d}".encode(), 1 + (5000 - i) // 7) for i in range(5000)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for known in (1000, 2500, 10_000):
+        top, left = lm.commonest(counts, known)
+        assert max(lm.COMMON, 0) <= len(top) <= known and top == sorted(rows, key=lambda r: (-r[1], r[0]))[: len(top)]
+        assert all(n <= left for _, n in sorted(rows, key=lambda r: (-r[1], r[0]))[len(top) :])
+    few, left = lm.commonest(counts, 10)  # the network's own words come in any case
+    assert len(few) == lm.COMMON and few == sorted(rows, key=lambda r: (-r[1], r[0]))[: lm.COMMON]
+    assert lm.commonest(counts.limit(0), 10) == ([], 0)
+
+
+def test_every_label_is_learned(spark):
+    """Also more than 200, and a model too large is an error."""
+    letters = "abcdefghij"
+    rows = []
+    for k in range(230):
+        word = "".join(letters[int(d)] for d in f"{k:03d}")
+        rows += [(k * 10 + j, f"{word}x {word}y {word}z", f"l{k:03d}") for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs).collect()}
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    known = [(i, lang) for i, _, lang in rows if lang in learned]
+    assert len(learned) > 200 and sum(got[i] == lang for i, lang in known) >= 0.98 * len(known)
+
+
+def test_models_that_are_too_large(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} other", "en") for i in range(9)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_ENTRIES", 5)
+    with pytest.raises(ValueError, match="counts"):
+        langid.train(docs)
+    monkeypatch.setattr(langid, "MAX_LABELS", 0)
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(docs)
+
+
+def plain_back_off(model, text):
+    """Language and score by the model's counts, word by word and language by language."""
+    sums, letters = dict.fromkeys(model.languages, 0.0), False
+    for token in (text or "").split():
+        word = "".join(c for c in token if c.isalpha()).lower()
+        if not word:
+            continue
+        letters = True
+        if word in model.words:
+            each = model.word_rows[model.words[word]]
+        else:
+            marked, open_places, found, steps = f"^{word}$", set(range(len(word) + 2)), [], 0
+            for step, n in enumerate(langid.SIZES):
+                hit = set()
+                for i in range(len(marked) - n + 1):
+                    here = set(range(i, i + n))
+                    if (open_places - hit) & here and marked[i : i + n] in model.grams:
+                        hit |= here
+                        found.append(model.gram_rows[model.grams[marked[i : i + n]]])
+                        steps += step
+                open_places -= hit
+                if not open_places:
+                    break
+            each = (sum(found) + langid.BACKOFF * steps) / len(found) if found else [math.log(1e-7)] * len(sums)
+        for lang, value in zip(model.languages, each):
+            sums[lang] += value
+    if not letters:
+        return "und", 0.0
+    best = max(model.languages, key=lambda k: (sums[k], [-ord(c) for c in k]))
+    return best, 1 / sum(math.exp(max(s - sums[best], -700)) for s in sums.values())
+
+
+def test_predictions_against_a_plain_back_off(spark, documents):
+    model = langid.train(documents)
+    rows = documents.select("doc_id", "text").collect()
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(documents).collect()}
+    for r in rows:
+        lang, score = plain_back_off(model, r["text"])
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-6
