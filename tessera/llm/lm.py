@@ -19,12 +19,12 @@ frequent, are joined to their counts once for each document.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +34,6 @@ from tessera.llm.common import ASCII_LOWER, batched, map_arrow, ship, stage, tex
 
 CLASSES = 1024
 COMMON = 896  # classes that are one word each; the others are buckets
-CLASS_BITS = (CLASSES - 1).bit_length()
 GROUPS = 32  # of the classes, dealt in turn, so that each has common ones
 SIDE = 2
 HIDDEN = 16
@@ -91,27 +90,40 @@ class Vocabulary(dict):
         return np.delete(rows, SIDE, axis=0), rows[SIDE]
 
 
-class TokenVocabulary(Vocabulary):
-    """Class and rank (by count) of each word; words that are not among the ranked share the last number."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words (lower case, A-Z only) of all texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, ends = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+    # White space before the first or after the last word leaves an empty one there.
+    filled = pc.greater(pc.binary_length(found), 0)
+    before = np.cumsum(np.append(0, filled.to_numpy(zero_copy_only=False)))
+    return found if before[-1] == len(found) else found.filter(filled), np.diff(before[ends - ends[0]])
 
-    def __init__(self, common: list[bytes], ranked: list[bytes]):
-        super().__init__(common)
-        self.ranks = {w: i for i, w in enumerate(ranked)}
 
-    def __missing__(self, word: bytes) -> int:
-        lower = word.translate(ASCII_LOWER)
-        rank = self.ranks.get(lower, len(self.ranks))
+class Ranks:
+    """Class and rank (by count) of many words at once; words that are not among the ranked share the last number."""
+
+    def __init__(self, common: list[bytes], ranked: list[bytes] | None = None):
         # The commonest words come first in both, so their rank is their class.
-        number = rank if rank < len(self.common) else COMMON + xxhash.xxh64_intdigest(lower[-3:], 5) % (CLASSES - COMMON)
-        self[word] = number = rank << CLASS_BITS | number
-        return number
+        self.common, self.ranked = len(common), pa.array(common if ranked is None else ranked, pa.binary())
 
-    def tokens(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > COUNTED:
-            self.clear()
-        numbers = itemgetter(*found)(self) if len(found) > 1 else [self[w] for w in found]
-        numbers = np.fromiter(numbers, np.int64, len(found))
-        return (numbers & ((1 << CLASS_BITS) - 1)).astype(np.int16), numbers >> CLASS_BITS
+    def of(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of words in lower case."""
+        ranks = pc.fill_null(pc.index_in(found, value_set=self.ranked), len(self.ranked)).to_numpy()
+        classes, rest = ranks.astype(np.int16), np.flatnonzero(ranks >= self.common)
+        ends = pc.binary_slice(found.take(pa.array(rest)), -3).dictionary_encode()
+        buckets = [COMMON + xxhash.xxh64_intdigest(e, 5) % (CLASSES - COMMON) for e in ends.dictionary.to_pylist()]
+        classes[rest] = np.array(buckets, np.int16)[ends.indices.to_numpy()]
+        return classes, ranks
+
+
+def all_contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Classes around every word of texts of these sizes, which lie one after another."""
+    gaps = SIDE * np.arange(1, len(sizes) + 1)
+    at = np.arange(len(classes)) + np.repeat(gaps, sizes)
+    padded = np.full(len(classes) + SIDE * (len(sizes) + 1), EDGE, np.int16)
+    padded[at] = classes
+    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k])
 
 
 class Network:
@@ -297,32 +309,40 @@ def count_words(rows: DataFrame) -> DataFrame:
     """word (lower case, A-Z only) and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-            )
-            held.clear()
-            return out
-
-        for batch in batched(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(text.encode().translate(ASCII_LOWER).split() if text else ())
-            if len(held) > COUNTED:
-                yield flush()
-        yield flush()
+        held, n = [], 0
+        for batch in batches:
+            found = split_words(batch.column("text"))[0].value_counts()
+            held.append(pa.Table.from_arrays([found.field("values"), found.field("counts")], ["word", "n"]))
+            n += len(found)
+            if n > 2 * COUNTED:
+                held = [_add_counts(held)]
+                n = held[0].num_rows
+                if n > COUNTED:
+                    yield from held.pop().to_batches()
+                    n = 0
+        if held:
+            yield from _add_counts(held).to_batches()
+        # The worker goes on to other tasks, without the memory of these tables.
+        held = found = None
+        pa.default_memory_pool().release_unused()
 
     return map_arrow(rows.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _add_counts(held: list[pa.Table]) -> pa.Table:
+    if len(held) == 1:
+        return held[0]
+    sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+
 def class_sizes(counts: DataFrame, common: list[bytes]) -> np.ndarray:
     """How many words of the corpus are in each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, sums = Vocabulary(common), np.zeros(CLASSES, np.int64)
+        known, sums = Ranks(common), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            np.add.at(sums, vocabulary.of(batch.column("word").to_pylist()), batch.column("n").to_numpy())
+            np.add.at(sums, known.of(batch.column("word"))[0], batch.column("n").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums)], ["class", "n"])
 
     sizes = np.zeros(CLASSES, np.int64)
@@ -353,7 +373,7 @@ def train_network(
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             flat, known = shared.value
-            vocabulary, name, own, n, contexts, targets, held = Vocabulary(known), None, None, 0, [], [], 0
+            vocabulary, ranks, name, own, n, contexts, targets, held = Vocabulary(known), Ranks(known), None, None, 0, [], [], 0
 
             def learn():
                 nonlocal contexts, targets, held, n
@@ -370,19 +390,22 @@ def train_network(
                     pieces = np.array_split(own.flat.astype(np.float64) * n, SLICES)
                     return _slices(range(SLICES), [name % FANIN] * SLICES, pieces, n)
 
-            for batch in batches:
-                columns = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))
-                for shard, key, text in zip(*columns, strict=True):
+            def examples(batch: pa.RecordBatch):
+                """Contexts and classes of the words to learn, text by text."""
+                if every == 1:
+                    found, sizes = split_words(batch.column("text"))
+                    classes, ends = ranks.of(found)[0], np.cumsum([0, *sizes]).tolist()
+                    around = all_contexts(classes, sizes)
+                    return ((around[:, a:b], classes[a:b]) for a, b in zip(ends, ends[1:]))
+                pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+                return (vocabulary.sampled(t, xxhash.xxh32_intdigest(f"{k} {t}", turn) % every, every) for k, t in pairs)
+
+            for batch in batched(batches, 1024):
+                for shard, (around, goal) in zip(batch.column("shard").to_pylist(), examples(batch), strict=True):
                     if shard != name:
                         if name is not None and (done := close()) is not None:
                             yield done
                         name, own, n = shard, TwoLevel(flat), 0
-                    if every == 1:
-                        goal = vocabulary.classes(text)
-                        around = Network.contexts(goal, np.arange(len(goal))).astype(np.int16)
-                    else:
-                        first = xxhash.xxh32_intdigest(f"{key} {text}", turn) % every
-                        around, goal = vocabulary.sampled(text, first, every)
                     contexts.append(around)
                     targets.append(goal)
                     held += len(goal)
@@ -435,6 +458,15 @@ def _slices(names, parts: list[int], pieces: list[np.ndarray], n: int) -> pa.Rec
     })
 
 
+def _times(found: pa.Array, text: np.ndarray, texts: int) -> pa.Array:
+    """How often each word occurs in each text, as one list per text; ``text`` is the number of each word's text."""
+    words_of = found.dictionary_encode()
+    most = max(len(words_of.dictionary), 1)
+    pairs, n = np.unique(text * most + words_of.indices.to_numpy(), return_counts=True)
+    each = pa.StructArray.from_arrays([words_of.dictionary.take(pa.array(pairs % most)), pa.array(n, pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // most, np.arange(texts + 1)), pa.int32()), each)
+
+
 def pseudo_likelihood(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: int = 9, known: int = KNOWN
 ) -> DataFrame:
@@ -464,28 +496,24 @@ def pseudo_likelihood(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known_common, known_words, logs, sizes_of = shared.value
-        own, vocabulary = TwoLevel(flat), TokenVocabulary(known_common, known_words)
+        own, known = TwoLevel(flat), Ranks(known_common, known_words)
         row = TaskContext.get().partitionId() << 40
-        for batch in batched(batches):
-            sizes, contexts, goals, shares, others = [], [], [], [], []
-            for content in batch.column("text").to_pylist():
-                found = words(content)
-                classes, ranks = vocabulary.tokens(found)
-                sizes.append(len(classes))
-                contexts.append(Network.contexts(classes, np.arange(len(classes))).astype(np.int16))
-                goals.append(classes)
-                shares.append(float((logs[ranks] - sizes_of[classes]).sum()))
-                unknown = np.flatnonzero(ranks == len(known_words)).tolist()
-                counted = Counter(found[i].translate(ASCII_LOWER) for i in unknown)
-                others.append([{"word": w, "times": n} for w, n in counted.items()])
-            # All words of the batch are scored together, then added up text by text.
-            scores = own.log_probabilities(np.concatenate(contexts, axis=1), np.concatenate(goals)) if sizes else np.zeros(0)
-            sums = np.add.reduceat(np.append(scores, 0.0), np.cumsum([0, *sizes])[:-1]) if sizes else scores
-            sums = np.where(np.array(sizes) > 0, sums, 0.0)
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+        for batch in batched(batches, 1024):
+            found, sizes = split_words(batch.column("text"))
+            classes, ranks = known.of(found)
+            contexts, ends = all_contexts(classes, sizes), np.cumsum([0, *sizes])
+            # A few texts are scored together, then added up text by text.
+            cuts = [*ends[:-1:256].tolist(), len(classes)]
+            scores = [own.log_probabilities(contexts[:, a:b], classes[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+            def sums(each):
+                return pa.array(np.where(sizes > 0, np.add.reduceat(np.append(each, 0.0), ends[:-1]), 0.0))  # noqa: B023
+
+            unknown = np.flatnonzero(ranks == len(known_words))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + len(sizes)), pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()),
-                 pa.array(sums, pa.float64()), pa.array(shares, pa.float64()), pa.array(others, kind)],
+                 sums(np.concatenate(scores)), sums(logs[ranks] - sizes_of[classes]),
+                 _times(found.take(pa.array(unknown)), np.searchsorted(ends, unknown, "right") - 1, len(sizes))],
                 ["row", "doc_id", "n_words", "log_likelihood", "share", "others"],
             )
             row += len(sizes)

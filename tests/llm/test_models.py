@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -251,6 +253,42 @@ def test_commonest_words_by_the_histogram(spark):
     assert lm.commonest(counts.limit(0), 10) == ([], 0)
 
 
+def test_words_of_many_texts_are_classed_together(monkeypatch):
+    """As one by one, and with one hash for each ending instead of one for each word."""
+    rng = np.random.default_rng(8)
+    known = [f"w{k}".encode() for k in range(2000)]
+    texts = [None, "", " ", "\t a B\x0b\x0cc\x1cd \n", "W3 w3\u2003w1999 W2000", "".join(f"{chr(i)}X" for i in range(256)), "Größe 日本語"]
+    texts += [" ".join(f"W{k}" for k in rng.integers(0, 4000, rng.integers(0, 60))) for _ in range(200)] + [""]
+    for ranked, part in ((known, slice(0, 300)), (known[:300], slice(3, 100)), ([], slice(0, 9)), (known, slice(0, 0))):
+        one_by_one, together = Vocabulary(ranked[: lm.COMMON]), lm.Ranks(ranked[: lm.COMMON], ranked)
+        found, sizes = lm.split_words(pa.array(texts, pa.string())[part])
+        plain = [lm.words(t) for t in texts[part]]
+        assert sizes.tolist() == [len(w) for w in plain]
+        assert found.to_pylist() == [w.translate(lm.ASCII_LOWER) for text in plain for w in text]
+        classes, ranks = together.of(found)
+        assert ranks.tolist() == [ranked.index(w) if w in ranked else len(ranked) for w in found.to_pylist()]
+        each = [one_by_one.classes(t) for t in texts[part]]
+        assert classes.tolist() == [c for text in each for c in text.tolist()]
+        around = [Network.contexts(c, np.arange(len(c))).T.tolist() for c in each]
+        assert lm.all_contexts(classes, sizes).T.tolist() == [c for text in around for c in text]
+        times = lm._times(found, np.repeat(np.arange(len(sizes)), sizes), len(sizes)).to_pylist()
+        counted = [Counter(w.translate(lm.ASCII_LOWER) for w in text) for text in plain]
+        assert [{r["word"]: r["times"] for r in text} for text in times] == counted
+    hashed, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *a: hashed.append(a) or digest(*a))
+    found, _ = lm.split_words(pa.array([" ".join(f"{k}{end}" for k in range(3000) for end in ("abc", "xyz"))]))
+    assert len(set(lm.Ranks(known[:9]).of(found)[0].tolist())) == len(hashed) == 2
+
+
+def test_counts_of_more_words_than_are_held(spark):
+    # In one task: batches whose words are the same are merged, those with too many new ones are passed on.
+    number = "IF(id < 10000, id % 900, id) * 400 + k"
+    text = f"concat('Same ', array_join(transform(sequence(0, 399), k -> concat('w', {number})), ' '), ' same')"
+    rows = spark.range(0, 13_000, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")
+    got = count_words(rows).selectExpr("count(*) AS words", "sum(n) AS n", "max(n) AS most", "max_by(word, n) AS word").first()
+    assert (got["words"], got["n"], got["most"], bytes(got["word"])) == (1 + 400 * 3900, 402 * 13_000, 26_000, b"same")
+
+
 def test_every_label_is_learned(spark):
     """Also more than 200, and a model too large is an error."""
     letters = "abcdefghij"
